@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, decontam, secrets
+from spanforge.llm import bpe, decontam, quality, secrets
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +24,11 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
+def op6_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.clean(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -35,10 +40,38 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op6_line_first": op6_line_first,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
+SPACES = r"[\x20\x09-\x0D]"
+
+
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def sql_count(column: str, letters: str) -> str:
+    return f"(length({column}) - length(translate({column}, '{letters}', '')))"
+
+
+def op6_sql() -> str:
+    symbols, bars, ends, boiler, nav = sql_count("line", quality.SYMBOLS), sql_count("line", "|»›•·"), sql_text(quality.ENDS), sql_text(quality.BOILERPLATE), sql_text(quality.NAVIGATION)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '{SPACES}+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, k, struct_pack(a := w[k], b := w[k + 1], c := w[k + 2]) AS t FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS k FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+ln AS (SELECT doc_id, k, line, regexp_replace(line, '{SPACES}', '', 'g') AS solid, regexp_replace(line, '{SPACES}+\z', '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM d)),
+lw AS (SELECT *, len(list_filter(string_split_regex(line, '{SPACES}+'), lambda x: x <> '')) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS rn FROM ln WHERE length(solid) > 0),
+bad AS (SELECT doc_id, length(solid) AS chars, rn > 1 AS again, rn > 1 OR (n < 8 AND NOT regexp_matches(t, {ends})) OR ({symbols} >= 3 AND 10 * {symbols} > 3 * n) OR ({bars} >= 3 AND 5 * {bars} > n)
+  OR (n <= 6 AND regexp_matches(t, {nav})) OR (n <= 25 AND regexp_matches(t, {boiler})) OR (n >= 3 AND length(line) - length(regexp_replace(line, '\p{{Lu}}', '', 'g')) > 2 * (length(line) - length(regexp_replace(line, '\p{{Ll}}', '', 'g')))) AS bad FROM lw),
+lost AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, CAST(coalesce(sum(chars) FILTER (bad), 0) AS BIGINT) AS lost_chars FROM bad GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '{SPACES}', '', 'g')) AS word_chars, {sql_count("text", quality.SYMBOLS)} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM m""".replace("\\\\", "\\")
+
+
 #: Matches of a pattern with their starts, from the matches and the texts between them.
 SPANS = """
   SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(generate_series(1, len(m))) AS k, m[k] AS found,
@@ -58,6 +91,7 @@ good AS (SELECT doc_id, kind, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' |
 per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, rank) AS spans FROM good GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN per USING (doc_id)""",
+    "op6_line_first": op6_sql(),
     "op9_decontaminate": r"""
 WITH folded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
