@@ -228,12 +228,12 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", o
         joined = hosted.join(F.broadcast(low), "__host", "left")
     else:
         joined = join_heavy(hosted, low, "__host", hosted.groupBy("__host").agg(F.count("*").alias("n")), "left")
-    schema = T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType())])
+    names, schema = pages.columns, T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
         for b in batches:
             lows = b.column(b.schema.get_field_index("__low")).to_pylist()
             texts = [main_text(page, frozenset(k or ())) for page, k in zip(strings(b, html_col), lows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in pages.schema.fields), pa.array(texts, pa.string())], [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, out_col])
 
     return joined.mapInArrow(run, schema)
