@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import join_heavy, map_batches, saved, strings
+from spanforge.llm.common import join_heavy, saved, strings
 
 RULE_VERSION = "1"
 KINDS = ("assign", "access", "hex", "pem")
@@ -39,12 +39,29 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def one_per_blob(rows: DataFrame) -> DataFrame:
+    """The first (blob, text) of each blob in each task; a task remembers digests only."""
+    def run(batches):
+        seen: set[str] = set()
+        for b in batches:
+            new = [x not in seen and not seen.add(x) for x in b.column(0).to_pylist()]
+            if any(new):
+                yield b.filter(pa.array(new, pa.bool_()))
+
+    return rows.select("blob", "text").mapInArrow(run, "blob string, text string")
+
+
 def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of the given (blob, text) rows; spans are kind:start:end."""
-    def scan(b: pa.RecordBatch) -> dict[str, object]:
-        return {"blob": b.column(0), "rule_version": [rule_version] * b.num_rows, "spans": [[f"{k}:{s}:{e}" for s, e, k in find(x)] for x in strings(b, "text")]}
+    """Ledger rows of the given (blob, text) rows, each blob once per task; spans are kind:start:end."""
+    def run(batches):
+        seen: set[str] = set()
+        for b in batches:
+            b = b.filter(pa.array([x not in seen and not seen.add(x) for x in b.column(0).to_pylist()], pa.bool_()))
+            if b.num_rows:
+                spans = [[f"{k}:{s}:{e}" for s, e, k in find(x)] for x in strings(b, "text")]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rule_version] * b.num_rows), pa.array(spans, pa.list_(pa.string()))], ["blob", "rule_version", "spans"])
 
-    return map_batches(blobs.select("blob", "text"), scan, LEDGER)
+    return blobs.select("blob", "text").mapInArrow(run, LEDGER)
 
 
 def scan(versions: DataFrame, *, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -53,14 +70,15 @@ def scan(versions: DataFrame, *, path_col: str = "doc_id", text_col: str = "text
     ``ledger`` holds blob, rule_version, spans of earlier runs; None means an empty one. A null text is
     the empty blob; repeated rows keep a row each; a path may have many versions; columns besides the two
     named are ignored. Copies meet before the shuffle: each task sends one text per blob, so a blob that
-    holds a third of all rows costs one text per task, and its findings are broadcast to its paths.
+    holds a third of all rows costs one text per task, and its findings are broadcast to its paths. Texts
+    are dealt out by blob without a sort; the task that gets a blob scans it once.
     """
     rows = versions.select(F.col(path_col).alias("path"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = one_per_blob(rows)
     if ledger is not None:
         done = ledger.where(F.col("rule_version") == rule_version)
         blobs = blobs.join(done.select("blob"), "blob", "left_anti")
-    new = saved(scan_blobs(blobs, rule_version))
+    new = saved(scan_blobs(blobs.repartition("blob"), rule_version))
     known = new if ledger is None else new.unionByName(done.select("blob", "rule_version", "spans"))
     paths = saved(rows.select("path", "blob"))
     found = known.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
