@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, decontam, pages, quality, secrets, toxicity
+from spanforge.llm import bpe, decontam, neardup, pages, quality, secrets, toxicity
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +24,10 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
+def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -52,6 +56,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op2_probminhash": op2_probminhash,
     "op5_deobfuscated_toxicity": op5_deobfuscated_toxicity,
     "op6_line_first": op6_line_first,
     "op7_site_style_tree": op7_site_style_tree,
@@ -105,6 +110,17 @@ good AS (SELECT doc_id, kind, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' |
 per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, rank) AS spans FROM good GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN per USING (doc_id)""",
+    "op2_probminhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+rep AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep FROM w),
+sh AS (SELECT DISTINCT rep, hash(array_to_string(w[k:k + 4], ' ')) AS s FROM (SELECT rep, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS k FROM rep WHERE rep = doc_id AND len(w) > 0)),
+n AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep),
+pairs AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.rep <> y.rep GROUP BY ALL),
+link AS (SELECT a, b FROM pairs JOIN n na ON na.rep = a JOIN n nb ON nb.rep = b WHERE c >= 0.8 * (na.n + nb.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT a AS rep, least(a, min(b)) AS root FROM reach GROUP BY a),
+per AS (SELECT doc_id, coalesce(root, rep.rep) AS class_id FROM rep LEFT JOIN root ON root.rep = rep.rep)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM per""",
     "op6_line_first": op6_sql(),
     "op9_decontaminate": r"""
 WITH folded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
