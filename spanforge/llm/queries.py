@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, decontam, neardup, pages, quality, secrets, toxicity
+from spanforge.llm import bpe, decontam, dialogue, lm, neardup, pages, quality, secrets, tokencount, toxicity
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,16 @@ def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = docs.withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.length(F.coalesce("text", F.lit("")))))
+    return tokencount.recount(edited, "edits", BPE_FILE).select("doc_id", "n_before", "n_after", "n_pretokens", "n_reencoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def op5_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -45,6 +55,10 @@ def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -57,9 +71,12 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_probminhash": op2_probminhash,
+    "op3_perspectives": op3_perspectives,
+    "op4_edit_aware_counts": op4_edit_aware_counts,
     "op5_deobfuscated_toxicity": op5_deobfuscated_toxicity,
     "op6_line_first": op6_line_first,
     "op7_site_style_tree": op7_site_style_tree,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
@@ -121,6 +138,15 @@ reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN lin
 root AS (SELECT a AS rep, least(a, min(b)) AS root FROM reach GROUP BY a),
 per AS (SELECT doc_id, coalesce(root, rep.rep) AS class_id FROM rep LEFT JOIN root ON root.rep = rep.rep)
 SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM per""",
+    "op3_perspectives": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, CASE WHEN role = 'user' THEN '<|im_start|>user name=' || speaker ELSE '<|im_start|>' || role END || chr(10) AS head FROM r),
+s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg_end FROM s)
+SELECT conv_id, perspective, turn, role, speaker, segment, seg_end - length(segment) AS seg_start, seg_end,
+  CASE WHEN role = 'assistant' THEN seg_end - length(segment) + length(head) ELSE seg_end END AS loss_start, seg_end AS loss_end FROM o""",
     "op6_line_first": op6_sql(),
     "op9_decontaminate": r"""
 WITH folded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
