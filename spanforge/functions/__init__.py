@@ -1 +1 @@
-
+"""Column expressions on intervals."""

@@ -1 +1 @@
-
+"""Operators on ranges: DataFrame in, DataFrame out, no collect of rows."""

@@ -1 +1 @@
-
+"""Plan builders: dense places, split scans, plan checks."""

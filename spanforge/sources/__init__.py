@@ -1 +1 @@
-
+"""Readers, writers and role binding."""

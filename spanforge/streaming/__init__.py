@@ -1 +1 @@
-
+"""Streams are out of scope: the operators work on bounded tables, and nothing here needs a stream."""
