@@ -20,6 +20,8 @@ from spanforge.llm.common import strings
 LEAF = 64
 #: Characters after the end of a pre-token that can decide where it ends.
 AHEAD = 2
+#: Fewer new words than this are not worth a vectorised check.
+FEW = 40
 
 
 class Counter:
@@ -28,22 +30,29 @@ class Counter:
     def __init__(self, bpe: SpeculativeBPE):
         self.bpe, self.known = bpe, {}
 
-    def count(self, words: list[str]) -> list[int]:
+    def learn(self, words: set[str]) -> dict[str, int]:
+        """Counts of those that are not known yet; many at once are checked together, a few are merged one by one."""
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        new = self.bpe.encode_words(list(set(words) - self.known.keys()))
-        fresh = {w: len(t) // 4 for w, t in new.items()}
+        new = [w for w in words if w not in self.known]
+        if len(new) < FEW:
+            fresh = {w: len(self.bpe.exact(w.encode())) for w in new}
+        else:
+            fresh = {w: len(t) // 4 for w, t in self.bpe.encode_words(new).items()}
         self.known.update((w, n) for w, n in fresh.items() if len(w) <= CACHE_LENGTH)
-        get = self.known.get
+        return fresh
+
+    def count(self, words: list[str]) -> list[int]:
+        fresh, get = self.learn(set(words)), self.known.get
         return [n if (n := get(w)) is not None else fresh[w] for w in words]
 
 
 class Tree:
     """The segment tree of one text."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, words: list[str] | None = None):
         self.text, self.counter = text, counter
-        words = counter.bpe.split.findall(text)
+        words = counter.bpe.split.findall(text) if words is None else words
         self.reencoded = 0
         sizes = np.array([list(map(len, words)), counter.count(words)], np.int64).reshape(2, -1).T
         self.leaves = [sizes[k : k + LEAF] for k in range(0, len(sizes), LEAF)] or [np.zeros((0, 2), np.int64)]
@@ -135,9 +144,10 @@ def recount(docs: DataFrame, edits_col: str, path: str, *, id_col: str = "doc_id
             COUNTERS[path] = Counter(SpeculativeBPE.load(path))
         counter = COUNTERS[path]
         for b in batches:
+            texts = strings(b, "text")
             out: list[list] = [[], [], [], [], []]
-            for text, edits in zip(strings(b, "text"), b.column(2).to_pylist(), strict=True):
-                tree = Tree(text, counter)
+            for text, words, edits in zip(texts, pieces(texts, counter), b.column(2).to_pylist(), strict=True):
+                tree = Tree(text, counter, words)
                 before = tree.tokens
                 for e in sorted(edits or [], key=lambda e: (e["seq"] or 0, e["start"] or 0, e["end"] or 0, e["new"] or "")):
                     tree.replace(e["start"] or 0, e["end"] or 0, e["new"] or "")
@@ -149,6 +159,20 @@ def recount(docs: DataFrame, edits_col: str, path: str, *, id_col: str = "doc_id
     return df.mapInArrow(run, f"id {kind}, n_before long, n_after long, n_pretokens long, n_reencoded long, edited string").withColumnRenamed("id", id_col)
 
 
+def pieces(texts: list[str], counter: Counter, chunk: int = 1_000_000):
+    """The pre-tokens of each text; those of about ``chunk`` characters are counted together before."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= chunk):
+            size += len(texts[end])
+            end += 1
+        split = [counter.bpe.split.findall(x) for x in texts[at:end]]
+        counter.learn({w for p in split for w in p})
+        yield from split
+        at = end
+
+
 def with_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", out_col: str = "edits") -> DataFrame:
     """``docs`` with the rows of ``edits`` (id, seq, start, end, new) of each document as an array; edits of one document depend on one another, so they stay together."""
     grouped = edits.groupBy(id_col).agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias(out_col))
