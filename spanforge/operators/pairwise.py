@@ -9,13 +9,13 @@ from spanforge.functions.expr import gap_between, strand_ok
 
 
 def paired(x: DataFrame, y: DataFrame, validate: bool = True) -> DataFrame:
-    """rid, seqnames, strand, xs, xe, ys, ye, and whether the two can meet. A place without partner is an error when it is read."""
+    """rid, both sequences, strands, starts and ends. A place without partner is an error when its rid is read."""
     a = x.select("rid", "seqnames", "strand", F.col("start").alias("xs"), F.col("end").alias("xe"))
     b = y.select("rid", F.col("seqnames").alias("ysq"), F.col("strand").alias("yst"), F.col("start").alias("ys"), F.col("end").alias("ye"))
     j = a.join(b, "rid", "full" if validate else "inner")
     if validate:
         lone = F.col("xs").isNull() | F.col("ys").isNull()
-        j = j.withColumn("xs", F.when(lone, F.raise_error(F.lit("x and y differ in length")).cast("int")).otherwise(F.col("xs")))
+        j = j.withColumn("rid", F.when(lone, F.raise_error(F.lit("x and y differ in length")).cast("long")).otherwise(F.col("rid")))
     return j
 
 

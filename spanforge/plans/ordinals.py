@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Sorted tables kept on disk until released.
+KEPT: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop the sorted tables of earlier plans; only for when no frame built on them is used any more."""
+    while KEPT:
+        KEPT.pop().unpersist()
+
+
 def with_ordinal(df: DataFrame, order: list, name: str = "rid") -> DataFrame:
     """``df`` with its 1-based place in the order of ``order``, which must be total for a stable result.
 
@@ -16,6 +26,7 @@ def with_ordinal(df: DataFrame, order: list, name: str = "rid") -> DataFrame:
     """
     inside = F.monotonically_increasing_id()
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", inside).persist(StorageLevel.DISK_ONLY)
+    KEPT.append(placed)
     part = F.shiftright("__at", 33)
     sizes = [(r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.count("*")).collect()]
     before, total = [], 0
