@@ -60,6 +60,12 @@ class Ranges:
             df = with_ordinal(df, [F.col(c) for c in ("seqnames", "strand", "start", "end")])
         return cls(df.select("rid", *ROLES, *[c for c in df.columns if c not in ("rid", *ROLES)]), seqinfo)
 
+    @classmethod
+    def from_rows(cls, spark: SparkSession, rows: list[tuple], mcols: str = "", lengths: dict | None = None) -> Ranges:
+        """Ranges in memory, as the other side of any join."""
+        df = io.from_rows(spark, rows, mcols)
+        return cls(df, seqinfo_of(spark, df, lengths))
+
     def _with(self, df: DataFrame) -> Ranges:
         return replace(self, df=df)
 
@@ -299,6 +305,11 @@ class RangesList:
     def rename(self, names: DataFrame) -> RangesList:
         return replace(self, df=lists.rename(self.df, self.key, names))
 
+    def take(self, positions: list[int]) -> RangesList:
+        """Groups at 1-based positions in the order of their keys."""
+        placed = with_ordinal(self.df, [F.col(self.key)], "__pos")
+        return replace(self, df=placed.where(F.col("__pos").isin(*positions)).drop("__pos"))
+
     def where(self, condition: Column) -> RangesList:
         return replace(self, df=self.df.where(condition))
 

@@ -193,7 +193,7 @@ def test_lists(spark, tmp_path):
     assert spans_ == {"A": [("c1", "+", 1, 9), ("c2", "-", 7, 8)], "B": []}
     wide = lists.bind_list(df.withColumn("w", F.zip_with("start", "end", lambda a, b: b - a + 1)), "g", seqnames="seqnames", start="start", width="w")
     assert wide.where("g = 'A'").first()["end"] == [9, 3, 8] and wide.where("g = 'A'").first()["strand"] == ["*"] * 3
-    assert x.head(-1).df.first()["g"] == "A" and len(x.tail(1)) == 1
+    assert x.head(-1).df.first()["g"] == "A" and len(x.tail(1)) == 1 and x.take([2]).df.first()["g"] == "B"
     flat = made(spark, [("a", 1, 2, "+"), ("a", 3, 4, "-"), ("b", 5, 6, "*")]).withColumn("k", F.col("seqnames"))
     assert Ranges.of(flat).split("k").element_nrows().count() == 2
 
