@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.merge import span  # noqa: F401  (the flat form of list_range)
-
 ARRAYS = ["seqnames", "start", "end", "strand"]
 
 
