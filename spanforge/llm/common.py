@@ -26,15 +26,33 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x if x is not None else "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def chunks(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of texts of about ``size`` characters; a longer text is a run of its own."""
+    at = 0
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + len(texts[end]) <= size):
+            total += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
-    """Apply ``fn`` (batch to columns) to each Arrow batch of ``df``; nothing but one batch is held."""
+    """Apply ``fn`` (batch to columns) to small Arrow batches of ``df``; nothing but one is held."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x, ARROW[k]) for n, k in zip(names, kinds, strict=True)], names)
+        for batch in slices(batches):
+            out = fn(batch)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x, ARROW[k]) for n, k in zip(names, kinds, strict=True)], names)
 
     kinds = [f.split()[1] for f in schema.split(", ")]
     return df.mapInArrow(run, schema)
@@ -63,17 +81,17 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete what :func:`saved` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if re.search(r"/t-[0-9a-f]{32}$", at):
-            p = jvm.org.apache.hadoop.fs.Path(at)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_saved(*frames: DataFrame) -> None:
+    """Delete tables of :func:`saved` once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_heavy(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner", parts: int = 200) -> DataFrame:
@@ -82,9 +100,9 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, h
     ``counts`` holds (key, n). Keys with over 1/parts of all rows number below ``parts``; their right
     rows are broadcast, a proven bound, and the rest is a plain shuffled join.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.where(F.col("n") > max(1000, total // parts)).select(key)
-    keys = [r[0] for r in heavy.collect()]
+    top = counts.where("n > 1000").orderBy(F.col("n").desc()).limit(parts).select(key, "n").collect()
+    total = counts.agg(F.sum("n")).first()[0] if top else 0
+    keys = [r[0] for r in top if r[1] > total // parts]
     if not keys:
         return left.join(right, key, how)
     hot = F.col(key).isin(keys)

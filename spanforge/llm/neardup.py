@@ -7,11 +7,12 @@ arrival is later than the latest register of its document. Two documents agree i
 the probability Jaccard of their weighted shingles. Bands of registers propose pairs, exact Jaccard of
 the distinct shingles decides.
 
-No bucket is turned into all of its pairs. A bucket's members are compared with a leader; those that
-match leave, the rest gets more leaders, twice as many each round. Two members u, v of one bucket that were
-not compared with each other have d(u, v) >= |d(u, l) - d(v, l)| for each leader l (Jaccard distance is
-a metric), so only those within the threshold of each other by that bound, and not yet in one class,
-are compared at the end. So no pair that shares a bucket is lost.
+No bucket is turned into all of its pairs. First each bucket's members are compared with one leader, the
+member with most bucket mates over all bands: the middle of a family of copies. That gives classes. Texts
+that still share a bucket with another class are then joined exactly across classes by prefix filtering: two
+sets with Jaccard t must share one of the few rarest shingles of each. In a family these are
+each text's own edits, so texts that are merely of the same family do not meet. So no pair that
+shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import FOLD, join_heavy, saved, strings
+from spanforge.llm.common import FOLD, chunks, drop_saved, join_heavy, saved, slices, strings
 
 SHINGLE, ROWS, BANDS = 5, 5, 24
 REGISTERS = ROWS * BANDS
@@ -30,9 +31,6 @@ REGISTERS = ROWS * BANDS
 PRIME, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 MASK = (1 << 64) - 1
 PLACES = np.array([pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
-#: Bytes of text that are hashed together.
-CHUNK = 1 << 20
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that scatters its input."""
@@ -49,7 +47,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * CHUNK)
+            size = n + n // 4
             tables = []
             for base in (PRIME, pow(PRIME, -1, 1 << 64)):
                 t = np.full(size, base, np.uint64)
@@ -124,71 +122,165 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(folded: bytes) -> bytes:
+    """Names the words of a folded text."""
+    return xxhash.xxh3_128_digest(b" ".join(folded.split()))
+
+
+#: Bits of a filter: so many for each digest, and at most so many in all (16 MB).
+FILTER_BITS, FILTER_MOST = 12, 1 << 27
+
+
+def places(digests: list[bytes], bits: int) -> np.ndarray:
+    """Three bits of a filter for each digest, from its own (random) bits."""
+    x = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    return np.stack([(x[:, 0] + np.uint64(k) * x[:, 1]) % np.uint64(bits) for k in range(3)], 1).astype(np.int64)
+
+
+def bloom(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the digests in ``wanted``, of bounded size; beyond it more rows pass, and joins drop them."""
+    n = wanted.count()
+    bits = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * n).bit_length()))
+
+    def run(batches):
+        for b in slices(batches):
+            at = np.unique(places(b.column(0).to_pylist(), bits))
+            word, first = np.unique(at >> 5, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.left_shift(1, at & 31), first))], ["word", "mask"])
+
+    out = np.zeros(bits >> 5, np.int64)
+    rows = wanted.select("digest").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out[rows["word"].to_numpy()] = rows["mask"].to_numpy()
+    return out.astype(np.uint32)
+
+
+def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(digest, shingles) of each wanted digest: its sorted distinct shingles as bytes.
+
+    Texts are read again, but only those that pass a filter of the wanted digests are shingled and shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
+
+    def run(batches):
+        seen: set[bytes] = set()
+        mask = shared.value
+        for b in slices(batches):
+            texts = strings(b, "text")
+            for at, end in chunks(texts):
+                folded = [x.encode().translate(FOLD) for x in texts[at:end]]
+                digests = [digest(x) for x in folded]
+                bit = places(digests, len(mask) << 5)
+                there = ((mask[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).all(1)
+                new = [k for k in np.flatnonzero(there).tolist() if digests[k] not in seen and not seen.add(digests[k])]
+                if new:
+                    o, s, _ = distinct(*shingles([folded[k] for k in new]))
+                    cuts = np.searchsorted(o, np.arange(len(new) + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in new], pa.binary()), pa.array([s[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["digest", "shingles"])
+
+    sets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest binary, shingles binary")
+    # Tasks that saw the same digest each sent it; the rows of a digest are equal.
+    return sets.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id and digest of the folded text; on the first row of a digest in a task also its size, bands and shingles."""
+    """Per row: id and digest of the folded text; on the first row of a digest in a task also its size and bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         seen: set[bytes] = set()
-        for b in batches:
+        for b in slices(batches):
             texts = strings(b, "text")
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                    size += len(texts[end])
-                    end += 1
+            for at, end in chunks(texts):
                 folded = [x.encode().translate(FOLD) for x in texts[at:end]]
-                digests = [xxhash.xxh3_128_digest(b" ".join(x.split())) for x in folded]
+                digests = [digest(x) for x in folded]
                 new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]
-                n, bands, sets = [None] * len(folded), [None] * len(folded), [None] * len(folded)
+                n, bands = [None] * len(folded), [None] * len(folded)
                 if new:
                     o, s, c = distinct(*shingles([folded[k] for k in new]))
-                    keys = band_keys(signatures(o, s, 1 + np.log(c), len(new)))
-                    cuts = np.searchsorted(o, np.arange(len(new) + 1))
+                    keys, sizes = band_keys(signatures(o, s, 1 + np.log(c), len(new))), np.bincount(o, minlength=len(new)).tolist()
                     for j, k in enumerate(new):
-                        n[k] = int(cuts[j + 1] - cuts[j])
-                        if n[k]:
-                            bands[k], sets[k] = keys[j], s[cuts[j] : cuts[j + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "digest", "n", "bands", "shingles"])
-                at = end
+                        n[k], bands[k] = sizes[j], keys[j] if sizes[j] else None
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "n", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, n long, bands array<long>, shingles binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, n long, bands array<long>")
 
 
-def verify(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, d) with the exact Jaccard distance of each (a, b); d is null where sizes alone rule out a link and the bound.
-
-    Sizes come first: a pair whose size ratio already gives a distance over 1 - (2 * threshold - 1) can
-    neither be a link nor matter to the bound, so its shingles are not fetched.
-    """
-    sizes = sketch.where("n is not null").select("digest", "n").distinct()
-    counts = pairs.groupBy(F.col("a").alias("digest")).agg(F.count("*").alias("n"))
-    sized = join_heavy(pairs.withColumnRenamed("a", "digest"), sizes.withColumnRenamed("n", "na"), "digest", counts).withColumnRenamed("digest", "a")
-    sized = sized.join(sizes.select(F.col("digest").alias("b"), F.col("n").alias("nb")), "b")
-    near = saved(sized.where(F.least("na", "nb") >= (2 * threshold - 1) * F.greatest("na", "nb")).select("a", "b"))
-    if near.isEmpty():
-        return near.select("a", "b", F.lit(1.0).alias("d"))
-    wanted = near.select(F.col("a").alias("digest")).union(near.select(F.col("b"))).distinct()
-    # One copy of each set: the tasks that saw a digest first may be many, so their rows are dropped again.
-    sets = sketch.where("n > 0").select("digest", "shingles").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    sets = saved(sets)
-    counts = near.groupBy(F.col("a").alias("digest")).agg(F.count("*").alias("n"))
-    left = join_heavy(near.withColumnRenamed("a", "digest"), sets, "digest", counts).select(F.col("digest").alias("a"), F.col("shingles").alias("sa"), F.col("b"))
-    both = left.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
-
+def jaccard(both: DataFrame) -> DataFrame:
+    """(a, b, j): the exact Jaccard of the shingle sets sa and sb of each pair."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 common = int((large[at] == small).sum())
-                out.append(1 - common / (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "d"])
+                out.append(common / (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "j"])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, j double")
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of distinct ``pairs`` whose exact Jaccard reaches the threshold; a may be in most pairs."""
+    counts = pairs.groupBy(F.col("a").alias("digest")).agg(F.count("*").alias("n"))
+    left = join_heavy(pairs.withColumnRenamed("a", "digest"), sets, "digest", counts).select(F.col("digest").alias("a"), F.col("shingles").alias("sa"), "b")
+    both = left.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
+    return jaccard(both).where(F.col("j") >= threshold - 1e-12).select("a", "b")
+
 
-    return saved(both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, d double"))
+#: Cells of the table of shingle counts: a fixed size, whatever the corpus.
+CELLS = 1 << 20
+
+
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each cell (their low bits) occur in ``sets``."""
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for b in slices(batches):
+            for x in b.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["cell", "n"])
+
+    rows = sets.select("shingles").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def open_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b) of ``rest`` (digest, n, root) with other roots that can reach the threshold, by prefix filtering.
+
+    Shingles are ordered by the count of their cell, then by value. Sets of sizes m and n with Jaccard t have
+    o = t / (1 + t) * (m + n) shingles in common, so the first common one stands among the first m - o + 1
+    and n - o + 1.
+    """
+    shared = rest.sparkSession.sparkContext.broadcast(cell_counts(sets))
+
+    def run(batches):
+        for b in slices(batches):
+            parts = []
+            for x in b.column(3).to_pylist():
+                x = np.frombuffer(x, np.uint64)
+                order = np.lexsort((x, shared.value[(x & np.uint64(CELLS - 1)).astype(np.int64)]))
+                parts.append(x[order[: len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1]].view(np.int64))
+            sizes = [len(x) for x in parts]
+            at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            place = np.concatenate([np.arange(1, n + 1) for n in sizes])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(np.concatenate(parts)), pa.array(place)], ["digest", "n", "root", "s", "place"])
+
+    prefix = saved(rest.join(sets, "digest").select("digest", "n", "root", "shingles").mapInArrow(run, "digest binary, n long, root binary, s long, place long"))
+    # Of a shingle's classes the largest is never joined with itself, so a family of any size costs no pairs.
+    per = prefix.groupBy("s", "root").agg(F.count("*").alias("c"))
+    top = saved(per.groupBy("s").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"), F.sum("c").alias("n")).where("roots > 1"))
+    marked = saved(join_heavy(prefix, top.select("s", F.col("top.root").alias("largest")), "s", top))
+    x, y = (marked.select("s", F.col("digest").alias(a), F.col("n").alias(f"n{a}"), F.col("root").alias(f"r{a}"), F.col("place").alias(f"p{a}"), (F.col("root") == F.col("largest")).alias(f"t{a}")) for a in "ab")
+    common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (F.col("pa") <= F.col("na") - common + 1) & (F.col("pb") <= F.col("nb") - common + 1)
+    pairs = x.where(~F.col("ta")).join(y, "s").where((F.col("ra") != F.col("rb")) & (F.col("tb") | (F.col("a") < F.col("b"))) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,17 +290,20 @@ def components(edges: DataFrame) -> DataFrame:
     edges, which shrink to one star per component.
     """
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    # Number and sum of hashes of the edges tell whether a round changed them.
+    print_ = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("low", "a"))
         large = join_heavy(both, least.select("a", "low"), "a", least.select("a", "n")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        large = saved(large)
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(least.withColumnRenamed("low", "b")).distinct()
-        new = saved(small)
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        old, edges = edges, saved(small)
+        drop_saved(old)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == print_:
             break
-        edges = new
+        print_ = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -219,49 +314,32 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows with the same id are rows of their own; a class without any id has a null class_id; other
     columns are ignored. Everything after the sketches works on digests of distinct texts.
     """
-    far = 1 - threshold + 1e-12
     sketch = saved(sketches(docs, id_col, text_col))
-    # Copies that several tasks saw meet here.
-    buckets = sketch.where("bands is not null").select(F.explode("bands").alias("band"), "digest").distinct()
-    counts = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("a")).where("n > 1")
-    counts = saved(counts)
-    members = saved(join_heavy(buckets, counts.select("band", "a"), "band", counts).select("band", "a", F.col("digest").alias("b")))
-    tests, rest, k = [], members.select("band", "b"), 1
-    asked = members.where("a <> b")
-    while True:
-        found = verify(asked.select("a", "b").distinct(), sketch, threshold)
-        # What is missing from found is farther than any bound.
-        tested = saved(asked.join(found, ["a", "b"], "left").select("band", "a", "b", F.coalesce("d", F.lit(1.0)).alias("d")))
-        tests.append(tested)
-        gone = tested.where(F.col("d") <= far).select("band", "b").unionByName(asked.select("band", F.col("a").alias("b"))).distinct()
-        left = rest.join(gone, ["band", "b"], "left_anti")
-        many = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        rest = saved(left.join(many.select("band"), "band", "left_semi"))
-        if rest.isEmpty():
-            break
-        k = min(2 * k, 64)
-        leaders = rest.groupBy("band").agg(*[F.min(F.struct(F.xxhash64("b", F.lit(j)).alias("h"), F.col("b").alias("b"))).alias(f"l{j}") for j in range(k)])
-        leaders = leaders.select("band", F.explode(F.array_distinct(F.array(*[F.col(f"l{j}.b") for j in range(k)]))).alias("a"))
-        asked = saved(rest.join(leaders, "band").where("a <> b"))
-    every = tests[0]
-    for t in tests[1:]:
-        every = every.unionByName(t)
-    links = every.where(F.col("d") <= far).select("a", "b").distinct()
+    buckets = sketch.where("bands is not null").select(F.explode("bands").alias("band"), "digest", "n")
+    counts = saved(buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("band", "n"))
+    # Copies that several tasks saw are the same member.
+    members = saved(join_heavy(buckets, counts.withColumnRenamed("n", "mates"), "band", counts).distinct())
+    score = members.groupBy("digest").agg(F.sum("mates").alias("score"))
+    best = members.join(score, "digest").groupBy("band").agg(F.max(F.struct("score", "digest", "n")).alias("l")).select("band", F.col("l.digest").alias("a"), F.col("l.n").alias("na"))
+    asked = join_heavy(members, best, "band", counts).where("a <> digest").where(F.least("na", "n") >= threshold * F.greatest("na", "n"))
+    pairs = saved(asked.select("a", F.col("digest").alias("b")).distinct())
+    wanted = saved(members.select("digest").distinct())
+    sets = saved(shingle_sets(docs, text_col, wanted))
+    links = saved(links_of(pairs, sets, threshold))
     roots = saved(components(links))
-    # What the bound leaves open between the classes found so far.
-    border = every.where(F.col("d") <= 2 * far).select("band", "a", "b", "d").join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    inner, outer = border.where(F.col("d") <= far), border.where(F.col("d") > far)
-    mixed = outer.select("band", "a").distinct()
-    inner = inner.join(mixed, ["band", "a"], "left_semi").select("band", "a", F.col("b").alias("v"), F.col("d").alias("dv"), F.col("root").alias("rv"))
-    open_pairs = outer.join(inner, ["band", "a"]).where((F.col("root") != F.col("rv")) & (F.col("d") - F.col("dv") <= far)).select(F.least("b", "v").alias("a"), F.greatest("b", "v").alias("b")).distinct()
-    open_pairs = saved(open_pairs)
-    if not open_pairs.isEmpty():
-        more = verify(open_pairs, sketch, threshold).where(F.col("d") <= far).select("a", "b")
-        roots = saved(components(links.unionByName(more)))
+    classed = members.select("band", "digest", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    mixed = classed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    rest = saved(join_heavy(classed, mixed.select("band"), "band", mixed.select("band", "n"), "left_semi").select("digest", "n", "root").distinct())
+    drop_saved(pairs, roots)
+    left = saved(open_pairs(rest, sets, threshold))
+    more = saved(links_of(left, sets, threshold))
+    drop_saved(counts, members, wanted, sets, rest, left)
+    roots = saved(components(links.unionByName(more)))
     rows = sketch.select("id", "digest")
     counts = rows.groupBy("digest").agg(F.count("*").alias("n"))
     placed = join_heavy(rows, roots.withColumnRenamed("node", "digest"), "digest", counts, "left").withColumn("root", F.coalesce("root", "digest"))
     placed = saved(placed)
+    drop_saved(sketch, links, more, roots)
     per = placed.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     return join_heavy(placed, per.select("root", "class_id", F.col("n").alias("class_size")), "root", per.select("root", "n")).select(F.col("id").alias(id_col), "class_id", "class_size")
 
@@ -269,13 +347,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each class, that of its least id; all columns as they are.
 
-    Of rows with the same id one stays; a class without ids keeps its rows with a null id, as nothing tells them apart.
+    Of rows with the same id one stays. Rows without an id cannot be named as copies and all stay.
     """
-    found = saved(classes(docs, id_col=id_col, text_col=text_col, threshold=threshold))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    kept = saved(kept)
-    stay = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
-    again = kept.where("__n > 1 and __id is not null")
-    if again.isEmpty():
-        return stay(kept)
-    return stay(kept.where("__n = 1 or __id is null")).unionByName(stay(again).dropDuplicates([id_col]))
+    found = classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    kept = saved(found.where(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")))
+    stay = lambda ids: docs.join(ids, docs[id_col] == ids["__id"], "left_semi")
+    out = stay(kept.where("__n = 1")).unionByName(docs.where(F.col(id_col).isNull()))
+    again = kept.where("__n > 1")
+    return out if again.isEmpty() else out.unionByName(stay(again).dropDuplicates([id_col]))
