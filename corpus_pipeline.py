@@ -37,8 +37,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding the ids gives the text again."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), BPE_FILE), BPE_FILE)
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = bpe.encode(docs.select("doc_id", "text"), BPE_FILE, check_col="round_trip")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_leaks), ("secrets", redact_secrets), ("bpe", encode)]

@@ -17,13 +17,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from spanforge.llm.common import map_batches, strings
+from spanforge.llm.common import chunks, map_batches, slices, strings
 
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their ids in one worker; beyond that the memory is emptied, which costs time only.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Words of so many bytes are merged by scanning, longer ones with a heap.
+SHORT = 32
 #: Longer words are not kept.
 CACHE_LENGTH = 64
 
@@ -55,11 +58,12 @@ class SpeculativeBPE:
         n = len(self.bytes_of)
         self.left, self.right, self.rank = np.arange(n), np.arange(n), np.full(n, -1)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        keys, self.merges = np.empty(len(pairs), np.int64), {}
+        keys, self.merges, self.made = np.empty(len(pairs), np.int64), {}, []
         for r, (a, b) in enumerate(pairs):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             keys[r] = x << 32 | y
-            self.merges[x << 32 | y] = (r, z)
+            self.merges[x << 32 | y] = r
+            self.made.append(z)
             if self.rank[z] < 0:
                 self.left[z], self.right[z], self.rank[z] = x, y, r
         order = np.argsort(keys)
@@ -110,22 +114,40 @@ class SpeculativeBPE:
         return ok
 
     def exact(self, word: bytes) -> list[int]:
-        """Merge the lowest rank first, the leftmost on ties, with a heap over neighbours."""
+        """Merge the lowest rank first, the leftmost on ties."""
         ids = [self.id_of[word[k : k + 1]] for k in range(len(word))]
+        return self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
+
+    def merge_short(self, ids: list[int]) -> list[int]:
+        """By scanning the ranks of all neighbours after each merge."""
+        get, none = self.merges.get, len(self.made)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (r := min(ranks)) < none:
+            k = ranks.index(r)
+            ids[k] = self.made[r]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 32 | ids[k], none)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] << 32 | ids[k + 1], none)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """By a heap of neighbours, for words without a bound on their length."""
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        heap = [(m[0], k, m[1], ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (m := self.merges.get(ids[k] << 32 | ids[k + 1]))]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (r := self.merges.get(ids[k] << 32 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, new, x, y = heapq.heappop(heap)
+            r, k, x, y = heapq.heappop(heap)
             j = after[k]
             if ids[k] != x or j < 0 or ids[j] != y:
                 continue
-            ids[k], ids[j], after[k] = new, -1, after[j]
+            ids[k], ids[j], after[k] = self.made[r], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = k
             for p in (before[k], k):
-                if p >= 0 and after[p] >= 0 and (m := self.merges.get(ids[p] << 32 | ids[after[p]])):
-                    heapq.heappush(heap, (m[0], p, m[1], ids[p], ids[after[p]]))
+                if p >= 0 and after[p] >= 0 and (r := self.merges.get(ids[p] << 32 | ids[after[p]])) is not None:
+                    heapq.heappush(heap, (r, p, ids[p], ids[after[p]]))
         return [k for k in ids if k >= 0]
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
@@ -155,23 +177,18 @@ class SpeculativeBPE:
 
     def encode_batch(self, texts: list[str], chunk: int = 1_000_000) -> list[bytes]:
         """The ids of each whole text; new words are checked together, about ``chunk`` characters at a time."""
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= chunk):
-                size += len(texts[end])
-                end += 1
+        out = []
+        for at, end in chunks(texts, chunk):
             pieces = [self.pieces(x) for x in texts[at:end]]
             if len(self.words) > CACHE_WORDS:
                 self.words = {}
             if not self.words:
                 self.words = {s: np.array([k], "<u4").tobytes() for s, k in self.special.items()}
-            new = {w for p in pieces for w in p} - self.words.keys()
-            known = self.encode_words(list(new))
+            # Not a set difference, which would walk through all known words.
+            known = self.encode_words([w for w in {w for p in pieces for w in p} if w not in self.words])
             self.words.update((w, t) for w, t in known.items() if len(w) <= CACHE_LENGTH)
             both = self.words if all(len(w) <= CACHE_LENGTH for w in known) else {**known, **self.words}
             out += [b"".join([both[w] for w in p]) for p in pieces]
-            at = end
         return out
 
     def decode(self, ids: bytes | np.ndarray) -> str:
@@ -181,38 +198,48 @@ class SpeculativeBPE:
         return b"".join([of[k] for k in ids.tolist()]).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
+def listed(ids: list[bytes]) -> pa.ListArray:
+    """Encoded ids as an Arrow array of lists, without Python integers."""
+    offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def encode(docs: DataFrame, path: str, *, text_col: str = "text", check_col: str | None = None) -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>); null and empty texts get an empty array.
 
-    Raises if ``docs`` has a column of that name already. Rows are independent: ties and repeats need no rule.
+    ``check_col`` names one more column: whether decoding the ids gives the text (null: the empty text)
+    again, tested in the same pass. Raises if ``docs`` has a column of one of these names already. Rows are
+    independent: ties and repeats need no rule.
     """
-    if "ids" in docs.columns:
-        raise ValueError("docs already has a column ids")
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType()))
+    added = ["ids", *([check_col] if check_col else [])]
+    if clash := set(added) & set(docs.columns):
+        raise ValueError(f"docs already has {sorted(clash)}")
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), *([StructField(check_col, BooleanType())] if check_col else [])])
 
     def run(batches):
         bpe = SpeculativeBPE.load(path)
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_batch(strings(b, text_col))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+        for b in slices(batches):
+            texts = strings(b, text_col)
+            ids = bpe.encode_batch(texts)
+            more = [pa.array([bpe.decode(i) == x for i, x in zip(ids, texts, strict=True)], pa.bool_())] if check_col else []
+            yield pa.RecordBatch.from_arrays([*b.columns, listed(ids), *more], [*b.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``coded`` with the decoded text of its ids; null ids give an empty text."""
-    from pyspark.sql.types import StringType, StructType
-
     if text_col in coded.columns:
         raise ValueError(f"coded already has a column {text_col}")
-    schema = StructType([*coded.schema.fields]).add(text_col, StringType())
+    schema = StructType([*coded.schema.fields, StructField(text_col, StringType())])
 
     def run(batches):
         bpe = SpeculativeBPE.load(path)
-        for b in batches:
-            texts = [bpe.decode(np.array(x or [], np.uint32)) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
+        for b in slices(batches):
+            column = b.column(b.schema.get_field_index(ids_col))
+            ids, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            there = column.is_valid().to_pylist()
+            texts = [bpe.decode(ids[x:y]) if ok else "" for x, y, ok in zip(cuts[:-1], cuts[1:], there, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
 
     return coded.mapInArrow(run, schema)
