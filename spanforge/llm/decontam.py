@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import WORD, folded_words, map_batches, strings
+from spanforge.llm.common import WORD, folded_words, map_batches, slices, strings
 
 #: Bytes of item text in one automaton; more items are scanned in as many passes as it takes.
 PASS_BYTES = 4 << 20
@@ -124,13 +124,15 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def scanned(docs: DataFrame, automaton: Automaton) -> DataFrame:
+    """One pass of one automaton; it is broadcast, so that a worker builds it once."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
     kind = docs.schema["id"].dataType.simpleString()
     kind = {"bigint": "long"}.get(kind, kind)
 
     def scan(batch: pa.RecordBatch) -> dict[str, object]:
         out: dict[str, list] = defaultdict(list)
         for text in strings(batch, "text"):
-            n, hit, ids = automaton.scan(text)
+            n, hit, ids = shared.value.scan(text)
             some = hit.any() if len(hit) else False
             out["n_words"].append(n)
             out["n_hit"].append(int(hit.sum()))
@@ -146,9 +148,9 @@ def scanned(docs: DataFrame, automaton: Automaton) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in whose text no window of an item occurs."""
     for a in passes(items, item_id, item_text, window):
-        def keep(batches, a=a):
-            for b in batches:
-                yield b.filter(pa.array([not a.scan(x)[2] for x in strings(b, text_col)], pa.bool_()))
+        def keep(batches, shared=docs.sparkSession.sparkContext.broadcast(a)):
+            for b in slices(batches):
+                yield b.filter(pa.array([not shared.value.scan(x)[2] for x in strings(b, text_col)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import join_heavy, saved, strings
+from spanforge.llm.common import join_heavy, saved, slices, strings
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -152,7 +152,7 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     def count(batches):
         # Summed over a few batches at most, so that a worker's memory stays bounded.
         seen: dict[tuple[str, int, int, int], int] = defaultdict(int)
-        for b in batches:
+        for b in slices(batches):
             for h, page in zip(strings(b, "host"), strings(b, "html"), strict=True):
                 children: dict[int, list[int]] = defaultdict(list)
                 texts: dict[int, list[str]] = defaultdict(list)
@@ -231,7 +231,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", o
     names, schema = pages.columns, T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             lows = b.column(b.schema.get_field_index("__low")).to_pylist()
             texts = [main_text(page, frozenset(k or ())) for page, k in zip(strings(b, html_col), lows, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, out_col])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import join_heavy, saved, strings
+from spanforge.llm.common import join_heavy, saved, slices, strings
 
 RULE_VERSION = "1"
 KINDS = ("assign", "access", "hex", "pem")
@@ -43,7 +43,7 @@ def one_per_blob(rows: DataFrame) -> DataFrame:
     """The first (blob, text) of each blob in each task; a task remembers digests only."""
     def run(batches):
         seen: set[str] = set()
-        for b in batches:
+        for b in slices(batches):
             new = [x not in seen and not seen.add(x) for x in b.column(0).to_pylist()]
             if any(new):
                 yield b.filter(pa.array(new, pa.bool_()))
@@ -55,7 +55,7 @@ def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """Ledger rows of the given (blob, text) rows, each blob once per task; spans are kind:start:end."""
     def run(batches):
         seen: set[str] = set()
-        for b in batches:
+        for b in slices(batches):
             b = b.filter(pa.array([x not in seen and not seen.add(x) for x in b.column(0).to_pylist()], pa.bool_()))
             if b.num_rows:
                 spans = [[f"{k}:{s}:{e}" for s, e, k in find(x)] for x in strings(b, "text")]
@@ -99,7 +99,7 @@ def redact(docs: DataFrame, findings: DataFrame, *, id_col: str = "doc_id", text
     keyed = join_heavy(keyed, spans.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", counts, "left").drop("__blob")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, found in zip(b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.schema.get_field_index("__spans")).to_pylist(), strict=True):
                 out.append(cut(text, found) if found else text)

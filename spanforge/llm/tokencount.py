@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bpe import CACHE_LENGTH, CACHE_WORDS, SpeculativeBPE
-from spanforge.llm.common import strings
+from spanforge.llm.common import chunks, slices, strings
 
 #: Pre-tokens of a leaf; a leaf that grows beyond twice as many is split.
 LEAF = 64
@@ -43,8 +43,12 @@ class Counter:
         return fresh
 
     def count(self, words: list[str]) -> list[int]:
-        fresh, get = self.learn(set(words)), self.known.get
-        return [n if (n := get(w)) is not None else fresh[w] for w in words]
+        get = self.known.get
+        out = [get(w) for w in words]
+        if None in out:
+            fresh = self.learn({w for w, n in zip(words, out, strict=True) if n is None})
+            out = [n if n is not None else fresh[w] for w, n in zip(words, out, strict=True)]
+        return out
 
 
 class Tree:
@@ -143,7 +147,7 @@ def recount(docs: DataFrame, edits_col: str, path: str, *, id_col: str = "doc_id
         if path not in COUNTERS:
             COUNTERS[path] = Counter(SpeculativeBPE.load(path))
         counter = COUNTERS[path]
-        for b in batches:
+        for b in slices(batches):
             texts = strings(b, "text")
             out: list[list] = [[], [], [], [], []]
             for text, words, edits in zip(texts, pieces(texts, counter), b.column(2).to_pylist(), strict=True):
@@ -161,16 +165,10 @@ def recount(docs: DataFrame, edits_col: str, path: str, *, id_col: str = "doc_id
 
 def pieces(texts: list[str], counter: Counter, chunk: int = 1_000_000):
     """The pre-tokens of each text; those of about ``chunk`` characters are counted together before."""
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= chunk):
-            size += len(texts[end])
-            end += 1
+    for at, end in chunks(texts, chunk):
         split = [counter.bpe.split.findall(x) for x in texts[at:end]]
         counter.learn({w for p in split for w in p})
         yield from split
-        at = end
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", out_col: str = "edits") -> DataFrame:
