@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import FOLD, chunks, drop_saved, join_heavy, saved, slices, strings
 
-SHINGLE, ROWS, BANDS = 5, 5, 24
+SHINGLE, ROWS, BANDS = 5, 6, 32
 REGISTERS = ROWS * BANDS
 #: Fixed odd multipliers of the hashes.
 PRIME, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -131,29 +131,59 @@ def digest(folded: bytes) -> bytes:
 FILTER_BITS, FILTER_MOST = 12, 1 << 27
 
 
-def places(digests: list[bytes], bits: int) -> np.ndarray:
-    """Three bits of a filter for each digest, from its own (random) bits."""
+def places(one: np.ndarray, two: np.ndarray, bits: int) -> np.ndarray:
+    """Three bits of a filter for each pair of 64-bit hashes."""
+    return np.stack([(one + np.uint64(k) * two) % np.uint64(bits) for k in range(3)], 1).astype(np.int64)
+
+
+def digest_places(digests: list[bytes], bits: int) -> np.ndarray:
     x = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-    return np.stack([(x[:, 0] + np.uint64(k) * x[:, 1]) % np.uint64(bits) for k in range(3)], 1).astype(np.int64)
+    return places(x[:, 0], x[:, 1], bits)
+
+
+def band_places(bands: np.ndarray, bits: int) -> np.ndarray:
+    x = bands.astype(np.int64).view(np.uint64)
+    return places(mix(x), mix(x ^ np.uint64(PRIME)), bits)
+
+
+def there(mask: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Whether all bits of each row are set in a filter."""
+    return ((mask[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).all(1)
 
 
 def bloom(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of the digests in ``wanted``, of bounded size; beyond it more rows pass, and joins drop them."""
+    """A Bloom filter of the first column (digests or bands) of ``wanted``, of bounded size; beyond it more rows pass, and joins drop them."""
     n = wanted.count()
     bits = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * n).bit_length()))
 
     def run(batches):
-        for b in slices(batches):
-            at = np.unique(places(b.column(0).to_pylist(), bits))
+        for b in slices(batches, 100_000):
+            x = b.column(0)
+            at = np.unique(digest_places(x.to_pylist(), bits) if pa.types.is_binary(x.type) else band_places(x.to_numpy(), bits))
             word, first = np.unique(at >> 5, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.left_shift(1, at & 31), first))], ["word", "mask"])
 
     out = np.zeros(bits >> 5, np.int64)
-    rows = wanted.select("digest").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    rows = wanted.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out[rows["word"].to_numpy()] = rows["mask"].to_numpy()
     return out.astype(np.uint32)
 
 
+def in_bands(sketch: DataFrame, bands: DataFrame) -> DataFrame:
+    """(band, digest, n) of the rows of ``sketch`` whose band may be one of ``bands``, by a filter."""
+    shared = sketch.sparkSession.sparkContext.broadcast(bloom(bands.select("band")))
+
+    def run(batches):
+        for b in slices(batches):
+            x = b.column(0)
+            keys = x.flatten().to_numpy()
+            hit = np.flatnonzero(there(shared.value, band_places(keys, len(shared.value) << 5)))
+            row = pa.array(hit // BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), b.column(1).take(row), b.column(2).take(row)], ["band", "digest", "n"])
+
+    return sketch.where("bands is not null").select("bands", "digest", "n").mapInArrow(run, "band long, digest binary, n long")
+
+
 def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(digest, shingles) of each wanted digest: its sorted distinct shingles as bytes.
 
@@ -169,9 +199,7 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
             for at, end in chunks(texts):
                 folded = [x.encode().translate(FOLD) for x in texts[at:end]]
                 digests = [digest(x) for x in folded]
-                bit = places(digests, len(mask) << 5)
-                there = ((mask[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1).all(1)
-                new = [k for k in np.flatnonzero(there).tolist() if digests[k] not in seen and not seen.add(digests[k])]
+                new = [k for k in np.flatnonzero(there(mask, digest_places(digests, len(mask) << 5))).tolist() if digests[k] not in seen and not seen.add(digests[k])]
                 if new:
                     o, s, _ = distinct(*shingles([folded[k] for k in new]))
                     cuts = np.searchsorted(o, np.arange(len(new) + 1))
@@ -318,7 +346,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     buckets = sketch.where("bands is not null").select(F.explode("bands").alias("band"), "digest", "n")
     counts = saved(buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("band", "n"))
     # Copies that several tasks saw are the same member.
-    members = saved(join_heavy(buckets, counts.withColumnRenamed("n", "mates"), "band", counts).distinct())
+    members = saved(join_heavy(in_bands(sketch, counts), counts.withColumnRenamed("n", "mates"), "band", counts).distinct())
     score = members.groupBy("digest").agg(F.sum("mates").alias("score"))
     best = members.join(score, "digest").groupBy("band").agg(F.max(F.struct("score", "digest", "n")).alias("l")).select("band", F.col("l.digest").alias("a"), F.col("l.n").alias("na"))
     asked = join_heavy(members, best, "band", counts).where("a <> digest").where(F.least("na", "n") >= threshold * F.greatest("na", "n"))
