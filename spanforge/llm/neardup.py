@@ -1,11 +1,11 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 Each distinct shingle of a document (five folded words; a shorter text is one shingle) is an element
-with weight 1 + ln(count). Its arrivals form a Poisson process with that rate; every arrival picks a
+of weight one. Its arrivals form a Poisson process with that rate; every arrival picks a
 register, and a register keeps the element that arrives first. An element stops as soon as its next
 arrival is later than the latest register of its document. Two documents agree in a register with
-the probability Jaccard of their weighted shingles. Bands of registers propose pairs, exact Jaccard of
-the distinct shingles decides.
+the probability Jaccard of their weighted shingles: with equal weights the Jaccard of the distinct shingles,
+however often a passage repeats. Bands of registers propose pairs, and the same Jaccard, exact, decides.
 
 No bucket is turned into all of its pairs. First each bucket's members are compared with one leader, the
 member with most bucket mates over all bands: the middle of a family of copies. That gives classes. Texts
@@ -224,8 +224,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]
                 n, bands = [None] * len(folded), [None] * len(folded)
                 if new:
-                    o, s, c = distinct(*shingles([folded[k] for k in new]))
-                    keys, sizes = band_keys(signatures(o, s, 1 + np.log(c), len(new))), np.bincount(o, minlength=len(new)).tolist()
+                    o, s, _ = distinct(*shingles([folded[k] for k in new]))
+                    keys, sizes = band_keys(signatures(o, s, np.ones(len(o)), len(new))), np.bincount(o, minlength=len(new)).tolist()
                     for j, k in enumerate(new):
                         n[k], bands[k] = sizes[j], keys[j] if sizes[j] else None
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "n", "bands"])
