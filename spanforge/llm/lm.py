@@ -4,15 +4,15 @@ Every word is predicted from the two words before and the two after it. A word i
 that class: the network gives the class, corpus counts give the member. A document's score is the sum over
 its words of log p(class | both sides) + log p(word | class), its pseudo-log-likelihood.
 
-Word counts cover all documents. Training is data-parallel over all documents: each task fits a
+Word counts cover all documents and all words. Training takes every word as a target and is data-parallel over all documents: each task fits a
 copy of the parameters on windows of its own rows, and the copies are averaged, weighted by their windows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
+import uuid
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -21,75 +21,115 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import chunks, drop_saved, folded_words, map_batches, saved, slices, strings
 
-#: Words with a probability of their own; the rest share one per class. A fixed size, whatever the corpus.
-TOP = 8192
-SINGLE, SHARED, TAIL = 64, 48, 16
-CLASSES = SINGLE + SHARED + TAIL
+#: The commonest words are classes of their own; all others are dealt by their counts to classes of about equal mass.
+SINGLE, SHARED = 64, 64
+CLASSES = SINGLE + SHARED
 HIDDEN, SIDE = 48, 2
-#: One word in so many is a target in training, from a start that depends on the text.
+#: One word in so many is a target of a round, from a start that moves on with the rounds: over all rounds every word is one.
 STRIDE = 16
-ROUNDS, RATE, BATCH = 3, 0.01, 256
+ROUNDS, RATE, BATCH = 3, 0.01, 512
 CHUNK = 8192
+#: Characters of a slice, whose words are numbered on their own.
+SLICE = 1 << 21
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; tasks sum their own words first, a bounded number at a time."""
+def sliced(docs: DataFrame) -> DataFrame:
+    """One row per slice of some texts: ids, words in each text, the texts in numbers of the slice's words, those words and their counts."""
+    kind = docs.schema["id"].dataType.simpleString()
+
     def run(batches):
-        seen: Counter[bytes] = Counter()
         for b in slices(batches):
-            for text in strings(b, "text"):
-                seen.update(folded_words(text))
-                if len(seen) > 200_000:
-                    yield counted(seen)
-                    seen = Counter()
-        if seen:
-            yield counted(seen)
+            texts = strings(b, "text")
+            for at, end in chunks(texts, SLICE):
+                number: defaultdict[bytes, int] = defaultdict()
+                number.default_factory = number.__len__
+                parts = [np.fromiter(map(number.__getitem__, w), np.uint32, len(w)) for w in map(folded_words, texts[at:end])]
+                tokens = np.concatenate(parts)
+                lists = [b.column(0).slice(at, end - at), pa.array([len(x) for x in parts], pa.int64()), pa.array([w.decode() for w in number], pa.string()), pa.array(np.bincount(tokens, minlength=len(number)), pa.int64())]
+                ids, sizes, words, counts = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), ids, sizes, pa.array([tokens.tobytes()], pa.binary()), words, counts], ["slice", "ids", "sizes", "tokens", "words", "counts"])
 
-    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("id", "text").mapInArrow(run, f"slice string, ids array<{kind}>, sizes array<long>, tokens binary, words array<string>, counts array<long>")
 
 
-def counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen]), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def word_counts(parts: DataFrame) -> DataFrame:
+    """(word, n) over all slices."""
+    return parts.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
 
 
 class Vocabulary:
-    """Class and log-probability within the class of every word."""
-
-    def __init__(self, top: list[tuple[str, int]], tail: list[tuple[int, int]]):
-        """``top``: the commonest words with counts, in order; ``tail``: (length class, distinct words) of the rest."""
-        words = top[: SINGLE]
-        rest = top[SINGLE :]
-        mass, total = 0, sum(n for _, n in rest) or 1
-        classes = [*range(len(words))]
-        for _, n in rest:
-            classes.append(SINGLE + min(SHARED - 1, mass * SHARED // total))
-            mass += n
-        sums = np.bincount(classes, [n for _, n in top], CLASSES) if top else np.zeros(CLASSES)
-        self.of = {w.encode(): k for k, (w, _) in enumerate(top)}
-        self.classes = np.array([*classes, *range(SINGLE + SHARED, CLASSES)], np.int64)
-        self.logs = np.zeros(len(self.classes))
-        if top:
-            self.logs[: len(top)] = [math.log(n / sums[c]) for (_, n), c in zip(top, classes, strict=True)]
-        for length, n in tail:
-            self.logs[len(top) + length] = -math.log(n)
+    """Class and log-probability within the class of every word, by its rank among the commonest or by its count.
+
+    Words of the same count share both, so the distinct counts (at most the root of twice the words of
+    the corpus) stand for all words.
+    """
+
+    def __init__(self, top: list[tuple[str, int]], levels: list[tuple[int, int]]):
+        """``top``: the commonest words with counts, in order; ``levels``: (count, words that have it) of all others."""
+        n = np.array(sorted(levels, reverse=True), np.int64).reshape(-1, 2)
+        self.top, self.counts = len(top), n[:, 0]
+        mass = n[:, 0] * n[:, 1]
+        shared = SINGLE + np.minimum(SHARED - 1, (np.cumsum(mass) - mass) * SHARED // max(1, int(mass.sum())))
+        sums = np.bincount(shared, mass, CLASSES)
+        self.classes = np.concatenate([np.arange(self.top), shared]).astype(np.int64)
+        self.logs = np.concatenate([np.zeros(self.top), np.log(self.counts / sums[shared])])
+        self.of: dict[bytes, int] = {}
+
+    def numbers(self, rank: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Places in ``classes`` and ``logs`` of words with these ranks (-1: not among the commonest) and counts."""
+        return np.where(rank >= 0, rank, self.top + np.searchsorted(-self.counts, -n))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get, base = self.of.get, len(self.of)
-        return np.fromiter([k if (k := get(w)) is not None else base + min(len(w), TAIL) - 1 for w in words], np.int64, len(words))
+        return np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
+
+
+def ranked(counts: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """(word, n, rank) of every counted word, and the vocabulary."""
+    top = [(r[0], r[1]) for r in counts.orderBy(F.col("n").desc(), "word").limit(SINGLE).collect()]
+    ranks = counts.sparkSession.createDataFrame([(w, k) for k, (w, _) in enumerate(top)], "word string, rank int")
+    out = counts.join(F.broadcast(ranks), "word", "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))
+    levels = [(r[0], r[1]) for r in out.where("rank < 0").groupBy("n").agg(F.count("*").alias("words")).collect()]
+    return out, Vocabulary(top, levels)
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = saved(word_counts(docs))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(TOP)
-    top = [(r[0], r[1]) for r in top.collect()]
-    bytes_in = F.least(F.octet_length("word"), F.lit(TAIL)) - 1
-    rest = counts
-    if top:
-        last, least = top[-1]
-        rest = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
-    tail = [(r[0], r[1]) for r in rest.groupBy(bytes_in.alias("k")).agg(F.count("*").alias("n")).collect()]
-    drop_saved(counts)
-    return Vocabulary(top, tail)
+    """The vocabulary with every word's place in ``of``: for tables whose words fit the driver; ``coded`` joins instead."""
+    found, words = ranked(word_counts(sliced(docs.select(F.lit(None).cast("int").alias("id"), "text"))))
+    rows = found.toArrow()
+    places = words.numbers(rows["rank"].to_numpy(), rows["n"].to_numpy())
+    words.of = {w.encode(): k for w, k in zip(rows["word"].to_pylist(), places.tolist(), strict=True)}
+    return words
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """(id, classes, member) of every row of ``docs`` (id, text): a byte per word, and the sum of log p(word | class).
+
+    The counts of all words are joined to the words of each slice as a table, whatever their number.
+    """
+    parts = saved(sliced(docs))
+    counts = saved(word_counts(parts))
+    found, words = ranked(counts)
+    known = parts.select("slice", F.posexplode("words").alias("place", "word")).join(found, "word").groupBy("slice").agg(F.collect_list(F.struct("place", "rank", "n")).alias("known"))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in slices(batches, 1):
+            words, known = shared.value, b.column(3)[0].values
+            tokens, sizes = np.frombuffer(b.column(2)[0].as_py(), np.uint32), b.column(1)[0].values.to_numpy()
+            of = np.zeros(0 if known is None else len(known), np.int64)
+            if len(of):
+                place, rank, n = (known.field(k).to_numpy() for k in range(3))
+                of[place] = words.numbers(rank, n)
+            ids, cuts = of[tokens], np.cumsum([0, *sizes])
+            codes = words.classes[ids].astype(np.uint8)
+            member = np.bincount(np.repeat(np.arange(len(sizes)), sizes), words.logs[ids], len(sizes))
+            yield pa.RecordBatch.from_arrays([b.column(0)[0].values, pa.array([codes[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array(member)], ["id", "classes", "member"])
+
+    joined = parts.select("slice", "ids", "sizes", "tokens").join(known, "slice", "left").select("ids", "sizes", "tokens", "known")
+    out = saved(joined.mapInArrow(run, f"id {kind}, classes binary, member double"))
+    drop_saved(parts, counts)
+    return out
 
 
 class Network:
@@ -130,9 +170,10 @@ class Network:
             back = (p @ self.out.T) * (1 - h * h)
             grad.out[:], grad.out_bias[:], grad.bias[:] = h.T @ p, p.sum(0), back.sum(0)
             for k in range(2 * SIDE):
-                one = np.zeros((len(t), CLASSES + 1), np.float32)
-                one[np.arange(len(t)), c[:, k]] = 1
-                grad.table[k] = one.T @ back
+                order = np.argsort(c[:, k], kind="stable")
+                seen, first = np.unique(c[order, k], return_index=True)
+                grad.table[k] = 0
+                grad.table[k][seen] = np.add.reduceat(back[order], first)
             moments[2, 0] += 1
             n = moments[2, 0]
             moments[0] += 0.1 * (grad.flat - moments[0])
@@ -151,23 +192,30 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.stack([line[at + k] for k in sides], 1) if len(at) else np.zeros((0, 2 * SIDE), np.int64), line[at], owner
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """Averages of the tasks' copies after each round; at most 16 partial sums reach the driver."""
+def targets(owner: np.ndarray, k: int, stride: int) -> np.ndarray:
+    """Which words are targets in round ``k``: each place of a text in one round of every ``stride``, whatever its task or neighbours."""
+    return (np.arange(len(owner)) - np.searchsorted(owner, owner)) % stride == 0
+
+
+def class_lists(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8) for x in b.column(b.schema.get_field_index("classes")).to_pylist()]
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
+    """Averages of the tasks' copies after each round over coded texts; at most 16 partial sums reach the driver."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(words)
     net = Network()
     for k in range(rounds):
         flat, rate = sc.broadcast(net.flat), RATE / (1 + k)
 
-        def fit(batches, flat=flat, rate=rate):
+        def fit(batches, flat=flat, rate=rate, k=k):
             own, n, moments = Network(flat.value.copy()), 0, np.zeros((3, len(flat.value)), np.float32)
             for b in slices(batches):
-                texts = strings(b, "text")
-                for at, end in chunks(texts):
-                    part = [shared.value.classes[shared.value.ids(folded_words(x))] for x in texts[at:end]]
-                    c, t, _ = windows(part)
-                    first = int(hashlib.md5(texts[at].encode()).hexdigest(), 16) % stride
-                    c, t = c[first::stride], t[first::stride]
+                texts = class_lists(b)
+                for at, end in chunks(texts, 1 << 17):
+                    c, t, owner = windows(texts[at:end])
+                    pick = targets(owner, k, stride)
+                    c, t = c[pick], t[pick]
                     own.fit(c, t, rate, moments)
                     n += len(t)
             if n:
@@ -191,27 +239,24 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
     """Per row: id, n_words, log_likelihood, per_word (null without words), from a model of all of ``docs``.
 
-    Training passes ``rounds`` times over one word in ``stride`` of every document. Null and wordless texts score 0 over no words; repeated rows count in training and score alike; other
+    Each of ``rounds`` rounds of training takes one word in ``stride`` of every document, from a start that moves on: with
+    ``stride`` up to ``rounds`` every word is a target. Null and wordless texts score 0 over no words; repeated rows count in training and score alike; other
     columns are ignored; an empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = vocabulary(texts.select("text"))
-    net = train(texts.select("text"), words, rounds, stride)
-    shared = docs.sparkSession.sparkContext.broadcast((words, net.flat))
+    found = coded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    net = train(found.select("classes"), rounds, stride)
+    shared = docs.sparkSession.sparkContext.broadcast(net.flat)
     kind = {"bigint": "long"}.get(k := docs.schema[id_col].dataType.simpleString(), k)
 
     def run(b: pa.RecordBatch) -> dict[str, object]:
-        words, flat = shared.value
-        model, out, counts = Network(flat), [], []
-        all_texts = strings(b, "text")
-        for at, end in chunks(all_texts, 1 << 17):
-            ids = [words.ids(folded_words(x)) for x in all_texts[at:end]]
-            c, t, owner = windows([words.classes[k] for k in ids])
+        model, out, counts = Network(shared.value), [], []
+        texts = class_lists(b)
+        for at, end in chunks(texts, 1 << 17):
+            c, t, owner = windows(texts[at:end])
             logs = np.concatenate([model.log_probability(c[k : k + CHUNK], t[k : k + CHUNK]) for k in range(0, len(t), CHUNK)] or [np.zeros(0)])
-            logs = logs + words.logs[np.concatenate(ids)] if len(t) else logs
-            out.append(np.bincount(owner, logs, len(ids)))
-            counts.append(np.bincount(owner, minlength=len(ids)))
-        total, n = np.concatenate(out), np.concatenate(counts)
+            out.append(np.bincount(owner, logs, end - at))
+            counts.append(np.bincount(owner, minlength=end - at))
+        total, n = np.concatenate(out) + b.column(2).to_numpy(), np.concatenate(counts)
         return {"id": b.column(0), "n_words": pa.array(n, pa.int64()), "log_likelihood": pa.array(total, pa.float64()), "per_word": pa.array(np.where(n > 0, total / np.maximum(n, 1), 0), pa.float64(), mask=n == 0)}
 
-    return map_batches(texts, run, f"id {kind}, n_words long, log_likelihood double, per_word double").withColumnRenamed("id", id_col)
+    return map_batches(found, run, f"id {kind}, n_words long, log_likelihood double, per_word double").withColumnRenamed("id", id_col)

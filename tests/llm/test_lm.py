@@ -43,3 +43,15 @@ def test_masked():
     c, t, _ = lm.windows([np.array([1, 2, 3, 4, 5])])
     d, _, _ = lm.windows([np.array([1, 2, 9, 4, 5])])
     assert (net.hidden(c)[2] == net.hidden(d)[2]).all() and not (net.hidden(c)[1] == net.hidden(d)[1]).all()
+
+
+def test_every_counted_word_has_its_own_probability(spark):
+    """Beyond any number of words: the rarer of two words of equal length scores lower."""
+    top = " ".join(f"c{k:05d} " * 4 for k in range(9000))
+    docs = spark.createDataFrame([(1, top), (2, "frequent " * 3), (3, "mistaken")], "doc_id long, text string")
+    found = {r["id"]: r["member"] for r in lm.coded(docs.withColumnRenamed("doc_id", "id")).collect()}
+    assert len(found) == 3
+    v = lm.vocabulary(docs)
+    a, b = v.ids([b"frequent", b"mistaken"])
+    assert (v.classes[a], v.logs[a]) != (v.classes[b], v.logs[b])
+    assert np.isclose(found[2], 3 * v.logs[a]) and np.isclose(found[3], v.logs[b])
