@@ -26,7 +26,7 @@ SINGLE, SHARED = 64, 64
 CLASSES = SINGLE + SHARED
 HIDDEN, SIDE = 48, 2
 #: One word in so many is a target of a round, from a start that moves on with the rounds: over all rounds every word is one.
-STRIDE = 16
+STRIDE = 3
 ROUNDS, RATE, BATCH = 3, 0.01, 512
 CHUNK = 8192
 #: Characters of a slice, whose words are numbered on their own.
@@ -194,7 +194,7 @@ def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def targets(owner: np.ndarray, k: int, stride: int) -> np.ndarray:
     """Which words are targets in round ``k``: each place of a text in one round of every ``stride``, whatever its task or neighbours."""
-    return (np.arange(len(owner)) - np.searchsorted(owner, owner)) % stride == 0
+    return (np.arange(len(owner)) - np.searchsorted(owner, owner)) % stride == k % stride
 
 
 def class_lists(b: pa.RecordBatch) -> list[np.ndarray]:

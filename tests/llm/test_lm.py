@@ -55,3 +55,10 @@ def test_every_counted_word_has_its_own_probability(spark):
     a, b = v.ids([b"frequent", b"mistaken"])
     assert (v.classes[a], v.logs[a]) != (v.classes[b], v.logs[b])
     assert np.isclose(found[2], 3 * v.logs[a]) and np.isclose(found[3], v.logs[b])
+
+
+def test_every_word_is_a_target():
+    """With the registered parameters each place of each text is a target once over the rounds, short texts too."""
+    owner = np.repeat(np.arange(6), [1, 2, 0, 5, 40, 3])
+    assert (sum(lm.targets(owner, k, lm.STRIDE).astype(int) for k in range(lm.ROUNDS)) == 1).all()
+    assert (lm.targets(owner, 1, lm.STRIDE)[owner == 4] == lm.targets(np.zeros(40, int), 1, lm.STRIDE)).all()
