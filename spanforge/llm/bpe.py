@@ -2,8 +2,9 @@
 
 A sequence of tokens is what exact merging gives if and only if every adjacent pair is: no merge
 across their border would have run before the merges that built the two tokens. So each new word is
-cut greedily into longest tokens, all adjacent pairs of a batch of words are tested at once in numpy,
-and only words with a failing pair are merged step by step.
+cut greedily into longest tokens (one automaton over all new words), all adjacent pairs of a batch of words
+are tested at once in numpy, and only words with a failing pair are merged step by step, words of one
+length side by side.
 """
 
 from __future__ import annotations
@@ -11,7 +12,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,10 +29,16 @@ from spanforge.llm.common import chunks, map_batches, slices, strings
 
 #: Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept with their ids in one worker; beyond that the memory is emptied, which costs time only.
-CACHE_WORDS = 200_000
+#: Characters below this one are split with the standard library.
+LOW = 0x250
+#: Words of a generation of a worker's memory; the last two generations are kept, which is a matter of time only.
+CACHE_WORDS = 250_000
 #: Words of so many bytes are merged by scanning, longer ones with a heap.
 SHORT = 32
+#: Fewer words of one length are merged one by one.
+FEW = 12
+#: Stands between words where the greedy automaton reads many; no byte is written so.
+BORDER = chr(256)
 #: Longer words are not kept.
 CACHE_LENGTH = 64
 
@@ -39,6 +51,85 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check_spec(spec: dict) -> None:
+    """Refuse vocabulary files that ask for steps which this encoder does not take."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        raise ValueError("only byte-level BPE without normalizer, dropout, affixes and ignored merges")
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False:
+        raise ValueError("only the byte-level split without a prefix space")
+    if (spec.get("post_processor") or {"type": "ByteLevel"})["type"] != "ByteLevel" or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("only byte-level decoding, no template")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens must stand as they are written")
+
+
+class Recent(dict):
+    """Words and what is known of them: those of the last two generations."""
+
+    def __init__(self, limit: int = CACHE_WORDS):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def __missing__(self, word: str):
+        """Raises KeyError for an unknown word; one of the older generation moves on."""
+        self[word] = found = self.older[word]
+        return found
+
+    def learn(self, found: dict) -> None:
+        """Take in what is new; ``words`` longer than CACHE_LENGTH are not for keeping and stay out."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update((w, x) for w, x in found.items() if len(w) <= CACHE_LENGTH)
+
+
+class Found(dict):
+    """The words just encoded, then those remembered."""
+
+    def __init__(self, fresh: dict, words: Recent):
+        super().__init__(fresh)
+        self.words = words
+
+    def __missing__(self, word: str):
+        self[word] = found = self.words[word]
+        return found
+
+
+class PairRanks:
+    """The rank of a merge by its pair, for arrays of pairs: a table with open addressing."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.ranks[at[free]] = left[free]
+            won = free & (self.ranks[at] == left)
+            self.keys[at[won]] = keys[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (len(self.keys) - 1)
+        used = self.keys >= 0
+        self.ranks[used] = ranks[self.ranks[used]]
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, none: int) -> np.ndarray:
+        """Ranks, ``none`` for pairs that never merge."""
+        at = self.slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.ranks[at], none)
+        live = np.flatnonzero((found != keys) & (found >= 0))
+        while len(live):
+            at[live] = (at[live] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[live]]
+            hit = found == keys[live]
+            out[live[hit]] = self.ranks[at[live[hit]]]
+            live = live[~hit & (found >= 0)]
+        return out
+
+
 class SpeculativeBPE:
     """Encoder and decoder of one vocabulary file; loads lazily in each worker process."""
 
@@ -47,6 +138,7 @@ class SpeculativeBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         of, vocab = byte_letters(), spec["model"]["vocab"]
         self.bytes_of: list[bytes] = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
         for word, k in vocab.items():
@@ -66,12 +158,22 @@ class SpeculativeBPE:
             self.made.append(z)
             if self.rank[z] < 0:
                 self.left[z], self.right[z], self.rank[z] = x, y, r
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], order
+        self.pairs, self.made_of = PairRanks(keys, np.arange(len(keys))), np.array(self.made, np.int64)
+        self.letter = np.array([self.id_of[bytes([k])] for k in range(256)], np.int64)
+        self.machine = ahocorasick.Automaton()
+        for b, k in self.id_of.items():
+            if b:
+                self.machine.add_word(b.decode("latin-1"), k)
+        self.machine.make_automaton()
         self.longest = max(map(len, self.id_of))
         self.split = regex.compile(SPLIT)
+        # The same split for texts of low characters, whose classes the standard library can hold as bitmaps: twice as fast.
+        letters, digits, spaces = ("".join(re.escape(chr(k)) for k in range(LOW) if regex.match(c, chr(k))) for c in (r"\p{L}", r"\p{N}", r"\s"))
+        low = SPLIT.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{digits}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+        self.low_split, self.high = re.compile(low), re.compile(f"[^\\x00-{chr(LOW - 1)}]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
+        self.longest_special = max(map(len, self.special), default=0)
+        self.words = Recent()
         self.checked = self.failed = 0
 
     @classmethod
@@ -80,6 +182,13 @@ class SpeculativeBPE:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def greedy_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest tokens from left to right of each word, one after the other, and the word of each."""
+        text = BORDER.join([w.decode("latin-1") for w in words])
+        found = np.fromiter(chain.from_iterable(self.machine.iter_long(text)), np.int64).reshape(-1, 2)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return found[:, 1], np.searchsorted(ends, found[:, 0], side="right")
+
     def greedy(self, word: bytes) -> list[int]:
         out, at, n, get = [], 0, len(word), self.id_of.get
         while at < n:
@@ -98,11 +207,11 @@ class SpeculativeBPE:
         rank, if it stands to the left of that merge) would have come first.
         """
         ok, a, b = np.ones(len(a), bool), a.copy(), b.copy()
-        limit, live = np.full(len(a), len(self.pair_ranks)), np.arange(len(a))
+        none = len(self.made)
+        limit, live = np.full(len(a), none), np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            at = np.minimum(np.searchsorted(self.pair_keys, key := x.astype(np.int64) << 32 | y), len(self.pair_keys) - 1)
-            bad = (self.pair_keys[at] == key) & (self.pair_ranks[at] < limit[live])
+            bad = self.pairs.get(x << 32 | y, none) < limit[live]
             ok[live[bad]] = False
             rx, ry = self.rank[x], self.rank[y]
             go = ~bad & (np.maximum(rx, ry) >= 0)
@@ -118,6 +227,60 @@ class SpeculativeBPE:
         ids = [self.id_of[word[k : k + 1]] for k in range(len(word))]
         return self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
 
+    def exact_many(self, words: list[bytes]) -> list[bytes]:
+        """:meth:`exact` of many words, as little-endian 32-bit integers; short words of one length are merged side by side."""
+        out: list = [None] * len(words)
+        of_length: dict[int, list[int]] = defaultdict(list)
+        for k, w in enumerate(words):
+            of_length[len(w)].append(k)
+        for length, at in of_length.items():
+            if 1 < length <= SHORT and len(at) >= FEW:
+                merged = self.merge_beside(np.frombuffer(b"".join([words[k] for k in at]), np.uint8).reshape(-1, length))
+            else:
+                merged = [np.array(self.exact(words[k]), "<u4").tobytes() for k in at]
+            for k, ids in zip(at, merged, strict=True):
+                out[k] = ids
+        return out
+
+    def merge_beside(self, letters: np.ndarray) -> list[bytes]:
+        """Words of one length, a row each: every step makes the first merge of each word that has one left."""
+        none, (n, size) = len(self.made), letters.shape
+        ids = np.ascontiguousarray(self.letter[letters].T)
+        # Rank and place in one number, so that the least is the lowest rank and the leftmost place of it.
+        rank = np.full((size, n), none << 6, np.int64)
+        rank[:-1] = self.pairs.get((ids[:-1] << 32 | ids[1:]).ravel(), none).reshape(size - 1, n) << 6 | np.arange(size - 1)[:, None]
+        after = np.repeat(np.arange(1, size + 1, dtype=np.int64)[:, None], n, 1)
+        before = np.repeat(np.arange(-1, size - 1, dtype=np.int64)[:, None], n, 1)
+        live, inner = np.arange(n), rank
+        while True:
+            least = inner.min(0)
+            go = least < none << 6
+            if not go.all():
+                rank[:, live] = inner
+                live, inner, least = live[go], np.ascontiguousarray(inner[:, go]), least[go]
+            if not len(live):
+                break
+            here, k = np.arange(len(live)), least & 63
+            j = after[k, live]
+            ids[k, live], ids[j, live] = self.made_of[least >> 6], -1
+            inner[j, here] = none << 6
+            far = after[j, live]
+            after[k, live] = far
+            more = far < size
+            before[far[more], live[more]] = k[more]
+            left = before[k, live]
+            both = np.concatenate([k, left])
+            w, h = np.concatenate([live, live]), np.concatenate([here, here])
+            right = np.concatenate([far, k])
+            fine = (both >= 0) & (right < size)
+            new = np.full(len(both), none, np.int64)
+            new[fine] = self.pairs.get(ids[both[fine], w[fine]] << 32 | ids[right[fine], w[fine]], none)
+            there = both >= 0
+            inner[both[there], h[there]] = new[there] << 6 | both[there]
+        flat, left = ids.T.ravel(), (ids >= 0).sum(0)
+        flat, cuts = flat[flat >= 0].astype("<u4").tobytes(), (4 * np.cumsum([0, *left])).tolist()
+        return [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def merge_short(self, ids: list[int]) -> list[int]:
         """By scanning the ranks of all neighbours after each merge."""
         get, none = self.merges.get, len(self.made)
@@ -152,43 +315,59 @@ class SpeculativeBPE:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, as little-endian 32-bit integers."""
+        if not words:
+            return {}
         raw = [w.encode() for w in words]
-        tokens = [self.greedy(w) for w in raw]
-        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.fromiter((k for t in tokens for k in t), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(tokens)), counts)
+        flat, owner = self.greedy_many(raw)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
         ok = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
         self.checked += len(words)
-        for k in np.unique(owner[inner[~ok]]).tolist():
-            self.failed += 1
-            tokens[k] = self.exact(raw[k])
-        return {w: np.array(t, "<u4").tobytes() for w, t in zip(words, tokens, strict=True)}
+        cuts = 4 * np.searchsorted(owner, np.arange(len(words) + 1))
+        whole, cuts = flat.astype("<u4").tobytes(), cuts.tolist()
+        out = {w: whole[x:y] for w, x, y in zip(words, cuts[:-1], cuts[1:], strict=True)}
+        failed = np.unique(owner[inner[~ok]]).tolist()
+        self.failed += len(failed)
+        for k, ids in zip(failed, self.exact_many([raw[k] for k in failed]), strict=True):
+            out[words[k]] = ids
+        return out
+
+    def splitter(self, text: str):
+        """The compiled split pattern for a text."""
+        return self.low_split if self.high.search(text) is None else self.split
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens; special tokens stand as they are, found before the text is split."""
         if self.cut is None or not any(s in text for s in self.special):
-            return self.split.findall(text)
+            return self.splitter(text).findall(text)
         out: list[str] = []
         for part in self.cut.split(text):
-            out += [part] if part in self.special else self.split.findall(part)
+            out += [part] if part in self.special else self.splitter(part).findall(part)
         return out
 
+    def pieces_from(self, text: str, at: int) -> Iterator[str]:
+        """The pre-tokens of ``text`` from character ``at``, a border, on; found one by one."""
+        found, n = self.splitter(text), len(text)
+        while at < n:
+            special = self.cut.search(text, at) if self.cut else None
+            stop = special.start() if special else n
+            yield from (m[0] for m in found.finditer(text, at, stop))
+            if special:
+                yield special[0]
+            at = special.end() if special else n
+
     def encode_batch(self, texts: list[str], chunk: int = 1_000_000) -> list[bytes]:
         """The ids of each whole text; new words are checked together, about ``chunk`` characters at a time."""
         out = []
         for at, end in chunks(texts, chunk):
             pieces = [self.pieces(x) for x in texts[at:end]]
-            if len(self.words) > CACHE_WORDS:
-                self.words = {}
-            if not self.words:
-                self.words = {s: np.array([k], "<u4").tobytes() for s, k in self.special.items()}
-            # Not a set difference, which would walk through all known words.
-            known = self.encode_words([w for w in {w for p in pieces for w in p} if w not in self.words])
-            self.words.update((w, t) for w, t in known.items() if len(w) <= CACHE_LENGTH)
-            both = self.words if all(len(w) <= CACHE_LENGTH for w in known) else {**known, **self.words}
-            out += [b"".join([both[w] for w in p]) for p in pieces]
+            special = {s: np.array([k], "<u4").tobytes() for s, k in self.special.items()}
+            known = self.words.older
+            fresh = self.encode_words([w for w in {w for p in pieces for w in p} if w not in self.words and w not in known and w not in special])
+            # A word that is too long for the memory, or that a new generation has dropped, is found here.
+            now = Found(fresh | special, self.words)
+            out += [b"".join(map(now.__getitem__, p)) for p in pieces]
+            self.words.learn(fresh)
         return out
 
     def decode(self, ids: bytes | np.ndarray) -> str:

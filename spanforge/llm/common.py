@@ -65,22 +65,25 @@ ARROW = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; raises where none is set, as a local one would lose rows on a cluster."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if at is None:
+    if at is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        # One machine, as in tests: any folder is shared.
         at = tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", at)
+    if at is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, and it survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out

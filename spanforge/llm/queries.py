@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import bpe, decontam, dialogue, lm, neardup, pages, quality, secrets, tokencount, toxicity
+from spanforge.llm.common import saved
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,9 +34,11 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    edited = docs.withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.length(F.coalesce("text", F.lit("")))))
-    return tokencount.recount(edited, "edits", BPE_FILE).select("doc_id", "n_before", "n_after", "n_pretokens", "n_reencoded", F.sha2("edited", 256).alias("edited_sha256"))
+    # Trees of all documents are kept first; the edits then work on what is kept.
+    kept = saved(tokencount.trees(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE_FILE), "zstd")
+    todo = kept.withColumn("edits", tokencount.sample_edits(F.col("doc_id"), F.length(F.coalesce("text", F.lit("")))))
+    edited = tokencount.edit(todo, "edits", BPE_FILE)
+    return edited.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), "n_pretokens", "n_reencoded", F.sha2(F.coalesce("text", F.lit("")), 256).alias("edited_sha256"))
 
 
 def op5_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
