@@ -1,10 +1,10 @@
 """Toxicity of deobfuscated texts.
 
 Noisy channel: what an author meant is a string of letters; the channel swaps letters for look-alikes,
-repeats them, or spaces a word out. A disguised stretch becomes a lattice of readings per character, and
-a Viterbi search under a character trigram model of the whole corpus picks the likeliest reading. A
-stretch without disguise has one reading, itself. The restored text is then scored by words and word
-beginnings that the labelled rows tie to toxicity.
+repeats them, or spaces words out. A stretch that may be disguised becomes a lattice of readings per character, and
+an exact Viterbi search under a character trigram model of the whole corpus picks the likeliest one, whatever the
+stretch's length. A reading that the model finds no likelier than random letters (keys, numbers, rulers) is not taken. The
+restored text is then scored by words and word beginnings that the labelled rows tie to toxicity.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import math
 import re
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,18 +24,29 @@ from spanforge.llm.common import chunks, drop_saved, map_batches, saved, slices,
 
 #: Letters that a look-alike may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
-#: Costs in nats of the channel: a swapped letter, a dropped repeat, a kept repeat, a dropped separator.
-SWAP, DROP, KEEP, JOIN = 1.5, 0.3, 2.0, 0.2
+#: Costs in nats of the channel: a swapped letter, a look-alike that stands for itself, a dropped repeat in a run of three or more and in one of two, a third letter in a row that is meant, a dropped separator, a separator between words.
+SWAP, ITSELF, DROP, TWICE, KEEP, JOIN, BREAK = 1.5, 4.0, 0.3, 2.0, 2.0, 0.2, 0.7
 LETTER = r"[^\W\d_]"
+#: Look-alikes that stand for letters wherever they are, and those that do so only before a letter, as they end sentences too.
+ANYWHERE, BEFORE = r"[0-9@$€£]", r"[!|+¡*]"
 LOOK = r"[0-9@$!|+€£¡*]"
-MIXED = rf"(?:[^\W_]|{LOOK})"
-#: Stretches that may be disguised: a look-alike before a letter, a letter three times over, letters one by one.
-SUSPECT = re.compile(rf"(?<![\w@$!|+€£¡*])(?=[^\W\d_]*{LOOK}+{LETTER}){MIXED}+|\w*({LETTER})\1\1\w*|(?<!\w){LETTER}(?:([ ._\-*])(?:{LETTER}|[0-9@$!])(?!\w))(?:\2(?:{LETTER}|[0-9@$!])(?!\w)){{2,}}")
+SINGLE = rf"(?:{LETTER}|[0-9@$!])(?!\w)"
+#: What gives a token away that may be disguised: a look-alike; a letter three times over; three doubled letters on end.
+MARK = re.compile(rf"{ANYWHERE}|{BEFORE}+(?={LETTER})|({LETTER})\1(?:\1|({LETTER})\2({LETTER})\3)")
+TOKEN = re.compile(rf"(?:[^\W_]|{LOOK})+")
+#: A letter that stands alone between separators, and a row of such letters.
+ALONE = re.compile(rf"[ ._\-*]{LETTER}(?=[ ._\-*])")
+SPACED = re.compile(rf"{LETTER}(?:[ ._\-*]{SINGLE}){{2,}}")
+SEPARATORS = " ._-*"
 RUNS = re.compile(r"[\W_]+")
-#: Long stretches are keys or rulers, not words.
-LONGEST = 40
+#: Characters of one kind in a row beyond so many say no more; digits are left as they are.
+LONG_RUN = re.compile(r"([^\d])\1{4,}")
+#: A reading must be likelier than letters drawn evenly from so many, per character.
+RANDOM = 26
+#: Restored stretches up to this length are remembered.
+REMEMBERED = 64
 CLASSES = 64
-N_FEATURES, MAX_TRAIN = 4000, 20_000
+MAX_TRAIN = 20_000
 #: A feature is a sure sign if at least this share of the rows that have it is toxic.
 SURE = 0.85
 
@@ -83,54 +93,129 @@ class Channel:
         two = c.sum(0) + 0.05
         low = two / two.sum(1, keepdims=True)
         self.cost = (-np.log((c + 8 * low[None]) / (c.sum(2, keepdims=True) + 8))).astype(np.float32)
-        self.restore = None
+        self.flat: list[float] = []
+        self.known: dict[tuple[str, bool], str] = {}
 
     def __getstate__(self):
-        return {"cost": self.cost, "restore": None}
-
-    def word(self, stretch: str) -> str:
-        """The likeliest reading of one stretch; itself if no reading differs."""
-        if self.restore is None:
-            self.restore = lru_cache(50_000)(self.viterbi)
-        return self.restore(stretch)
-
-    def viterbi(self, s: str) -> str:
-        if len(s) > LONGEST or 5 * sum(c.isdigit() for c in s) > 3 * len(s):
-            return s
-        run = [0] * len(s)
+        return {"cost": self.cost, "flat": [], "known": {}}
+
+    def word(self, stretch: str, spaced: bool) -> str:
+        """The reading of one stretch; itself if it is one token whose likeliest reading is no likelier than random letters."""
+        stretch = LONG_RUN.sub(lambda m: m[0][:4], stretch)
+        key = stretch, spaced
+        if (out := self.known.get(key)) is None:
+            _, out = self.viterbi(stretch, spaced)
+            if not spaced and self.plain(out) > math.log(RANDOM) * (len(out) + 1):
+                out = stretch
+            if len(stretch) <= REMEMBERED:
+                if len(self.known) > 50_000:
+                    self.known.clear()
+                self.known[key] = out
+        return out
+
+    def plain(self, s: str) -> float:
+        """Cost of a string under the character model, borders at both ends."""
+        self.flat = self.flat or self.cost.ravel().tolist()
+        k = [0, 0, *map(letter_class, s), 0]
+        return sum(self.flat[(a * CLASSES + b) * CLASSES + c] for a, b, c in zip(k, k[1:], k[2:], strict=False))
+
+    @staticmethod
+    def lattice(s: str, spaced: bool) -> list[list[tuple[str, float]]]:
+        """The readings of each character with their costs."""
+        out = []
         for k, c in enumerate(s):
-            run[k] = run[k - 1] + 1 if k and s[k - 1] == c else 1
-        for k in range(len(s) - 2, -1, -1):
-            run[k] = run[k + 1] if s[k + 1] == s[k] else run[k]
-        spaced = len(s) > 2 and not s[1].isalnum() and s[1] not in LOOKS or len(s) > 4 and s[1] == s[3] == "*"
-        cost = self.cost
-        # State: classes of the last two letters, the letters so far. Best cost per state and last letter.
-        best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        for k, c in enumerate(s):
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
             if spaced and k % 2:
-                readings = [("", JOIN)]
+                out.append([("", JOIN), (" ", BREAK)])
             elif c.isalpha():
-                readings = [(c, 0.0)]
+                out.append([(c, 0.0)])
             else:
-                readings = [(x, SWAP) for x in LOOKS.get(c, "")] + ([("", SWAP)] if c not in "0123456789" else []) + [(c, 4.0)]
-            for (a, b, last), (z, out) in best.items():
-                for x, extra in readings:
-                    ways = [("", DROP)] if x and x == last and run[k] > 2 else []
-                    ways.append((x, KEEP if ways and len(out) > 1 and out[-2] == x else 0.0))
-                    for y, more in ways:
-                        t = letter_class(y) if y else b
-                        state = (b, t, y) if y else (a, b, last)
-                        v = z + extra + more + (float(cost[a, b, t]) if y else 0.0)
+                out.append([(x, SWAP) for x in LOOKS.get(c, "")] + ([("", SWAP)] if c not in "0123456789" else []) + [(c, ITSELF)])
+        return out
+
+    def viterbi(self, s: str, spaced: bool = False) -> tuple[float, str]:
+        """The cheapest path through the lattice of ``s`` and its cost.
+
+        A state is the last two characters read, all that costs depend on; every state is kept, and they are few: as many as
+        two characters have readings.
+        """
+        self.flat = self.flat or self.cost.ravel().tolist()
+        flat, n, classes = self.flat, len(s), {"": 0}
+        best: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
+        for k, readings in enumerate(self.lattice(s, spaced)):
+            again = k > 0 and s[k - 1] == s[k]
+            run = again and (k > 1 and s[k - 2] == s[k] or k + 1 < n and s[k + 1] == s[k])
+            new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            for x, extra in readings:
+                if x not in classes:
+                    classes[x] = letter_class(x)
+                t, drop = classes[x], (DROP if run else TWICE) + extra
+                for (a, b), (z, path) in best.items():
+                    if x:
+                        v = z + extra + flat[(classes[a] * CLASSES + classes[b]) * CLASSES + t] + (KEEP if a == b == x else 0.0)
+                        state = b, x
                         if state not in new or v < new[state][0]:
-                            new[state] = (v, out + y)
-            best = dict(sorted(new.items(), key=lambda e: e[1][0])[:24])
-        return min(((z + float(cost[a, b, 0]), out) for (a, b, _), (z, out) in best.items()))[1]
+                            new[state] = v, (path, x)
+                        if not (again and b == x):
+                            continue
+                        v = z + drop
+                    else:
+                        v = z + extra
+                    state = a, b
+                    if state not in new or v < new[state][0]:
+                        new[state] = v, path
+            best = new
+        cost, path = min(((z + flat[(classes[a] * CLASSES + classes[b]) * CLASSES], path) for (a, b), (z, path) in best.items()), key=lambda e: e[0])
+        out = []
+        while path:
+            path, x = path
+            out.append(x)
+        return cost, "".join(reversed(out))
 
     def text(self, text: str) -> str:
         """Lower case, disguised stretches restored, everything but letters and digits a single space."""
-        low = text.lower()
-        return " " + RUNS.sub(" ", SUSPECT.sub(lambda m: self.word(m[0]), low)).strip() + " "
+        low, out, at = text.lower(), [], 0
+        for start, end, spaced in suspects(low):
+            out += [low[at:start], self.word(low[start:end], spaced)]
+            at = end
+        out.append(low[at:])
+        return " " + RUNS.sub(" ", "".join(out)).strip() + " "
+
+
+def tokens(low: str) -> list[tuple[int, int, bool]]:
+    """Start and end of the tokens with a mark and a letter; each is looked at once."""
+    out, at = [], 0
+    while m := MARK.search(low, at):
+        start = m.start()
+        while start > at and (low[start - 1].isalnum() or low[start - 1] in LOOKS):
+            start -= 1
+        at = TOKEN.match(low, start).end()
+        if any(map(str.isalpha, low[start:at])):
+            out.append((start, at, False))
+    return out
+
+
+def rows(low: str) -> list[tuple[int, int, bool]]:
+    """Start and end of the rows of letters that stand alone."""
+    out, at = [], 0
+    while m := ALONE.search(low, at):
+        start = m.start() + 1
+        # The letter before it may begin the row, where no separator stands before that one.
+        if start - 2 >= at and low[start - 2].isalpha() and not (start > 2 and (low[start - 3].isalnum() or low[start - 3] == "_")):
+            start -= 2
+        if found := SPACED.match(low, start):
+            out.append((start, found.end(), True))
+        at = found.end() if found else m.end()
+    return out
+
+
+def suspects(low: str) -> list[tuple[int, int, bool]]:
+    """Stretches of a lower-case text that may be disguised, in order; of two that overlap the first, then the longer one."""
+    out, last = [], 0
+    for start, end, spaced in sorted(tokens(low) + rows(low), key=lambda x: (x[0], -x[1])):
+        if start >= last:
+            out.append((start, end, spaced))
+            last = end
+    return out
 
 
 def features(restored: str) -> set[str]:
@@ -180,16 +265,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The character model counts every text. The classifier learns from at most ``max_train`` labelled rows
     (the documented bound; those of lowest hash) whose crc32(id) mod 5 is not 0; features are counted per
-    class on the executors, and the ``N_FEATURES`` strongest by log-odds come to the driver. Null labels and ids
-    are left out, repeated label rows count once (1 wins); without both classes every score is the base rate.
+    class on the executors, and those that lean to the toxic rows come to the driver: as many as the bounded sample has. Null labels and ids
+    are left out, repeated label rows count once (1 wins), of rows with one id the least text is learnt from; without
+    both classes every score is the base rate.
     """
     channel = Channel(trigram_counts(docs, text_col))
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     ids = ids.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("id"), "id").limit(max_train)
-    sample = saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "text"))
+    sample = saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id").agg(F.max("y").alias("y"), F.min(F.coalesce("text", F.lit(""))).alias("text")))
     rate = sample.agg(F.count("*"), F.sum("y")).first()
     n, pos = rate[0], rate[1] or 0
     if not 0 < pos < n:
+        drop_saved(sample)
         return Model(channel, {}, math.log((pos + 0.5) / (n - pos + 0.5)))
 
     restored = saved(map_batches(sample, lambda b: {"id": list(range(b.num_rows)), "y": b.column(1), "text": [channel.text(x) for x in strings(b, "text")]}, "id long, y int, text string"))
@@ -209,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     odds = F.log(p / q) - math.log((pos + 1) / (n - pos + 1)) - 2 * F.sqrt(1 / p + 1 / q)
     sums = restored.mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    top = sums.where(F.col("pos") >= 3).withColumn("odds", odds).where(F.col("odds") > math.log(2)).orderBy(F.col("odds").desc(), "f").limit(N_FEATURES).toPandas()
+    top = sums.where(F.col("pos") >= 3).withColumn("odds", odds).where(F.col("odds") > math.log(2)).orderBy(F.col("odds").desc(), "f").toPandas()
     names = top["f"].tolist()
     index = {f: k for k, f in enumerate(names)}
 
@@ -218,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     rows = map_batches(restored, pick, "y int, at array<int>").toPandas() if names else None
     if rows is None:
+        drop_saved(sample, restored)
         return Model(channel, {}, math.log((pos + 0.5) / (n - pos + 0.5)))
     drop_saved(sample, restored)
     # Sorted, so that the fit does not depend on the order in which tasks end.
@@ -251,7 +339,10 @@ def logistic(data: list[tuple[tuple[int, ...], int]], size: int, steps: int = 30
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row's whole text; null is the empty text, repeats score alike, other columns are ignored."""
+    """(id, score) of every row's whole text; null is the empty text, repeats score alike, other columns are ignored.
+
+    A very long text costs time in proportion to its length; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = {"bigint": "long"}.get(k := docs.schema[id_col].dataType.simpleString(), k)
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lambda b: {"id": b.column(0), "score": [shared.value.score(x) for x in strings(b, "text")]}, f"id {kind}, score double").withColumnRenamed("id", id_col)
