@@ -3,8 +3,11 @@
 All pages of a host are merged into one tree of style nodes: a node is the path of elements (tag with
 class and id) from the body down. Over the pages that have a node, the entropy of the child sequences
 shown there (presentation) and of the texts shown there (content) gives its importance: what looks or
-reads the same on every page of a site is furniture. Branches of low importance go, as do branches whose
-markup names them as furniture; the plain flow of an article is never cut by statistics.
+reads the same on every page of a site is furniture. The importance of a branch is composed of its own presentation and of what
+stands below it, by length of text; branches of low importance go. Few pages say little, so entropies are
+drawn towards 1 by as much as a few pages more would. Elements that are furniture by definition (menus, forms, scripts) go. Names of containers are a prior: outside an
+article they decide, inside one the tree has to confirm that the container stands on many pages of the site. The
+plain flow of an article, elements without class or id, is never cut by statistics.
 """
 
 from __future__ import annotations
@@ -44,23 +47,23 @@ HINTS = frozenset(
     "pagination pager toolbar skip contentinfo complementary dialog search".split()
 )
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr br section div header details summary address hgroup center".split()) | INLINE
-#: Nodes on fewer pages of a host tell nothing; nodes of lower importance go; weight of presentation.
-MIN_PAGES, LEAST, PRESENTATION = 12, 0.3, 0.3
+#: Elements that names can mark as furniture; headings, paragraphs, list items and inline elements are never judged by name.
+NAMED = frozenset("div section aside ul ol dl table header article main details center figure".split())
+#: Branches of lower importance go; pages of full entropy that every node is given on top of its own; weight left to what stands below a node for each way in which it is laid out.
+LEAST, EXTRA, BELOW = 0.3, 4.0, 0.9
 
-Node = tuple[str, bool, bool]  # element key, named as furniture, is an article's container
+Node = tuple[str, bool, bool, bool]  # element key, furniture by definition, named as furniture, is an article's container
 
 
 def element(tag: str, attributes: str, inside: bool) -> Node:
-    """The style key of an element, whether its markup names it as furniture, whether it starts an article."""
+    """The style key of an element, whether it is furniture by definition or by name, whether it starts an article."""
     main = tag in ("article", "main")
     given = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
-    names = " ".join(given.get(k, "") for k in ("class", "id", "role"))
-    parts = {x for x in SPLIT.split(names) if x}
+    parts = {x for x in SPLIT.split(" ".join(given.get(k, "") for k in ("class", "id", "role"))) if x}
     bad = tag in FURNITURE or tag == "header" and not inside or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-    if parts and (not main or inside) and tag not in ("html", "body"):
-        bad = bad or not parts.isdisjoint(HINTS) or "header" in parts and not inside and tag in ("div", "section")
+    named = tag in NAMED and (not main or inside) and (not parts.isdisjoint(HINTS) or "header" in parts and not inside and tag in ("div", "section"))
     key = tag + "".join(f".{x}" for x in sorted(parts) if not x.isdigit())
-    return key, bad, main or given.get("role") in ("main", "article")
+    return key, bad, named, main or given.get("role") in ("main", "article")
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[Node, ...], str]]:
@@ -98,7 +101,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[Node, ...], str]]:
             if any(t == tag for t, _ in stack):
                 while True:
                     t, x = stack.pop()
-                    inside -= x[2]
+                    inside -= x[3]
                     if t == tag:
                         break
             continue
@@ -107,7 +110,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[Node, ...], str]]:
             ends = ENDS.get(tag, ())
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
-                    inside -= sum(x[2] for _, x in stack[k:])
+                    inside -= sum(x[3] for _, x in stack[k:])
                     del stack[k:]
                 elif stack[k][0] in CONTAINERS:
                     break
@@ -124,14 +127,14 @@ def blocks(page: str) -> Iterator[tuple[tuple[Node, ...], str]]:
             if tag in INLINE:
                 yield from flush()
             stack.append((tag, node))
-            inside += node[2]
+            inside += node[3]
     yield from flush()
 
 
 def node_ids(path: tuple[Node, ...]) -> list[int]:
     """One 64-bit id for each prefix of the path."""
     out, key = [], ""
-    for name, _, _ in path:
+    for name, *_ in path:
         key += "/" + name
         out.append(xxhash.xxh3_64_intdigest(key) - (1 << 63))
     return out
@@ -139,14 +142,16 @@ def node_ids(path: tuple[Node, ...]) -> list[int]:
 
 def flow(path: tuple[Node, ...]) -> bool:
     """Whether the block lies in an article, below nothing but unnamed flow elements."""
-    starts = [k for k, x in enumerate(path) if x[2]]
-    return bool(starts) and all(x[0] in FLOW or x[2] for x in path[starts[-1] + 1 :])
+    starts = [k for k, x in enumerate(path) if x[3]]
+    return bool(starts) and all(x[0] in FLOW or x[3] for x in path[starts[-1] + 1 :])
 
 
 def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """(host, node, pages, importance): every style node of every host with the composite of both entropies.
+    """(host, node, named, look, read, ways, share): every style node of every host.
 
-    Counts are summed inside each task before they are dealt out by host, node and feature, so a host with
+    ``look`` and ``read`` are the entropies of presentation and content (null: no children, no text), ``ways`` the number of
+    child sequences, ``share`` the share of the host's pages that have the node, all drawn towards 1 by EXTRA pages. Counts are summed
+    inside each task before they are dealt out by host, node and feature, so a host with
     a third of all pages is no heavy group; entropies are sums over features.
     """
     def count(batches):
@@ -156,17 +161,21 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
             for h, page in zip(strings(b, "host"), strings(b, "html"), strict=True):
                 children: dict[int, list[int]] = defaultdict(list)
                 texts: dict[int, list[str]] = defaultdict(list)
+                named: set[int] = set()
                 for path, text in blocks(page):
                     ids = node_ids(path)
+                    named.update(k for k, x in zip(ids, path, strict=True) if x[2])
                     for up, down in zip(ids, ids[1:], strict=False):
                         if not children[up] or children[up][-1] != down:
                             children[up].append(down)
                     if ids:
                         texts[ids[-1]].append(text)
                 for node, downs in children.items():
-                    seen[h, node, 0, xxhash.xxh3_64_intdigest(np.array(downs, np.int64).tobytes()) - (1 << 63)] += 1
+                    seen[h, node, LOOK, xxhash.xxh3_64_intdigest(np.array(downs, np.int64).tobytes()) - (1 << 63)] += 1
                 for node, shown in texts.items():
-                    seen[h, node, 1, xxhash.xxh3_64_intdigest("\n".join(shown)) - (1 << 63)] += 1
+                    seen[h, node, READ, xxhash.xxh3_64_intdigest("\n".join(shown)) - (1 << 63)] += 1
+                for node in children.keys() | texts.keys():
+                    seen[h, node, NAMED_ON if node in named else THERE, 0] += 1
             if len(seen) > 200_000:
                 yield counted(seen)
                 seen.clear()
@@ -175,12 +184,19 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
 
     raw = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(count, "host string, node long, kind int, feature long, n long")
     per = raw.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
-    sums = per.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    # H = -sum p log_m p with p = n/m, which is 1 - sum(n log n) / (m log m).
-    entropy = F.when(F.col("m") > 1, 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    both = sums.groupBy("host", "node").agg(F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, entropy)).alias("look"), F.max(F.when(F.col("kind") == 1, entropy)).alias("read"))
-    importance = F.when(F.col("read").isNull(), F.col("look")).when(F.col("look").isNull(), F.col("read")).otherwise(PRESENTATION * F.col("look") + (1 - PRESENTATION) * F.col("read"))
-    return both.select("host", "node", "pages", importance.alias("importance"))
+    sums = per.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.count("*").alias("ways"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    # H = -sum p log_m p with p = n/m, which is 1 - sum(n log n) / (m log m); one page has H = 1.
+    m = F.col("m")
+    entropy = (m * F.when(m > 1, 1 - F.col("nlogn") / (m * F.log("m"))).otherwise(1.0) + EXTRA) / (m + EXTRA)
+    pick = lambda kind, of, fn=F.max: fn(F.when(F.col("kind") == kind, of))
+    there = F.col("kind").isin(THERE, NAMED_ON)
+    both = sums.groupBy("host", "node").agg(pick(LOOK, entropy).alias("look"), pick(READ, entropy).alias("read"), pick(LOOK, F.col("ways")).alias("ways"), F.sum(F.when(there, m)).alias("on"), F.coalesce(F.bool_or(F.col("kind") == NAMED_ON), F.lit(False)).alias("named"))
+    number = pages.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count("*").alias("of"))
+    return both.join(number, "host").select("host", "node", "named", "look", "read", "ways", ((F.col("on") + EXTRA) / (F.col("of") + EXTRA)).alias("share"))
+
+
+#: Kinds of counted features: child sequences, texts, pages with the node, pages with it under a name of furniture.
+LOOK, READ, THERE, NAMED_ON = range(4)
 
 
 def counted(seen: dict) -> pa.RecordBatch:
@@ -188,24 +204,60 @@ def counted(seen: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), *(pa.array([k[i] for k in keys], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64()))), pa.array(list(seen.values()), pa.int64())], ["host", "node", "kind", "feature", "n"])
 
 
-def main_text(page: str, low: frozenset[int]) -> str:
-    """The blocks that stay, joined by an empty line; ``low`` holds the host's nodes of low importance."""
+Site = dict[int, tuple[float, float, int, bool]]  # look, read, ways, rare: of the nodes of a host that are not of full importance
+
+
+def importance(found: list[tuple[list[int], int]], site: Site) -> tuple[dict[int, float], dict[int, int]]:
+    """Composite importance and length of text of every node on a page, from (node ids, length) of its blocks.
+
+    1 - BELOW^ways of it is the node's own presentation, the rest the mean of its texts and branches by their length. Nodes
+    that the site's tree does not hold are of full importance.
+    """
+    full = (1.0, 1.0, 1, False)
+    length: dict[int, int] = defaultdict(int)
+    total: dict[int, float] = defaultdict(float)
+    up: dict[int, tuple[int, int | None]] = {}
+    for ids, n in found:
+        for depth, k in enumerate(ids):
+            length[k] += n
+            up[k] = depth, ids[depth - 1] if depth else None
+        if ids:
+            total[ids[-1]] += n * site.get(ids[-1], full)[1]
+    out: dict[int, float] = {}
+    inner = {parent for _, parent in up.values()}
+    for k in sorted(up, key=lambda k: -up[k][0]):
+        look, _, ways, _ = site.get(k, full)
+        below = BELOW**ways if k in inner else 1.0
+        out[k] = (1 - below) * look + below * total[k] / max(1, length[k])
+        if up[k][1] is not None:
+            total[up[k][1]] += length[k] * out[k]
+    return out, length
+
+
+def dropped(path: tuple[Node, ...], ids: list[int], site: Site) -> bool:
+    """Whether an element around a block is furniture by definition or by name; inside an article names of containers that few pages of the site have do not count."""
+    inside = False
+    for k, (_, bad, named, main) in enumerate(path):
+        if bad or named and not (inside and k < len(ids) and ids[k] in site and site[ids[k]][3]):
+            return True
+        inside = inside or main
+    return False
+
+
+def main_text(page: str, site: Site) -> str:
+    """The blocks that stay, joined by an empty line; ``site`` holds nodes of the page's host, empty if nothing is known."""
     found = list(blocks(page))
-    named = [any(x[1] for x in path) for path, _ in found]
-    has_article = any(any(x[2] for x in path) and not bad for (path, _), bad in zip(found, named, strict=True))
-    total = sum(len(t) for (_, t), bad in zip(found, named, strict=True) if not bad)
-    weight: dict[int, int] = defaultdict(int)
-    ids = [node_ids(path) if low else [] for path, _ in found]
-    for (_, t), bad, nodes in zip(found, named, ids, strict=True):
-        if not bad:
-            for k in nodes:
-                weight[k] += len(t)
+    ids = [node_ids(path) if site else [] for path, _ in found]
+    kept = [(path, t, k) for (path, t), k in zip(found, ids, strict=True) if not dropped(path, k, site)]
+    has_article = any(any(x[3] for x in path) for path, _, _ in kept)
+    value, length = importance([(k, len(t)) for _, t, k in kept], site)
+    total = sum(len(t) for _, t, _ in kept)
     out = []
-    for (path, t), bad, nodes in zip(found, named, ids, strict=True):
-        if bad or has_article and not any(x[2] for x in path):
+    for path, t, nodes in kept:
+        if has_article and not any(x[3] for x in path):
             continue
-        # A node of low importance that holds most of the page's text is a site of copies, not furniture.
-        if low and not flow(path) and any(k in low and 2 * weight[k] <= total for k in nodes):
+        # A branch of low importance that holds most of the page's text is a site of copies, not furniture.
+        if site and not flow(path) and any(value[k] < LEAST and 2 * length[k] <= total for k in nodes):
             continue
         out.append(t)
     return "\n\n".join(out)
@@ -215,25 +267,39 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", o
     """``pages`` with a column ``main_text``; raises if there is one already.
 
     A null or empty html gives an empty text; a null url is a host of its own name, the empty string;
-    repeated rows are pages of their own; other columns stay. The nodes of low importance are broadcast
-    while they number at most ``max_broadcast_nodes`` (counted first); beyond, they are joined by host.
+    repeated rows are pages of their own; other columns stay, whatever their names; a very long page is one row; an empty table gives an
+    empty one. The nodes of less than full importance are broadcast while they number at most ``max_broadcast_nodes`` (counted first); beyond,
+    they are joined by host.
     """
     if out_col in pages.columns:
         raise ValueError(f"pages already has a column {out_col}")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    hosted = pages.withColumn("__host", host)
-    low = saved(style_tree(hosted, "__host", html_col).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).groupBy(F.col("host").alias("__host")).agg(F.collect_list("node").alias("__low")))
-    nodes = low.agg(F.sum(F.size("__low"))).first()[0] or 0
+    # The page's row is one column, so that no name of it can clash.
+    hosted = pages.select(host.alias("host"), F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"))
+    tree = style_tree(hosted.select("host", F.col(f"row.`{html_col}`").alias("html")))
+    rare = F.col("named") & (F.col("share") < LEAST)
+    known = tree.where((F.coalesce("look", F.lit(1.0)) < 0.95) | (F.coalesce("read", F.lit(1.0)) < 0.95) | rare)
+    node = F.struct("node", F.coalesce("look", F.lit(1.0)).alias("look"), F.coalesce("read", F.lit(1.0)).alias("read"), F.coalesce("ways", F.lit(1)).cast("int").alias("ways"), rare.alias("rare"))
+    sites = saved(known.groupBy("host").agg(F.collect_list(node).alias("nodes")))
+    nodes = sites.agg(F.sum(F.size("nodes"))).first()[0] or 0
     if nodes <= max_broadcast_nodes:
-        joined = hosted.join(F.broadcast(low), "__host", "left")
+        joined = hosted.join(F.broadcast(sites), "host", "left")
     else:
-        joined = join_heavy(hosted, low, "__host", hosted.groupBy("__host").agg(F.count("*").alias("n")), "left")
+        joined = join_heavy(hosted, sites, "host", hosted.groupBy("host").agg(F.count("*").alias("n")), "left")
     names, schema = pages.columns, T.StructType([*pages.schema.fields, T.StructField(out_col, T.StringType())])
+    at = names.index(html_col)
 
     def run(batches):
+        held: dict[str, Site] = {}
         for b in slices(batches):
-            lows = b.column(b.schema.get_field_index("__low")).to_pylist()
-            texts = [main_text(page, frozenset(k or ())) for page, k in zip(strings(b, html_col), lows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, out_col])
+            rows, found = b.column(1), b.column(2)
+            pages, texts = rows.field(at).to_pylist(), []
+            for k, (h, page) in enumerate(zip(b.column(0).to_pylist(), pages, strict=True)):
+                if h not in held:
+                    if len(held) > 1000:
+                        held.clear()
+                    held[h] = {x["node"]: (x["look"], x["read"], x["ways"], x["rare"]) for x in found[k].as_py() or ()}
+                texts.append(main_text(page or "", held[h]))
+            yield pa.RecordBatch.from_arrays([*(rows.field(j) for j in range(len(names))), pa.array(texts, pa.string())], [*names, out_col])
 
-    return joined.mapInArrow(run, schema)
+    return joined.select("host", "row", "nodes").mapInArrow(run, schema)

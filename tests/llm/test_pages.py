@@ -1,12 +1,17 @@
 """Main text of pages: markup cases by hand, and furniture that only a site's pages together show."""
 
+import math
 import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
 
 from spanforge.llm import pages
 
 
 def text(html):
-    return pages.main_text(html or "", frozenset())
+    return pages.main_text(html or "", {})
 
 
 def test_markup():
@@ -33,8 +38,8 @@ def test_site_tree(spark):
     assert len(got) == 43 and not any("Welcome" in t or "Call now" in t for k, t in got if k < 100)
     assert all(t.count("\n\n") == 1 for k, t in got if k < 100) and (100, "Only here") in got and (101, "") in got
     assert sorted((r["page_id"], r["main_text"]) for r in pages.extract(df, max_broadcast_nodes=0).collect()) == got
-    tree = {r["node"]: r["importance"] for r in pages.style_tree(df.where("page_id < 100").withColumn("host", df["host"])).collect()}
-    assert min(tree.values()) < 0.3 < max(tree.values())
+    tree = [r["read"] for r in pages.style_tree(df.where("page_id < 100")).collect() if r["read"] is not None]
+    assert min(tree) < 0.3 < max(tree)
 
 
 def test_copies_and_empty(spark):
@@ -42,3 +47,75 @@ def test_copies_and_empty(spark):
     df = spark.createDataFrame([(k, "http://a.example/", same) for k in range(30)], "page_id long, url string, html string")
     assert {r["main_text"] for r in pages.extract(df).collect()} == {("copied words " * 30).strip()}
     assert pages.extract(df.where("page_id > 99")).count() == 0
+
+
+def generated(rng, hosts):
+    """Pages of sites whose furniture has neutral names, with what should stay of each."""
+    rows = []
+    words = "lorem ipsum dolor sit amet elit sed do tempor".split()
+    prose = lambda n=15: " ".join(rng.choice(words) + str(rng.randrange(999)) for _ in range(n))
+    for h in range(hosts):
+        links = [f"link{h}x{k}" for k in range(6)]
+        for k in range(rng.randrange(15, 40)):
+            story = [prose() for _ in range(rng.randrange(2, 6))]
+            body = "".join(f"<p>{x}</p>" for x in story)
+            page = f"<body><div class=k1><ul>{''.join(f'<li><a href=/>{x}</a></li>' for x in links)}</ul></div><div class=k2><div class=k3>{body}<div class=k6>Written by site {h}. Follow it.</div></div></div><div class=k4><p>Imprint of site {h}</p><p>Since 19{h:02d}</p></div></body>"
+            rows.append((len(rows), f"https://h{h}.example/{k}", page, "\n\n".join(story)))
+    return rows
+
+
+def test_neutral_names(spark):
+    """Furniture that no name gives away goes by the tree, inside the story too; without the tree it all stays."""
+    rows = generated(random.Random(4), 6)
+    out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, want string")).collect()
+    assert all(r["main_text"] == r["want"] for r in out) and len(out) == len(rows)
+    assert all(text(r[2]) != r[3] for r in rows)
+
+
+def test_tree_by_plain_python(spark):
+    """Entropies, shares and composite importance against their definitions."""
+    rows = generated(random.Random(7), 2)
+    df = spark.createDataFrame([(r[1].split("/")[2], r[2]) for r in rows], "host string, html string")
+    tree = {(r["host"], r["node"]): r for r in pages.style_tree(df.repartition(3)).collect()}
+    seen = defaultdict(list)
+    for _, url, page, _ in rows:
+        children, texts = defaultdict(list), defaultdict(list)
+        for path, t in pages.blocks(page):
+            ids = pages.node_ids(path)
+            for a, b in zip(ids, ids[1:], strict=False):
+                if children[a][-1:] != [b]:
+                    children[a].append(b)
+            texts[ids[-1]].append(t)
+        for k, x in [*((("look", n), tuple(c)) for n, c in children.items() if c), *((("read", n), tuple(c)) for n, c in texts.items())]:
+            seen[(url.split("/")[2], *k)].append(x)
+    for (host, kind, node), shown in seen.items():
+        m = len(shown)
+        h = -sum(n / m * math.log(n / m, m) for n in Counter(shown).values()) if m > 1 else 1
+        r = tree[host, node]
+        assert math.isclose(r[kind], (m * h + pages.EXTRA) / (m + pages.EXTRA), abs_tol=1e-9)
+        if kind == "look":
+            assert r["ways"] == len(set(shown))
+    assert {(h, n) for h, _, n in seen} == set(tree)
+    site = {1: (0.5, 0.2, 2, False), 2: (1.0, 0.1, 1, False), 3: (0.0, 1.0, 1, False)}
+    value, length = pages.importance([([1, 2], 10), ([1, 3, 4], 30), ([1], 5)], site)
+    three = 0.1 * 0.0 + 0.9 * 1.0
+    assert length == {1: 45, 2: 10, 3: 30, 4: 30} and value[2] == 0.1 and value[4] == 1 and math.isclose(value[3], three)
+    assert math.isclose(value[1], 0.19 * 0.5 + 0.81 * (10 * 0.1 + 30 * three + 5 * 0.2) / 45)
+
+
+def test_names_are_a_prior_inside_articles(spark):
+    """A named container inside an article goes where the site has it on many pages or nothing is known; headings and paragraphs never go by name."""
+    assert text("<article><h2 id=related-work>Related</h2><p class=notice-period>x</p><p>a <span class=social>b</span></p></article>") == "Related\n\nx\n\na b"
+    rng = random.Random(9)
+    rows = [(k, f"http://p.example/{k}", f"<article><p>story {rng.random()}</p>{'<section id=search-methods><p>We searched.</p></section>' if k == 3 else ''}<div class=newsletter><p>Mail {rng.random()}</p></div></article>") for k in range(60)]
+    got = {r["page_id"]: r["main_text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "We searched." in got[3] and not any("Mail" in t for t in got.values())
+
+
+def test_long_pages_and_clashing_names(spark):
+    long = "<article>" + "".join(f"<p>paragraph {k}</p>" for k in range(20_000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://a.example/", long, "x", "y", 3)], "page_id long, url string, html string, host string, nodes string, row int")
+    r = pages.extract(df).first()
+    assert r["main_text"].count("\n\n") == 19_999 and (r["host"], r["nodes"], r["row"]) == ("x", "y", 3)
+    with pytest.raises(ValueError):
+        pages.extract(df.withColumn("main_text", F.lit("")))
