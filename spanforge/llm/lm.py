@@ -14,12 +14,13 @@ depend on the rows alone, not on how they are dealt out to tasks.
 from __future__ import annotations
 
 import math
-import uuid
+import secrets
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +40,14 @@ SLICE, UNIT = 1 << 23, 1 << 20
 
 
 def sliced(docs: DataFrame) -> DataFrame:
-    """One row per slice of some texts (id, text): ids, keys, words in each text, the texts in numbers of the slice's words, those words and their counts."""
+    """One row per slice of some texts (id, text): ids, keys, words in each text, the texts in numbers of the slice's words (packed), those words and their counts."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def row(ids: list, keys: list, parts: list[np.ndarray], number: dict[bytes, int]) -> pa.RecordBatch:
         tokens = np.concatenate(parts)
         lists = [pa.concat_arrays(ids), pa.concat_arrays(keys), pa.array([len(x) for x in parts], pa.int64()), pa.array([w.decode() for w in number], pa.string()), pa.array(np.bincount(tokens, minlength=len(number)), pa.int64())]
         ids, keys, sizes, words, counts = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), ids, keys, sizes, pa.array([tokens.tobytes()], pa.binary()), words, counts], ["slice", "ids", "keys", "sizes", "tokens", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)], pa.int64()), ids, keys, sizes, pa.array([zstandard.compress(tokens.tobytes(), 1)], pa.binary()), words, counts], ["slice", "ids", "keys", "sizes", "tokens", "words", "counts"])
 
     def run(batches):
         ids, keys, parts, size, number = [], [], [], 0, numbers()
@@ -63,7 +64,7 @@ def sliced(docs: DataFrame) -> DataFrame:
             yield row(ids, keys, parts, number)
 
     rows = docs.select("id", "text", F.xxhash64("id", "text").alias("key"))
-    return rows.mapInArrow(run, f"slice string, ids array<{kind}>, keys array<long>, sizes array<long>, tokens binary, words array<string>, counts array<long>")
+    return rows.mapInArrow(run, f"slice long, ids array<{kind}>, keys array<long>, sizes array<long>, tokens binary, words array<string>, counts array<long>")
 
 
 def numbers() -> defaultdict[bytes, int]:
@@ -95,7 +96,7 @@ def binned(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     mass = np.zeros(BINS)
     for k, n in sums:
         mass[k] = n
-    return out.join(F.broadcast(masses), "bin").select("word", "bin", F.log(F.col("n") / F.col("mass")).alias("log")), mass
+    return out.join(F.broadcast(masses), "bin").select("word", "bin", F.log(F.col("n") / F.col("mass")).cast("float").alias("log")), mass
 
 
 def coded(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, np.ndarray]:
@@ -104,7 +105,7 @@ def coded(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, np.ndarray]:
     A packed row is a unit: documents whose key falls to it, in the order of their keys, ``unit`` words on average and at most
     twice as many or one document.
     """
-    parts = saved(sliced(docs))
+    parts = saved(sliced(docs), "zstd")
     counts = saved(word_counts(parts))
     found, mass = binned(counts)
     # A slice has each word once, so a word has at most one row in as many as a slice has words.
@@ -114,7 +115,7 @@ def coded(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, np.ndarray]:
     def run(batches):
         for b in slices(batches, 1):
             ids, keys, sizes, tokens, known = (b.column(k)[0] for k in range(5))
-            tokens, sizes, known = np.frombuffer(tokens.as_py(), np.uint32), sizes.values.to_numpy(), known.values
+            tokens, sizes, known = np.frombuffer(zstandard.decompress(tokens.as_py()), np.uint32), sizes.values.to_numpy(), known.values
             n = 0 if known is None else len(known)
             bins, logs = np.zeros(n, np.uint16), np.zeros(n)
             if n:
@@ -141,7 +142,7 @@ def coded(docs: DataFrame, unit: int = UNIT) -> tuple[DataFrame, np.ndarray]:
         if held:
             yield packed(held)
 
-    out = saved(dealt.mapInArrow(pack, f"ids array<{kind}>, sizes array<long>, bins binary, member array<double>"))
+    out = saved(dealt.mapInArrow(pack, f"ids array<{kind}>, sizes array<long>, bins binary, member array<double>"), "zstd")
     drop_saved(parts, counts)
     return out, mass
 
@@ -289,10 +290,12 @@ def units(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 #: Parameters are averaged as whole numbers of 2^-GRID, so that sums do not depend on their order.
 GRID = 20
+#: Rows of parameters that the driver adds up.
+SUMS = 8
 
 
 def train(packs: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """Averages of the units' copies after each round, weighted by their words in thousands; at most 16 partial sums reach the driver."""
+    """Averages of the units' copies after each round, weighted by their words in thousands; at most SUMS partial sums reach the driver."""
     sc = packs.sparkSession.sparkContext
     net = Network.started(mass)
     for k in range(rounds):
@@ -317,7 +320,7 @@ def train(packs: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, stride: int
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([n])], ["sums", "n"])
 
-        parts = packs.select("bins", "sizes").mapInArrow(fit, "sums binary, n long").repartition(16).mapInArrow(add, "sums binary, n long").collect()
+        parts = packs.select("bins", "sizes").mapInArrow(fit, "sums binary, n long").repartition(8 * SUMS).mapInArrow(add, "sums binary, n long").repartition(SUMS).mapInArrow(add, "sums binary, n long").collect()
         flat.unpersist()
         if total := sum(r["n"] for r in parts):
             net = Network(sum(np.frombuffer(r["sums"], np.int64) for r in parts) / (total * float(1 << GRID)))
