@@ -16,12 +16,18 @@ from spanforge.llm.common import join_heavy, saved
 NARRATORS = ("system",)
 #: Fixed value: the markers of a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What both markers start with, and how it is written inside a text or a name, so that no text can open or close a turn.
+MARK, BROKEN = "<|im_", "<| im_"
 #: Turns whose lengths are summed together before the sums are chained.
 BLOCK = 256
 
 
+def unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK), F.lit(BROKEN))
+
+
 def heading(role: Column, name: Column) -> Column:
-    return F.when(role == "user", F.concat(F.lit(OPEN + "user name="), name, F.lit("\n"))).otherwise(F.concat(F.lit(OPEN), role, F.lit("\n")))
+    return F.when(role == "user", F.concat(F.lit(OPEN + "user name="), F.translate(unmarked(name), "\n\r", "  "), F.lit("\n"))).otherwise(F.concat(F.lit(OPEN), role, F.lit("\n")))
 
 
 def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = NARRATORS, block: int = BLOCK) -> DataFrame:
@@ -29,20 +35,20 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
 
     Places are code points of the whole rendering, ends exclusive; the loss span covers the words and the
     closing marker of the perspective's own turns and is empty elsewhere. A null speaker is named by the empty
-    string, a null text is empty, a null conversation is one of its own; turns with the same number are
+    string, a null text is empty, markers inside a text or a name are broken by a space and line ends in a name become spaces, a null conversation is one of its own; turns with the same number are
     ordered by speaker, then text, and repeated rows stay repeated; null turns come first. A conversation of
     narrators only has no perspective; other columns are ignored.
     """
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("speaker"), F.coalesce(text_col, F.lit("")).alias("text"))
     # Joins skip null keys, so a conversation is named by a string.
-    rows = rows.withColumn("key", F.coalesce(F.col("conv").cast("string"), F.lit("\x00null")))
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("null")))
     cast = rows.where(~F.col("speaker").isin(*narrators)).select("key", "speaker").distinct().groupBy("key").agg(F.collect_list("speaker").alias("cast"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     every = join_heavy(rows, cast, "key", sizes).withColumn("perspective", F.explode("cast")).drop("cast")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(own, "assistant").when(F.col("speaker").isin(*narrators), F.col("speaker")).otherwise("user")
     every = every.withColumn("role", role).withColumn("head", heading(F.col("role"), F.col("speaker")))
-    every = every.withColumn("segment", F.concat("head", "text", F.lit(CLOSE))).withColumn("len", F.length("segment").cast("long")).withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 40))) / block))
+    every = every.withColumn("segment", F.concat("head", unmarked(F.col("text")), F.lit(CLOSE))).withColumn("len", F.length("segment").cast("long")).withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 40))) / block))
     group = ["key", "perspective"]
     totals = every.groupBy(*group, "part").agg(F.sum("len").alias("total"))
     before = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")

@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import FOLD, chunks, drop_saved, join_heavy, saved, slices, strings
@@ -210,8 +210,12 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
     return sets.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
 
 
+def raw_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id and digest of the folded text; on the first row of a digest in a task also its size and bands."""
+    """Per row: id, hash of the text as it stands, digest of the folded text; on the first row of a digest in a task also its size and bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -228,9 +232,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     keys, sizes = band_keys(signatures(o, s, np.ones(len(o)), len(new))), np.bincount(o, minlength=len(new)).tolist()
                     for j, k in enumerate(new):
                         n[k], bands[k] = sizes[j], keys[j] if sizes[j] else None
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), b.column(2).slice(at, end - at), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "raw", "digest", "n", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, digest binary, n long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), raw_hash(text_col).alias("raw")).mapInArrow(run, f"id {kind}, raw long, digest binary, n long, bands array<long>")
 
 
 def jaccard(both: DataFrame) -> DataFrame:
@@ -335,13 +339,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per input row: id, class_id (least id of its class), class_size, n_shingles.
-
-    Texts that fold to the same words are copies; null, empty and wordless texts are copies of one another.
-    Rows with the same id are rows of their own; a class without any id has a null class_id; other
-    columns are ignored. Everything after the sketches works on digests of distinct texts.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, raw, root) of every row, saved: the hash of its text, and the digest that leads its class."""
     sketch = saved(sketches(docs, id_col, text_col))
     buckets = sketch.where("bands is not null").select(F.explode("bands").alias("band"), "digest", "n")
     counts = saved(buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("band", "n"))
@@ -363,23 +362,42 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     more = saved(links_of(left, sets, threshold))
     drop_saved(counts, members, wanted, sets, rest, left)
     roots = saved(components(links.unionByName(more)))
-    rows = sketch.select("id", "digest")
+    rows = sketch.select("id", "raw", "digest")
     counts = rows.groupBy("digest").agg(F.count("*").alias("n"))
     placed = join_heavy(rows, roots.withColumnRenamed("node", "digest"), "digest", counts, "left").withColumn("root", F.coalesce("root", "digest"))
-    placed = saved(placed)
+    placed = saved(placed.select("id", "raw", "root"))
     drop_saved(sketch, links, more, roots)
+    return placed
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row per input row: id, class_id (least id of its class), class_size.
+
+    Texts that fold to the same words are copies; null, empty and wordless texts are copies of one another.
+    Rows with the same id are rows of their own; a class without any id has a null class_id; other
+    columns are ignored; a very long text is shingled whole; an empty table gives an empty result. Everything after the sketches works on
+    digests of distinct texts.
+    """
+    placed = grouped(docs, id_col, text_col, threshold)
     per = placed.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     return join_heavy(placed, per.select("root", "class_id", F.col("n").alias("class_size")), "root", per.select("root", "n")).select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row of ``docs`` for each class, that of its least id; all columns as they are.
+    """One row of ``docs`` for each class, all columns as they are: of its rows with the least id (rows without an id come last) that of the least hash of its text.
 
-    Of rows with the same id one stays. Rows without an id cannot be named as copies and all stay.
+    Rows are told apart by id and text, so of rows with one id and different texts each stands for its own class; a class of rows
+    without ids keeps one of them.
     """
-    found = classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    kept = saved(found.where(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")))
-    stay = lambda ids: docs.join(ids, docs[id_col] == ids["__id"], "left_semi")
-    out = stay(kept.where("__n = 1")).unionByName(docs.where(F.col(id_col).isNull()))
-    again = kept.where("__n > 1")
-    return out if again.isEmpty() else out.unionByName(stay(again).dropDuplicates([id_col]))
+    placed = grouped(docs, id_col, text_col, threshold)
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "raw")).alias("b")).select(F.col("b.id").alias("kept_id"), F.col("b.raw").alias("kept_raw"))
+    # How often the very row stands in the table: where more than once, one of them stays.
+    times = placed.groupBy(F.col("id").alias("i"), F.col("raw").alias("r")).agg(F.count("*").alias("times")).where("times > 1")
+    reps = saved(best.join(times, best["kept_id"].eqNullSafe(times["i"]) & (best["kept_raw"] == times["r"]), "left").select("kept_id", "kept_raw", F.col("times").isNotNull().alias("again")))
+    # The row is one column, so that no name of it can clash.
+    rows = docs.select(F.col(id_col).alias("id"), raw_hash(text_col).alias("raw"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    stay = lambda which: rows.join(reps.where(which), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("raw") == F.col("kept_raw")), "left_semi")
+    out = stay("not again")
+    if not reps.where("again").isEmpty():
+        out = out.unionByName(stay("again").dropDuplicates(["id", "raw"]))
+    return out.select("row.*")

@@ -19,7 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    # The versions come in two deliveries; the second scans only what the ledger of the first lacks, and all rows get their findings.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 0).alias("first"))
+    early, ledger = secrets.scan(docs.where("first"))
+    late, _ = secrets.scan(docs.where("not first"), ledger=ledger)
+    found = early.unionByName(late)
     base = F.filter("spans", lambda s: ~s.startswith("pem:"))
     n = lambda kind: F.size(F.filter("spans", lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
@@ -145,8 +149,8 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FRO
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, CASE WHEN role = 'user' THEN '<|im_start|>user name=' || speaker ELSE '<|im_start|>' || role END || chr(10) AS head FROM r),
-s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+h AS (SELECT *, CASE WHEN role = 'user' THEN '<|im_start|>user name=' || translate(replace(speaker, '<|im_', '<| im_'), chr(10) || chr(13), '  ') ELSE '<|im_start|>' || role END || chr(10) AS head FROM r),
+s AS (SELECT *, head || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS segment FROM h),
 o AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg_end FROM s)
 SELECT conv_id, perspective, turn, role, speaker, segment, seg_end - length(segment) AS seg_start, seg_end,
   CASE WHEN role = 'assistant' THEN seg_end - length(segment) + length(head) ELSE seg_end END AS loss_start, seg_end AS loss_end FROM o""",

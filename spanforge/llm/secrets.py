@@ -21,8 +21,10 @@ KINDS = ("assign", "access", "hex", "pem")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s+(?:[A-Za-z0-9-]+: [^\n]*\n)*[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Digests that a task remembers, so that copies are sent once.
+REMEMBERED = 200_000
 LEDGER = "blob string, rule_version string, spans array<string>"
 
 
@@ -40,10 +42,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def one_per_blob(rows: DataFrame) -> DataFrame:
-    """The first (blob, text) of each blob in each task; a task remembers digests only."""
+    """The first (blob, text) of each blob in each task; a task remembers the digests of its last texts only, so that a few may pass again."""
     def run(batches):
         seen: set[str] = set()
         for b in slices(batches):
+            if len(seen) > REMEMBERED:
+                seen.clear()
             new = [x not in seen and not seen.add(x) for x in b.column(0).to_pylist()]
             if any(new):
                 yield b.filter(pa.array(new, pa.bool_()))
@@ -74,11 +78,12 @@ def scan(versions: DataFrame, *, path_col: str = "doc_id", text_col: str = "text
     are dealt out by blob without a sort; the task that gets a blob scans it once.
     """
     rows = versions.select(F.col(path_col).alias("path"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = one_per_blob(rows)
+    blobs = one_per_blob(rows).repartition("blob")
     if ledger is not None:
         done = ledger.where(F.col("rule_version") == rule_version)
-        blobs = blobs.join(done.select("blob"), "blob", "left_anti")
-    new = saved(scan_blobs(blobs.repartition("blob"), rule_version))
+        # Dealt out by blob already, and hashed, so that no text is shuffled again or sorted.
+        blobs = blobs.join(done.select("blob").hint("shuffle_hash"), "blob", "left_anti")
+    new = saved(scan_blobs(blobs, rule_version))
     known = new if ledger is None else new.unionByName(done.select("blob", "rule_version", "spans"))
     paths = saved(rows.select("path", "blob"))
     found = known.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
@@ -90,20 +95,22 @@ def scan(versions: DataFrame, *, path_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, findings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the secret spans of their texts replaced by [SECRET]; the columns stay as they are.
 
-    Spans apply only to rows whose text has the blob that was scanned, so a changed text is left alone.
+    Spans apply only to rows whose text has the blob that was scanned, so a changed text is left alone. Null texts stay null,
+    repeated rows are redacted alike, columns may have any names; an empty table gives an empty one.
     """
     spans = findings.where(F.size("spans") > 0).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("spans"))
     schema = docs.schema
-    keyed = docs.withColumn("__blob", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    counts = findings.groupBy(F.col("blob").alias("__blob")).agg(F.count("*").alias("n"))
-    keyed = join_heavy(keyed, spans.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", counts, "left").drop("__blob")
+    # The row is one column, so that no name of it can clash.
+    keyed = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    counts = findings.groupBy("blob").agg(F.count("*").alias("n"))
+    keyed = join_heavy(keyed, spans, "blob", counts, "left").select("row", "spans")
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for b in slices(batches):
-            out = []
-            for text, found in zip(b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.schema.get_field_index("__spans")).to_pylist(), strict=True):
-                out.append(cut(text, found) if found else text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else b.column(b.schema.get_field_index(n)) for n in schema.names], schema.names)
+            row = b.column(0)
+            out = [cut(text, found) if found else text for text, found in zip(row.field(at).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else row.field(k) for k in range(len(schema.names))], schema.names)
 
     return keyed.mapInArrow(run, schema)
 

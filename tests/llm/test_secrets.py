@@ -2,6 +2,8 @@
 
 from hashlib import sha256
 
+from pyspark.sql import functions as F
+
 from spanforge.llm import secrets
 
 TEXTS = [
@@ -58,3 +60,25 @@ def test_redact(spark):
     found, _ = secrets.scan(docs)
     assert {tuple(r) for r in secrets.redact(docs, found).collect()} == {(1, "a [SECRET] b", "en"), (2, None, "de"), (3, "plain", None)}
     assert secrets.cut("0123456789", ["hex:2:5", "assign:4:7"]) == "01[SECRET]789"
+    clash = docs.toDF("doc_id", "text", "blob").withColumns({"spans": F.lit("x"), "__blob": F.lit(1), "row": F.lit(2)})
+    assert {tuple(r) for r in secrets.redact(clash, found).collect()} == {(1, "a [SECRET] b", "en", "x", 1, 2), (2, None, "de", "x", 1, 2), (3, "plain", None, "x", 1, 2)}
+    assert secrets.redact(docs.where("doc_id > 5"), found).count() == 0
+
+
+def test_key_blocks():
+    body = "MIIEpAIBAAKCAQEA\nabc+/=\n"
+    for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"):
+        key = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}-----END RSA PRIVATE KEY-----"
+        assert (4, 4 + len(key), "pem") in secrets.find(f"key {key} end")
+    assert not [x for x in secrets.find("-----BEGIN PRIVATE KEY----- not a key! -----END PRIVATE KEY-----") if x[2] == "pem"]
+
+
+def test_second_delivery_reads_only_unseen_pairs(spark, monkeypatch):
+    """The texts that reach the scanner in the second delivery are those that the ledger lacks under the rule version."""
+    first, second = table(spark, TEXTS[:6]), table(spark, TEXTS)
+    _, ledger = secrets.scan(first)
+    blob = lambda t: sha256((t or "").encode()).hexdigest()
+    _, new = secrets.scan(second, ledger=ledger)
+    assert {r["blob"] for r in new.collect()} == {blob(t) for _, t in TEXTS} - {blob(t) for _, t in TEXTS[:6]}
+    _, other = secrets.scan(first, ledger=ledger.unionByName(new), rule_version="2")
+    assert {(r["blob"], r["rule_version"]) for r in other.collect()} == {(blob(t), "2") for _, t in TEXTS[:6]}
