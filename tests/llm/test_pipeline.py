@@ -41,3 +41,17 @@ def test_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "secrets", "bpe"]
     out = saved(corpus_pipeline.redact_secrets(spark, docs, DATA))
     assert out.schema.names == docs.schema.names and out.where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated ids and rows, a column of a clashing name, and an empty table through the whole run."""
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "one two three four five six seven", None, None), (3, "one two three four five six seven", None, None), (3, "another text of the very same id", "x", "y"), (None, "no id here but some words", "x", "y"), (9, "token=abcdefghijklmnop is a secret", "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text"), "raw": F.lit(1), "blob": F.lit("b")})
+    labels = spark.createDataFrame([(1, 0), (3, 0), (9, None)], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        table.write.parquet(f"{tmp_path}/a/{name}.parquet")
+        (table.limit(0) if name == "documents" else table).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    got = sorted(((r["doc_id"], r["n_tokens"] > 0, r["round_trip"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()), key=str)
+    assert got == sorted([(1, False, True), (3, True, True), (3, True, True), (9, True, True), (None, True, True)], key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
