@@ -26,8 +26,86 @@ def seqinfo_of(spark: SparkSession, df: DataFrame | None = None, lengths: dict[s
     return spark.createDataFrame([(n, v, (circular or {}).get(n), genome) for n, v in lengths.items()], INFO)
 
 
+class WithSequences:
+    """What both classes know of their sequences and dimension table."""
+
+    def seqlevels(self) -> list[str]:
+        return [r[0] for r in self.seqinfo.select("seqnames").orderBy("seqnames").collect()]
+
+    def _known(self, column: str) -> dict:
+        return {r[0]: r[1] for r in self.seqinfo.select("seqnames", column).orderBy("seqnames").collect()}
+
+    def seqlengths(self) -> dict[str, int | None]:
+        return self._known("seqlength")
+
+    def is_circular(self) -> dict[str, bool | None]:
+        return self._known("is_circular")
+
+    def genome(self) -> dict[str, str | None]:
+        return self._known("genome")
+
+    def _set(self, column: str, values: dict, kind: str):
+        rows = self.seqinfo.sparkSession.createDataFrame([(k, v) for k, v in values.items()], f"seqnames string, __new {kind}")
+        new = self.seqinfo.join(rows.withColumn("__given", F.lit(True)), "seqnames", "left")
+        return replace(self, seqinfo=new.withColumn(column, F.when(F.col("__given"), F.col("__new")).otherwise(F.col(column))).select(*self.seqinfo.columns))
+
+    def with_seqlengths(self, lengths: dict[str, int | None]):
+        """The given lengths; sequences that are not named keep theirs."""
+        return self._set("seqlength", lengths, "int")
+
+    def with_circular(self, circular: dict[str, bool | None]):
+        return self._set("is_circular", circular, "boolean")
+
+    def with_genome(self, genome: str | dict[str, str | None]):
+        if isinstance(genome, dict):
+            return self._set("genome", genome, "string")
+        return replace(self, seqinfo=self.seqinfo.withColumn("genome", F.lit(genome)))
+
+    def with_dims(self, dims: DataFrame | None):
+        """Only rows whose key the dimension table has; None forgets the table and keeps the rows that are left."""
+        if dims is None:
+            return replace(self, dims=None)
+        if self.key is None or self.key not in dims.columns:
+            raise ValueError("a dimension table needs the key of the rows")
+        return replace(self, df=self.df.join(dims, self.key, "left_semi"), dims=dims)
+
+    def table(self, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
+        """The rows as a DataFrame, of some columns, under a condition."""
+        df = self.df if where is None else self.df.where(where)
+        return df if columns is None else df.select(*columns)
+
+    @property
+    def session(self) -> SparkSession:
+        return self.df.sparkSession
+
+    def updated(self):
+        """The object in its present form: as there is only one, itself."""
+        return self
+
+    def _preview(self, place: str, shown: int = 5) -> str:
+        """The first and last rows and the sequences; as much as a row more than is shown decides whether there are more."""
+        first = self.df.orderBy(place).limit(2 * shown + 1).collect()
+        rows = [*first] if len(first) <= 2 * shown else [*first[:shown], "...", *reversed(self.df.orderBy(F.col(place).desc()).limit(shown).collect())]
+        info = "" if self.seqinfo is None else f"\nsequences: {', '.join(f'{k} ({v})' if v is not None else k for k, v in list(self.seqlengths().items())[:20])}"
+        return f"{type(self).__name__}[{', '.join(self.df.columns)}]\n" + "\n".join(map(str, rows)) + info
+
+
+def chosen(df: DataFrame, at: list | slice, key: str | None, place: str) -> DataFrame:
+    """Rows by a slice, by positions (1-based), by a list of truth values, or by names."""
+    if isinstance(at, slice):
+        return order.between(df, at.start, at.stop, at.step, place)
+    at = list(at)
+    if at and isinstance(at[0], bool):
+        return order.pick(df, [k + 1 for k, x in enumerate(at) if x], place)
+    if at and isinstance(at[0], str):
+        if key is None:
+            raise ValueError("rows without a key have no names")
+        return order.pick_names(df, key, at, place)
+    return order.pick(df, at, place)
+
+
 @dataclass(frozen=True)
-class Ranges:
+class Ranges(WithSequences):
     """rid (place), seqnames, start, end, strand and metadata columns of ``df``; ``key`` names the rows."""
 
     df: DataFrame
@@ -61,10 +139,12 @@ class Ranges:
         return cls(df.select("rid", *ROLES, *[c for c in df.columns if c not in ("rid", *ROLES)]), seqinfo)
 
     @classmethod
-    def from_rows(cls, spark: SparkSession, rows: list[tuple], mcols: str = "", lengths: dict | None = None) -> Ranges:
-        """Ranges in memory, as the other side of any join."""
+    def from_rows(cls, spark: SparkSession, rows: list[tuple], mcols: str = "", lengths: dict | None = None, names: list[str] | None = None, circular: dict | None = None, genome: str | None = None) -> Ranges:
+        """Ranges in memory, as the other side of any join; ``names`` become the key ``name``."""
+        if names is not None:
+            rows, mcols = [(*r, n) for r, n in zip(rows, names, strict=True)], f"{mcols}, name string" if mcols else "name string"
         df = io.from_rows(spark, rows, mcols)
-        return cls(df, seqinfo_of(spark, df, lengths))
+        return cls(df, seqinfo_of(spark, df, lengths, circular, genome), None if names is None else "name")
 
     def _with(self, df: DataFrame) -> Ranges:
         return replace(self, df=df)
@@ -77,16 +157,12 @@ class Ranges:
     width = property(lambda self: self.df["end"] - self.df["start"] + 1)
 
     def __getitem__(self, at: Column | str | list | slice) -> Ranges | Column:
-        """A condition filters, a name is a metadata column, integers are positions among the rows, names are keys."""
+        """A condition filters, a name is a metadata column; a slice, positions (1-based), truth values and names of rows pick rows in the order given, as often as given, which get new places."""
         if isinstance(at, str):
             return self.df[at]
         if isinstance(at, Column):
             return self._with(self.df.where(at))
-        if isinstance(at, slice):
-            at = list(range((at.start or 0) + 1, at.stop + 1, at.step or 1))
-        if at and isinstance(at[0], str):
-            return self._with(self.df.where(F.col(self.key).isin(*at)))
-        return self._with(order.take(self.df, at))
+        return self._with(chosen(self.df, at, self.key, "rid"))
 
     @property
     def mcols(self) -> DataFrame:
@@ -104,23 +180,6 @@ class Ranges:
     def __len__(self) -> int:
         return self.df.count()
 
-    def seqlevels(self) -> list[str]:
-        return [r[0] for r in self.seqinfo.select("seqnames").orderBy("seqnames").collect()]
-
-    def with_seqlengths(self, lengths: dict[str, int]) -> Ranges:
-        new = F.coalesce(*[F.when(F.col("seqnames") == k, F.lit(v)) for k, v in lengths.items()], F.col("seqlength")).cast("int")
-        return replace(self, seqinfo=self.seqinfo.withColumn("seqlength", new))
-
-    def with_genome(self, genome: str) -> Ranges:
-        return replace(self, seqinfo=self.seqinfo.withColumn("genome", F.lit(genome)))
-
-    def with_dims(self, dims: DataFrame | None) -> Ranges:
-        return replace(self, dims=dims)
-
-    @property
-    def session(self) -> SparkSession:
-        return self.df.sparkSession
-
     def has_row_number(self) -> bool:
         return self.key is None
 
@@ -134,7 +193,7 @@ class Ranges:
         io.write(self.df, path, partition_by)
 
     def __repr__(self) -> str:
-        return f"Ranges[{', '.join(self.df.columns)}]\n" + "\n".join(map(str, self.df.limit(5).collect()))
+        return self._preview("rid")
 
     # Each range alone
     def shift(self, by: int = 0) -> Ranges:
@@ -241,8 +300,9 @@ class Ranges:
         return pairwise.distance(self.df, y.df, **options)
 
     # Order
-    def sort(self, decreasing: bool = False, ignore_strand: bool = False) -> DataFrame:
-        return order.sort(self.df, decreasing, ignore_strand)
+    def sort(self, decreasing: bool = False, ignore_strand: bool = False) -> Ranges:
+        placed = with_ordinal(self.df, order.sort_order(decreasing, ignore_strand), "__new")
+        return self._with(placed.withColumn("rid", F.col("__new")).select(*self.df.columns))
 
     def order(self, **options) -> DataFrame:
         return order.order(self.df, **options)
@@ -277,18 +337,43 @@ class Ranges:
 
 
 @dataclass(frozen=True)
-class RangesList:
-    """Groups of ranges: a key, four arrays, metadata per group."""
+class RangesList(WithSequences):
+    """Groups of ranges: a key, four arrays, metadata per group; in the order of ``place``, a column, or else of the key."""
 
     df: DataFrame
     key: str
     seqinfo: DataFrame | None = field(default=None)
+    dims: DataFrame | None = None
+    place: str | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, data: str | DataFrame, key: str, *, lengths: dict | None = None, **roles) -> RangesList:
-        df = lists.bind_list(io.source(spark, data), key, **roles)
-        flat = df.select(F.explode("seqnames").alias("seqnames"))
-        return cls(df, key, seqinfo_of(spark, flat, lengths))
+    def open(cls, spark: SparkSession, data: str | DataFrame, key: str | list, *, lengths: dict | None = None, circular: dict | None = None, genome: str | None = None, dims: DataFrame | None = None, **roles) -> RangesList:
+        """``key`` is a column, or [column, values in the wanted order], which alone stay; ``dims`` is a table keyed alike, joined for pruning."""
+        raw, values = io.source(spark, data), None
+        if isinstance(key, (list, tuple)):
+            key, values = key
+        df = lists.bind_list(raw, key, **roles)
+        out = cls(df, key, seqinfo_of(spark, df.select(F.explode("seqnames").alias("seqnames")), lengths, circular, genome))
+        if values is not None:
+            out = out[list(values)]
+        return out if dims is None else out.with_dims(dims)
+
+    # Accessors: a column of arrays each
+    seqnames = property(lambda self: self.df["seqnames"])
+    start = property(lambda self: self.df["start"])
+    end = property(lambda self: self.df["end"])
+    strand = property(lambda self: self.df["strand"])
+    width = property(lambda self: F.zip_with(self.df["start"], self.df["end"], lambda s, e: e - s + 1))
+
+    @property
+    def _by(self) -> str:
+        return self.place or self.key
+
+    def _placed(self) -> RangesList:
+        """With a column of places."""
+        if self.place:
+            return self
+        return replace(self, df=with_ordinal(self.df, [F.col(self.key)], "place"), place="place")
 
     def element_nrows(self) -> DataFrame:
         return lists.element_nrows(self.df, self.key)
@@ -296,32 +381,61 @@ class RangesList:
     def unlist(self) -> DataFrame:
         return lists.unlist(self.df, self.key)
 
-    def __getitem__(self, value: object) -> DataFrame:
-        return lists.get(self.df, self.key, value)
+    def names(self) -> DataFrame:
+        return self.df.select(self.key)
+
+    @property
+    def mcols(self) -> DataFrame:
+        """The key and the metadata of the groups."""
+        return self.df.drop(*lists.ARRAYS, *([self.place] if self.place else []))
+
+    def with_mcols(self, columns: dict[str, Column]) -> RangesList:
+        if clash := set(columns) & {*lists.ARRAYS, self.key}:
+            raise ValueError(f"not metadata: {sorted(clash)}")
+        return replace(self, df=self.df.withColumns(columns))
+
+    def __getitem__(self, at: object) -> DataFrame | RangesList:
+        """One name gives the ranges of that group; a condition, a slice, positions, truth values or names of groups give groups."""
+        if isinstance(at, Column):
+            return self.where(at)
+        if isinstance(at, (slice, list, tuple)):
+            if at and not isinstance(at, slice) and not isinstance(at[0], (bool, int)) or isinstance(at, (list, tuple)) and not at:
+                df = self.df if self.place else self.df.withColumn("place", F.lit(0).cast("long"))
+                return replace(self, df=order.pick_names(df, self.key, list(at), self.place or "place"), place=self.place or "place")
+            out = self._placed()
+            return replace(out, df=chosen(out.df, at, self.key, out.place))
+        return lists.get(self.df, self.key, at)
 
     def range(self, ignore_strand: bool = False) -> RangesList:
-        return replace(self, df=lists.list_range(self.df, self.key, ignore_strand))
+        return replace(self, df=lists.list_range(self.df, self.key, ignore_strand), place=None)
 
     def rename(self, names: DataFrame) -> RangesList:
-        return replace(self, df=lists.rename(self.df, self.key, names))
+        """Groups under new names, in the order they had."""
+        out = self._placed()
+        return replace(out, df=lists.rename(out.df, self.key, names))
 
     def take(self, positions: list[int]) -> RangesList:
-        """Groups at 1-based positions in the order of their keys."""
-        placed = with_ordinal(self.df, [F.col(self.key)], "__pos")
-        return replace(self, df=placed.where(F.col("__pos").isin(*positions)).drop("__pos"))
+        """Groups at 1-based positions, in the order given and as often as given."""
+        return self[list(positions)] if positions else self.head(0)
 
     def where(self, condition: Column) -> RangesList:
         return replace(self, df=self.df.where(condition))
 
     def head(self, n: int = 6) -> RangesList:
-        return replace(self, df=self.df.orderBy(self.key).limit(n if n >= 0 else max(self.df.count() + n, 0)))
+        return replace(self, df=self.df.orderBy(self._by).limit(n if n >= 0 else max(self.df.count() + n, 0)))
 
     def tail(self, n: int = 6) -> RangesList:
         n = n if n >= 0 else max(self.df.count() + n, 0)
-        return replace(self, df=self.df.orderBy(F.col(self.key).desc()).limit(n).orderBy(self.key))
+        return replace(self, df=self.df.orderBy(F.col(self._by).desc()).limit(n).orderBy(self._by))
+
+    def realize(self) -> RangesList:
+        return replace(self, df=self.df.persist())
 
     def __len__(self) -> int:
         return self.df.count()
 
+    def __repr__(self) -> str:
+        return self._preview(self._by)
+
     def to_pandas(self):
         return self.unlist().toPandas()

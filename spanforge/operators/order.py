@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spanforge.plans.ordinals import with_ordinal
 
@@ -80,3 +81,39 @@ def take(df: DataFrame, positions: list[int]) -> DataFrame:
     """Rows at 1-based positions among those that are there now, whatever places they have."""
     placed = with_ordinal(df, [F.col("rid")], "__pos")
     return placed.where(F.col("__pos").isin(*positions)).select(*df.columns)
+
+
+def numbered(df: DataFrame, values: list, name: str) -> DataFrame:
+    """(name, __new): the given values with their places; a table, so that a long list is a join and no literal."""
+    kind = df.schema[name].dataType
+    return df.sparkSession.createDataFrame([(v, k + 1) for k, v in enumerate(values)], StructType([StructField(name, kind), StructField("__new", LongType())]))
+
+
+def pick(df: DataFrame, positions: list[int], place: str = "rid") -> DataFrame:
+    """Rows at 1-based positions among those that are there now, in the order given and as often as given; ``place`` is their new place.
+
+    Negative positions leave those rows out; positions beyond the rows raise nothing and give nothing.
+    """
+    placed = with_ordinal(df, [F.col(place)], "__pos")
+    if positions and all(p < 0 for p in positions):
+        left = placed.join(numbered(placed, [-p for p in positions], "__pos"), "__pos", "left_anti")
+        return with_ordinal(left.drop(place), [F.col("__pos")], place).select(*df.columns)
+    if any(p <= 0 for p in positions):
+        raise ValueError("positions are from 1 on, or all negative")
+    return placed.drop(place).join(numbered(placed, positions, "__pos"), "__pos").withColumn(place, F.col("__new")).select(*df.columns)
+
+
+def pick_names(df: DataFrame, key: str, names: list, place: str = "rid") -> DataFrame:
+    """Rows whose ``key`` is one of ``names``, in the order given and as often as given; names without rows give nothing."""
+    return df.drop(place).join(numbered(df, names, key), key).withColumn(place, F.col("__new")).select(*df.columns)
+
+
+def between(df: DataFrame, start: int | None, stop: int | None, step: int | None = None, place: str = "rid") -> DataFrame:
+    """Rows from 0-based position ``start`` to before ``stop``, every ``step``-th: a condition on places, whatever their number."""
+    first, step = start or 0, step or 1
+    if first < 0 or (stop or 0) < 0 or step < 1:
+        raise ValueError("slices count from the first row on and forwards")
+    placed = with_ordinal(df, [F.col(place)], "__pos")
+    at = F.col("__pos") - 1 - first
+    kept = placed.where((at >= 0) & (at % step == 0) & (F.lit(True) if stop is None else F.col("__pos") <= stop))
+    return kept.withColumn(place, F.floor(at / step) + 1).select(*df.columns)

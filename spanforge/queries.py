@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.core import Ranges, RangesList
 from spanforge.operators import intra, lists, merge, nearest, order, overlaps, pairwise, tiling
 from spanforge.views import VIEWS, ev, lg, li, pt, py, si, table
 
@@ -49,6 +50,28 @@ register("head_n", lambda s, d: order.head(ev(s, d), 10).select(*ROW), """SELECT
 register("tail_n", lambda s, d: order.tail(ev(s, d), 10).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM ev ORDER BY rid DESC LIMIT 10""")
 register("head_negative", lambda s, d: order.head(ev(s, d), -3).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM ev WHERE rid <= (SELECT count(*) - 3 FROM ev)""")
 register("take_after_filter", lambda s, d: order.take(ev(s, d).where("seqnames = 'chr2'"), [1, 2, 3, 7]).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM (SELECT *, row_number() OVER (ORDER BY rid) AS k FROM ev WHERE seqnames = 'chr2') WHERE k IN (1, 2, 3, 7)""")
+PICKED = """SELECT t.k AS rid, seqnames, start, "end", strand FROM (SELECT *, row_number() OVER (ORDER BY rid) AS spot FROM ev WHERE seqnames = 'chr2') e JOIN {wanted} ON e.spot = t.spot"""
+chr2 = lambda s, d: Ranges(ev(s, d).where("seqnames = 'chr2'"))
+register("positions_in_order", lambda s, d: chr2(s, d)[[7, 1, 1, 3]].df.select(*ROW), PICKED.format(wanted="(VALUES (7, 1), (1, 2), (1, 3), (3, 4)) AS t(spot, k)"))
+register("positions_left_out", lambda s, d: chr2(s, d)[[-1, -3]].df.select(*ROW), PICKED.format(wanted="(SELECT spot, row_number() OVER (ORDER BY spot) AS k FROM generate_series(1, 100000) AS g(spot) WHERE spot NOT IN (1, 3)) AS t"))
+register("positions_slice", lambda s, d: chr2(s, d)[10:60:7].df.select(*ROW), PICKED.format(wanted="(SELECT 11 + 7 * k AS spot, k + 1 AS k FROM generate_series(0, 7) AS g(k)) AS t"))
+register("truth_values", lambda s, d: chr2(s, d)[[True, False, True, True]].df.select(*ROW), PICKED.format(wanted="(VALUES (1, 1), (3, 2), (4, 3)) AS t(spot, k)"))
+
+
+def opened(s: SparkSession, d: str, key: object = "event_id", dims: DataFrame | None = None) -> Ranges:
+    """Events bound by roles: a position and a width, named rows."""
+    at = (F.col("event_id") * 15 + 1).cast("int")
+    return Ranges.open(s, table(s, d, "events"), seqnames=F.concat(F.lit("chr"), (1 + F.col("user_id") % 6).cast("string")), start=at, width=F.greatest(F.lit(1), F.floor(F.abs("value")).cast("int")), key=key, mcols=["value"], dims=dims)
+
+
+NAMED = """SELECT {rid} AS rid, e.rid - 1 AS event_id, seqnames, start, "end", '*' AS strand, score AS value FROM ev e"""
+NAMES = ["rid", "event_id", "seqnames", "start", "end", "strand", "value"]
+register("open_by_roles", lambda s, d: opened(s, d).df.select(*NAMES), NAMED.format(rid="e.rid"))
+register("open_in_key_order", lambda s, d: opened(s, d, ["event_id", [40, 3, 700]]).df.select(*NAMES), NAMED.format(rid="t.k") + " JOIN (VALUES (40, 1), (3, 2), (700, 3)) AS t(id, k) ON e.rid - 1 = t.id")
+register("open_with_dimension", lambda s, d: opened(s, d).with_dims(table(s, d, "events").where("event_type = 'click'").select("event_id")).df.select(*NAMES), NAMED.format(rid="e.rid") + " WHERE strand = '+'")
+register("metadata_set", lambda s, d: opened(s, d).with_mcols({"double": F.col("value") * 2}).mcols.select("rid", "double"), "SELECT rid, score * 2 AS double FROM ev")
+register("ranges_only", lambda s, d: opened(s, d).ranges(), 'SELECT rid, start, "end", "end" - start + 1 AS width FROM ev')
+register("seqinfo_set", lambda s, d: Ranges(ev(s, d), si(s)).with_seqlengths({"chr5": 7}).with_circular({"chr1": True}).seqinfo, "SELECT seqnames, CASE seqnames WHEN 'chr5' THEN 7 ELSE seqlength END AS seqlength, seqnames = 'chr1' OR is_circular AS is_circular FROM si")
 register("widths", lambda s, d: ev(s, d).select("rid", (F.col("end") - F.col("start") + 1).alias("width")), """SELECT rid, "end" - start + 1 AS width FROM ev""")
 
 # Each range alone
@@ -124,6 +147,13 @@ for name, ignore in (("match_exact", False), ("match_ignore_strand", True)):
 , a AS ({SHRUNK.format(view="li")}), b AS ({SHRUNK.format(view="ev")}), f AS (SELECT seqnames, start, "end"{'' if ignore else ', strand'}, min(rid) AS match FROM b GROUP BY ALL)
 SELECT a.rid, match FROM a LEFT JOIN f USING (seqnames, start, "end"{'' if ignore else ', strand'})""")
 
+MEMORY = [("chr1", 100, 900, "+"), ("chr2", 5000, 5001, "*"), ("chr9", 1, 10, "*"), ("chr3", 40000, 60000, "-")]
+HELD = "mem AS (SELECT * FROM (VALUES " + ", ".join(f"({k + 1}, '{c}', {a}, {b}, '{x}')" for k, (c, a, b, x) in enumerate(MEMORY)) + """) AS t(rid, seqnames, start, "end", strand))"""
+held = lambda s: Ranges.from_rows(s, MEMORY, names=["a", "b", "c", "d"])
+register("overlaps_of_memory", lambda s, d: held(s).find_overlaps(Ranges(ev(s, d))), f", {HELD} {PAIRS} {hits(q='mem')}")
+register("overlaps_with_memory", lambda s, d: Ranges(li(s, d)).count_overlaps(held(s)), f", {HELD} " + COUNTED.format(hits=hits().replace("JOIN ev s", "JOIN mem s")))
+register("memory_names", lambda s, d: held(s).names(), "SELECT rid, name FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd')) AS t(rid, name)")
+
 # Neighbours
 FORWARD = "(VALUES ('+', '+'), ('+', '*'), ('*', '+'), ('*', '*')) AS k(strand, side)"
 BACKWARD = "(VALUES ('-', '-'), ('-', '*'), ('*', '-')) AS k(strand, side)"
@@ -140,11 +170,11 @@ def directed_sql(x: str, right: bool) -> str:
     return one(a, FORWARD, right, 1) + " UNION ALL " + one(b, BACKWARD, not right, 2)
 
 
-def directed_query(right: bool, every: bool) -> str:
-    c = f", c AS ({directed_sql('li', right)}), b AS (SELECT c.* FROM c JOIN (SELECT rid, min(dist) AS dist FROM c GROUP BY rid) USING (rid, dist))"
+def directed_query(right: bool, every: bool, x: str = "li") -> str:
+    c = f", c AS ({directed_sql(x, right)}), b AS (SELECT c.* FROM c JOIN (SELECT rid, min(dist) AS dist FROM c GROUP BY rid) USING (rid, dist))"
     if not every:
         pick = "min(low)" if right else "max(high)"
-        return c + f" SELECT li.rid AS query_idx, subject_idx FROM li LEFT JOIN (SELECT rid, {pick} AS subject_idx FROM b GROUP BY rid) USING (rid)"
+        return c + f" SELECT {x}.rid AS query_idx, subject_idx FROM {x} LEFT JOIN (SELECT rid, {pick} AS subject_idx FROM b GROUP BY rid) USING (rid)"
     a, z = ("start", '"end"') if right else ('"end"', "start")
     return c + f""" SELECT b.rid AS query_idx, s.rid AS subject_idx FROM b JOIN ev s ON b.seqnames = s.seqnames AND ((pass = 1 AND s.{a} = b.pos AND (s.strand, b.side) IN (SELECT strand, side FROM {FORWARD})) OR (pass = 2 AND s.{z} = b.pos AND (s.strand, b.side) IN (SELECT strand, side FROM {BACKWARD})))"""
 
@@ -155,6 +185,10 @@ register("follow_last", lambda s, d: nearest.follow(li(s, d), ev(s, d)), directe
 register("follow_all", lambda s, d: nearest.follow(li(s, d), ev(s, d), "all"), directed_query(False, True))
 
 
+register("precede_self", lambda s, d: nearest.precede(ev(s, d)), directed_query(True, False, "ev"))
+register("follow_self", lambda s, d: nearest.follow(ev(s, d)), directed_query(False, False, "ev"))
+
+
 def near_sql(x: str, apart: str = "", y: str = "ev") -> str:
     """(rid, dist, subject): touching pairs at 0, and every subject at the closest coordinate on either side."""
     touch = f"""SELECT q.rid, 0 AS dist, s.rid AS subject FROM {x} q JOIN {y} s ON q.seqnames = s.seqnames AND q.start - 1 <= s."end" AND q."end" + 1 >= s.start{ANY_STRAND}{apart}"""
@@ -197,6 +231,8 @@ def merged_sql(source: str, gap: int = 1) -> str:
   GROUP BY seqnames, strand, c"""
 
 
+register("nearest_memory", lambda s, d: held(s).nearest(Ranges(ev(s, d))), f", {HELD}" + near_sql("mem") + f" SELECT mem.rid AS query_idx, subject_idx FROM mem LEFT JOIN ({ONE_NEAR}) USING (rid)")
+
 BARE = """(SELECT seqnames, '*' AS strand, start, "end" FROM {view})"""
 
 
@@ -229,6 +265,7 @@ def gaps_sql(view: str, strands: str, lo: str = "1", hi: str = "seqlength") -> s
 
 register("gaps", flat(lambda x, s, d: merge.gaps(x, si(s))), gaps_sql("li", "('+'), ('-'), ('*')"))
 register("gaps_ignore_strand", lambda s, d: merge.gaps(ev(s, d), si(s), ignore_strand=True).select(*SPAN), gaps_sql("ev", "('*')"))
+register("gaps_bounds_by_sequence", flat(lambda x, s, d: merge.gaps(x, si(s), {"chr1": 500, "chr2": 70}, {"chr1": 50000, "chr2": 90000})), gaps_sql("li", "('+'), ('-'), ('*')", "CASE seqnames WHEN 'chr1' THEN 500 WHEN 'chr2' THEN 70 END", "CASE seqnames WHEN 'chr1' THEN 50000 WHEN 'chr2' THEN 90000 END"))
 register("gaps_bounds", flat(lambda x, s, d: merge.gaps(x, si(s), 500, 50000)), gaps_sql("li", "('+'), ('-'), ('*')", "500", "50000"))
 
 
@@ -242,6 +279,7 @@ g AS (SELECT *, sum(f) OVER (PARTITION BY seqnames ORDER BY s ROWS UNBOUNDED PRE
 
 register("coverage_runs", lambda s, d: merge.coverage(li(s, d, False), si(s)), coverage_sql("li"))
 register("coverage_shifted", lambda s, d: merge.coverage(ev(s, d), si(s), shift=-40, width=50000, weight=2), coverage_sql("ev", -40, "50000", "2"))
+register("coverage_width_by_sequence", lambda s, d: merge.coverage(ev(s, d), si(s), width={"chr1": 20000, "chr5": 9000}), coverage_sql("ev", 0, "CASE seqnames WHEN 'chr1' THEN 20000 WHEN 'chr5' THEN 9000 ELSE seqlength END"))
 register("coverage_weighted", lambda s, d: merge.coverage(ev(s, d), si(s), weight=0.5), coverage_sql("ev", 0, "seqlength", "0.5", "DOUBLE"))
 
 
@@ -274,6 +312,13 @@ register("tile_width", lambda s, d: tiling.tile(ev(s, d), width=10), TILED.forma
 register("sliding_windows", lambda s, d: tiling.sliding_windows(ev(s, d), 20, 10), """SELECT rid, CAST(k + 1 AS INT) AS part, seqnames, CAST(start + k * 10 AS INT) AS start, CAST(least(start + k * 10 + 19, "end") AS INT) AS "end", strand FROM (SELECT *, unnest(generate_series(0, CAST(ceil(greatest("end" - start + 1 - 20, 0) / 10.0) AS BIGINT))) AS k FROM ev)""")
 register("list_element_nrows", lambda s, d: lists.element_nrows(lg(s, d), "l_orderkey"), "SELECT l_orderkey, CAST(count(*) AS INT) AS n FROM li GROUP BY l_orderkey")
 register("list_get", lambda s, d: lists.get(lg(s, d), "l_orderkey", 7), """SELECT CAST(row_number() OVER (ORDER BY rid) AS INT) AS part, seqnames, start, "end", strand FROM li WHERE l_orderkey = 7""")
+groups = lambda s, d: RangesList(lg(s, d), "l_orderkey")
+GROUPED = """SELECT {place} AS place, g.l_orderkey, n FROM (SELECT l_orderkey, CAST(count(*) AS INT) AS n, row_number() OVER (ORDER BY l_orderkey) AS spot FROM li GROUP BY l_orderkey) g JOIN {wanted}"""
+counted = lambda x: x.df.select("place", "l_orderkey", F.size("seqnames").alias("n"))
+register("list_positions", lambda s, d: counted(groups(s, d)[[5, 2, 2]]), GROUPED.format(place="t.k", wanted="(VALUES (5, 1), (2, 2), (2, 3)) AS t(spot, k) ON g.spot = t.spot"))
+register("list_slice", lambda s, d: counted(groups(s, d)[3:9]), GROUPED.format(place="g.spot - 3", wanted="(SELECT 1) ON g.spot BETWEEN 4 AND 9"))
+register("list_metadata", lambda s, d: groups(s, d).with_mcols({"n": F.size("seqnames"), "last": F.array_max("end")}).mcols, 'SELECT l_orderkey, CAST(count(*) AS INT) AS n, max("end") AS last FROM li GROUP BY l_orderkey')
+register("list_open_dimension", lambda s, d: RangesList.open(s, lg(s, d), "l_orderkey", seqnames="seqnames", start="start", end="end", strand="strand", dims=table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))).element_nrows(), "SELECT l_orderkey, CAST(count(*) AS INT) AS n FROM li WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY l_orderkey")
 register("list_unlist", lambda s, d: lists.unlist(lg(s, d), "l_orderkey"), """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY rid) AS INT) AS part, seqnames, start, "end", strand FROM li""")
 register("list_range", lambda s, d: lists.unlist(lists.list_range(lg(s, d), "l_orderkey"), "l_orderkey").drop("part"), """SELECT l_orderkey, seqnames, min(start) AS start, max("end") AS "end", strand FROM li GROUP BY l_orderkey, seqnames, strand""")
 register("list_range_ignore_strand", lambda s, d: lists.unlist(lists.list_range(lg(s, d), "l_orderkey", True), "l_orderkey").drop("part"), """SELECT l_orderkey, seqnames, min(start) AS start, max("end") AS "end", '*' AS strand FROM li GROUP BY l_orderkey, seqnames""")

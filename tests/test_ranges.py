@@ -219,6 +219,47 @@ def test_open(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_subsets_keep_the_given_order(spark):
+    x = Ranges.from_rows(spark, [("a", 10 * k, 10 * k + 4, "+") for k in range(1, 8)], lengths={"a": 100, "b": None}, names=list("tuvwxyz"), genome="g1")
+    ids = lambda r: [(q["rid"], q["name"]) for q in r.df.orderBy("rid").collect()]
+    assert ids(x[[3, 1, 1]]) == [(1, "v"), (2, "t"), (3, "t")] and ids(x[["z", "u", "z", "nobody"]]) == [(1, "z"), (2, "u"), (3, "z")]
+    assert ids(x[2:6:2]) == [(1, "v"), (2, "x")] and ids(x[5:]) == [(1, "y"), (2, "z")] and ids(x[[False] * 5 + [True, True]]) == [(1, "y"), (2, "z")]
+    assert ids(x[[-1, -2, -3, -4, -5]]) == [(1, "y"), (2, "z")] and ids(x[[]]) == []
+    assert ids(x[x["start"] > 40][[2, 1]]) == [(1, "y"), (2, "x")]
+    with pytest.raises(ValueError):
+        x[[1, -1]]
+    with pytest.raises(ValueError):
+        Ranges(x.df)[["t"]]
+    assert [r["rid"] for r in x.sort(decreasing=True).df.orderBy("rid").collect()] == list(range(1, 8)) and ids(x.sort(decreasing=True))[0] == (1, "z")
+    y = x.with_circular({"b": True}).with_genome({"a": "g2"}).with_seqlengths({"b": 5})
+    assert (y.seqlevels(), y.seqlengths(), y.is_circular(), y.genome()) == (["a", "b"], {"a": 100, "b": 5}, {"a": None, "b": True}, {"a": "g2", "b": "g1"})
+    assert repr(y).count("Row(") == 7 and "sequences: a (100), b (5)" in repr(y) and y.updated() is y
+    many = Ranges.from_rows(spark, [("a", k, k, "*") for k in range(1, 30)])
+    assert repr(many).count("Row(") == 10 and "start=29" in repr(many)
+    dims = spark.createDataFrame([("t", 1), ("z", 2)], "name string, batch int")
+    assert ids(x.with_dims(dims)) == [(1, "t"), (7, "z")] and x.with_dims(None).dims is None and x.with_dims(dims).dims is dims
+    with pytest.raises(ValueError):
+        x.with_dims(dims.drop("name"))
+    assert x.table(["name"], F.col("start") < 20).collect()[0][0] == "t"
+
+
+def test_subsets_of_groups(spark):
+    df = spark.createDataFrame([(k, ["c1"] * n, list(range(1, n + 1)), [9] * n, ["+"] * n, n / 2) for k, n in (("A", 2), ("B", 0), ("C", 1), ("D", 3))], "g string, seqnames array<string>, start array<int>, end array<int>, strand array<string>, half double")
+    x = RangesList.open(spark, df, "g", seqnames="seqnames", start="start", end="end", strand="strand", mcols=["half"], lengths={"c1": 50})
+    names = lambda r: [q["g"] for q in r.df.orderBy(r.place or r.key).collect()]
+    assert names(x[[4, 1, 1]]) == ["D", "A", "A"] and names(x[["C", "A"]]) == ["C", "A"] and names(x[1:3]) == ["B", "C"] and names(x[[True, False, True, False]]) == ["A", "C"]
+    assert names(x[["C", "A"]].head(1)) == ["C"] and names(x[["C", "A"]].tail(1)) == ["A"] and names(x[["C", "A", "B"]][[2, 3]]) == ["A", "B"] and names(x[[]]) == [] and names(x.take([2, 2])) == ["B", "B"]
+    assert names(x[F.col("half") > 0.9]) == ["A", "D"]
+    keyed = RangesList.open(spark, df, ["g", ["D", "A"]], seqnames="seqnames", start="start", end="end", strand="strand", dims=spark.createDataFrame([("A",), ("D",), ("Q",)], "g string"))
+    assert names(keyed) == ["D", "A"] and keyed.dims is not None
+    assert {tuple(r) for r in x.mcols.collect()} == {("A", 1.0), ("B", 0.0), ("C", 0.5), ("D", 1.5)} and x.with_mcols({"z": F.lit(1)}).mcols.columns == ["g", "half", "z"]
+    with pytest.raises(ValueError):
+        x.with_mcols({"start": F.lit(1)})
+    assert x.df.where("g = 'A'").select(x.width).first()[0] == [9, 8] and x.with_seqlengths({"c1": 7}).seqlengths() == {"c1": 7}
+    assert repr(x).startswith("RangesList[g") and "sequences: c1 (50)" in repr(x) and x.updated() is x
+    assert names(x[["C", "A"]].rename(spark.createDataFrame([("A", "new")], "g string, name string"))) == ["C", "new"]
+
+
 def test_empty(spark):
     x, y = made(spark, []), made(spark, [("a", 1, 5, "+")])
     for df in (merge.reduce(x), merge.disjoin(x), merge.span(x), merge.intersect(x, y), overlaps.find_overlaps(x, y), overlaps.count_overlaps(x, y), nearest.nearest(x, y), order.order(x), order.rank(x, "min"), tiling.tile(x, n=2), intra.restrict(x, 1, 2), pairwise.distance(x, x), order.duplicated(x)):
