@@ -7,12 +7,13 @@ into bins (see ``plans.scan``), so neither a deep position nor a long sequence i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.plans.scan import WIDTH, running
+from spanforge.plans.scan import WIDTH, running, runs
 
 GROUP = ["seqnames", "strand"]
 
@@ -31,18 +32,31 @@ def span(df: DataFrame, ignore_strand: bool = False) -> DataFrame:
 
 
 def reduce(df: DataFrame, min_gapwidth: int = 1, drop_empty: bool = False, ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
-    """Ranges that overlap, touch, or lie less than ``min_gapwidth`` apart become one."""
+    """Ranges that overlap, touch, or lie less than ``min_gapwidth`` apart become one: stretches of some depth, each range prolonged by that much."""
     if min_gapwidth < 0:
         raise ValueError("min_gapwidth must not be negative")
+    if not min_gapwidth:
+        out = chained(df, ignore_strand, width)
+        return out.where("end >= start") if drop_empty else out
+    # Starts at even places and ends at odd ones, so that a range that ends where another starts never cancels it.
+    rows = spaced(df, ignore_strand)
+    ends = F.explode(F.array(F.struct((2 * F.col("start").cast("long")).alias("pos"), F.lit(1).alias("n")), F.struct((2 * (F.col("end").cast("long") + min_gapwidth) + 1).alias("pos"), F.lit(-1).alias("n"))))
+    changes = rows.select(*GROUP, ends.alias("e")).select(*GROUP, "e.*").groupBy(*GROUP, "pos").agg(F.sum("n").alias("n")).where("n <> 0")
+    out = runs(changes, GROUP, ["n"], lambda d: d[0] > 0, 2 * width)
+    out = shaped(out, (F.col("lo") / 2), (F.col("hi") / 2 - min_gapwidth))
+    return out.where("end >= start") if drop_empty else out
+
+
+def chained(df: DataFrame, ignore_strand: bool, width: int) -> DataFrame:
+    """Ranges that share a base become one; empty ranges only join what covers their start."""
     # Of ranges with one start only the longest can matter; empty ones are merged by their own rule.
     rows = spaced(df, ignore_strand).groupBy(*GROUP, "start", (F.col("end") >= F.col("start")).alias("full")).agg(F.max("end").alias("end"))
     seen = running(rows, GROUP, "start", {"reach": ("max", "end")}, then=["full"], before=True, width=width)
-    first = F.col("reach").isNull() | (F.col("start") > F.col("reach").cast("long") + min_gapwidth)
+    first = F.col("reach").isNull() | (F.col("start") > F.col("reach"))
     heads = seen.withColumn("head", F.when(first, F.struct("start", "full")))
     named = running(heads, GROUP, "start", {"cluster": ("max", "head")}, then=["full"], width=width)
     out = named.groupBy(*GROUP, "cluster").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    out = shaped(out, F.col("lo"), F.col("hi"))
-    return out.where("end >= start") if drop_empty else out
+    return shaped(out, F.col("lo"), F.col("hi"))
 
 
 def events(df: DataFrame, weights: dict[str, Column], lo: Column | None = None, hi: Column | None = None) -> DataFrame:
@@ -117,18 +131,17 @@ def union(*frames: DataFrame, ignore_strand: bool = False, width: int = WIDTH) -
     return reduce(fold(DataFrame.unionByName, [spaced(f, ignore_strand) for f in frames]), drop_empty=True, ignore_strand=ignore_strand, width=width)
 
 
-def combined(x: DataFrame, y: DataFrame, keep: Column, ignore_strand: bool, width: int) -> DataFrame:
-    """Stretches where ``keep`` holds of the depths of both sides, neighbours merged; one sweep, no join."""
+def combined(x: DataFrame, y: DataFrame, keep: Callable[[list[Column]], Column], ignore_strand: bool, width: int) -> DataFrame:
+    """The longest stretches where ``keep`` holds of the depths of both sides; one sweep, no join."""
     one, zero = F.lit(1), F.lit(0)
     both = events(spaced(x, ignore_strand), {"x": one, "y": zero}).unionByName(events(spaced(y, ignore_strand), {"x": zero, "y": one}))
     changes = both.groupBy(*GROUP, "pos").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    out = pieces(changes, ["x", "y"], width).where(keep)
-    return reduce(shaped(out, F.col("pos"), F.col("upto")), drop_empty=True, width=width)
+    return shaped(runs(changes, GROUP, ["x", "y"], keep, width), F.col("lo"), F.col("hi"))
 
 
 def intersect(x: DataFrame, y: DataFrame, ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
-    return combined(x, y, (F.col("depth_x") > 0) & (F.col("depth_y") > 0), ignore_strand, width)
+    return combined(x, y, lambda d: (d[0] > 0) & (d[1] > 0), ignore_strand, width)
 
 
 def setdiff(x: DataFrame, y: DataFrame, ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
-    return combined(x, y, (F.col("depth_x") > 0) & (F.col("depth_y") == 0), ignore_strand, width)
+    return combined(x, y, lambda d: (d[0] > 0) & (d[1] == 0), ignore_strand, width)

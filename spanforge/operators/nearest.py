@@ -1,7 +1,8 @@
 """Neighbours: precede, follow, nearest, distance to nearest.
 
-The next subject to the right or left is a running minimum or maximum over subjects and queries in one
-order; subjects are first summed up by coordinate, so ties are least and greatest places. Strands are an
+The next subject beyond a query is a running minimum over subjects and queries in one
+order; looking to the left is looking to the right on mirrored coordinates, so one scan serves both directions, and a query's own place gives the
+distance. Subjects are first summed up by coordinate, so ties are least and greatest places. Strands are an
 equality key: a subject stands under every query strand that can see it.
 """
 
@@ -13,75 +14,70 @@ from pyspark.sql import functions as F
 from spanforge.operators.overlaps import compatible, overlap_pairs
 from spanforge.plans.scan import WIDTH, running
 
-SIDE = ["seqnames", "side"]
-
-
-def sides(strand: Column, lists: dict[str, tuple[str, ...]]) -> Column:
-    out = F.array().cast("array<string>")
-    for k, v in lists.items():
-        out = F.when(strand == k, F.array(*[F.lit(x) for x in v]).cast("array<string>")).otherwise(out)
-    return F.explode(out)
-
+SPACE = ["seqnames", "side", "right"]
 
 #: Query strands under which a subject strand is read forwards, and backwards.
 FORWARD = {"+": ("+", "*"), "*": ("+", "*")}
 BACKWARD = {"-": ("-", "*"), "*": ("-",)}
 
 
-def keyed(df: DataFrame, side: Column) -> DataFrame:
-    return df.select("rid", "seqnames", "start", "end", side.alias("side"))
+def mirrored(right: Column, at: Column, other: Column) -> Column:
+    """``at`` where one looks to the right, ``other`` with its sign turned where one looks to the left."""
+    return F.when(right, at).otherwise(-other).cast("long")
+
 
+def seen_from(strand: Column, lists: list[tuple[bool, dict[str, tuple[str, ...]]]]) -> Column:
+    """(side, right) rows: the query strands that see a subject of ``strand``, and in which direction."""
+    kind = "array<struct<side:string,right:boolean>>"
+    out = F.array().cast(kind)
+    for k in {k for _, table in lists for k in table}:
+        views = [F.struct(F.lit(side).alias("side"), F.lit(right).alias("right")) for right, table in lists for side in table.get(k, ())]
+        out = F.when(strand == k, F.array(*views).cast(kind)).otherwise(out)
+    return F.explode(out)
+
+
+def subjects(subject: DataFrame, views: Column) -> DataFrame:
+    """(seqnames, side, right, coord, rid): each subject under every strand and direction from which it is seen."""
+    rows = subject.select("rid", "seqnames", "start", "end", views.alias("v")).select("rid", "seqnames", "start", "end", "v.*")
+    return rows.select(*SPACE, mirrored(F.col("right"), F.col("start"), F.col("end")).alias("coord"), "rid")
 
-def beside(x: DataFrame, subject: DataFrame, right: bool, width: int) -> DataFrame:
-    """(rid, coord, low, high): the closest coordinate strictly beyond each x, with the least and greatest place there.
 
-    To the right the starts after the end of x, to the left the ends before its start.
+def beside(x: DataFrame, seen: DataFrame, directions: tuple[bool, ...], side: Column, margin: int, width: int) -> DataFrame:
+    """(rid, seqnames, side, right, coord, low, high, dist) of every x and direction: the closest coordinate more than ``margin`` beyond it, null if none.
+
+    ``low`` and ``high`` are the least and greatest place there, ``dist`` counts from the margin on.
     """
-    at = F.col("start") if right else F.col("end")
-    known = subject.groupBy(*SIDE, at.cast("long").alias("pos")).agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
-    known = known.select(*SIDE, "pos", F.lit(1).alias("probe"), F.lit(None).cast("long").alias("rid"), F.struct(F.col("pos").alias("coord"), "low", "high").alias("one"))
-    # Walking towards x, it comes before a subject at its own coordinate, so that the inequality stays strict.
-    place = (F.col("end") if right else F.col("start")).cast("long")
-    asks = x.select(*SIDE, place.alias("pos"), F.lit(2 if right else 0).alias("probe"), "rid", F.lit(None).cast(known.schema["one"].dataType).alias("one"))
-    seen = running(known.unionByName(asks), SIDE, "pos", {"best": ("min" if right else "max", "one")}, then=["probe"], reverse=right, width=width)
-    return seen.where("probe <> 1 and best is not null").select("rid", "side", "seqnames", F.col("best.coord").alias("coord"), F.col("best.low").alias("low"), F.col("best.high").alias("high"))
-
-
-def stranded(x: DataFrame, subject: DataFrame, forward_right: bool, ignore_strand: bool, width: int) -> tuple[DataFrame, list]:
-    """Candidates on the right and on the left, and what each pass looked in: (right?, keyed subjects)."""
-    if ignore_strand:
-        both = [(forward_right, keyed(subject, F.lit("*")))]
-        q = keyed(x, F.lit("*"))
-    else:
-        both = [(forward_right, keyed(subject, sides(F.col("strand"), FORWARD))), (not forward_right, keyed(subject, sides(F.col("strand"), BACKWARD)))]
-        q = keyed(x, F.col("strand"))
-    q = q.select("rid", "start", "end", *SIDE)
-    found = None
-    for right, s in both:
-        near = beside(q, s, right, width).join(q.select("rid", F.col("start").alias("xs"), F.col("end").alias("xe")), "rid")
-        near = near.withColumn("dist", F.col("coord") - F.col("xe") if right else F.col("xs") - F.col("coord")).withColumn("right", F.lit(right))
-        found = near if found is None else found.unionByName(near)
-    return found, both
+    known = seen.groupBy(*SPACE, "coord").agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
+    known = known.select(*SPACE, F.col("coord").alias("pos"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("rid"), F.struct("coord", "low", "high").alias("one"))
+    # An x comes before a subject at its own coordinate, so that the inequality stays strict; empty ranges count from their start.
+    to = F.explode(F.array(*[F.lit(d) for d in directions]))
+    asks = x.select("rid", "seqnames", side.alias("side"), (F.col("start") - margin).alias("lo"), (F.greatest("end", F.col("start") - 1) + margin if margin else F.col("end")).alias("hi"), to.alias("right"))
+    asks = asks.select(*SPACE, mirrored(F.col("right"), F.col("hi"), F.col("lo")).alias("pos"), F.lit(2).alias("probe"), "rid", F.lit(None).cast(known.schema["one"].dataType).alias("one"))
+    found = running(known.unionByName(asks), SPACE, "pos", {"best": ("min", "one")}, then=["probe"], reverse=True, width=width).where("probe = 2")
+    return found.select("rid", *SPACE, F.col("best.coord").alias("coord"), F.col("best.low").alias("low"), F.col("best.high").alias("high"), (F.col("best.coord") - F.col("pos")).alias("dist"))
 
 
 def directed(x: DataFrame, subject: DataFrame, forward_right: bool, select: str, one: str, ignore_strand: bool, width: int) -> DataFrame:
-    found, both = stranded(x, subject, forward_right, ignore_strand, width)
-    best = found.groupBy("rid").agg(F.min("dist").alias("best"))
-    won = found.join(best, "rid").where("dist = best")
+    if ignore_strand:
+        directions, side, views = (forward_right,), F.lit("*"), F.explode(F.array(F.struct(F.lit("*").alias("side"), F.lit(forward_right).alias("right"))))
+    else:
+        directions, side, views = (True, False), F.col("strand"), seen_from(F.col("strand"), [(forward_right, FORWARD), (not forward_right, BACKWARD)])
+    seen = subjects(subject, views)
+    found = beside(x, seen, directions, side, 0, width)
     if select != "all":
-        pick = F.min("low") if one == "first" else F.max("high")
-        return x.select("rid").join(won.groupBy("rid").agg(pick.alias("subject_idx")), "rid", "left").select(F.col("rid").alias("query_idx"), "subject_idx")
-    return ties(won, both).select("query_idx", "subject_idx")
+        # Of equal distances the least or the greatest place; every x has a row, so none is joined back.
+        place = F.col("low") if one == "first" else -F.col("high")
+        best = found.groupBy("rid").agg(F.min(F.when(F.col("coord").isNotNull(), F.struct("dist", place.alias("place")))).alias("b"))
+        return best.select(F.col("rid").alias("query_idx"), (F.col("b.place") if one == "first" else -F.col("b.place")).alias("subject_idx"))
+    return ties(found, seen).select("query_idx", "subject_idx")
 
 
-def ties(won: DataFrame, both: list) -> DataFrame:
-    """Every subject at the winning coordinates."""
-    out = None
-    for right, s in both:
-        at = s.select(*SIDE, (F.col("start") if right else F.col("end")).cast("long").alias("coord"), F.col("rid").alias("subject_idx"))
-        hits = won.where(F.col("right") == F.lit(right)).select(F.col("rid").alias("query_idx"), *SIDE, "coord", "dist").join(at, [*SIDE, "coord"])
-        out = hits if out is None else out.unionByName(hits)
-    return out.select("query_idx", "subject_idx", "dist")
+def ties(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Every subject at the closest coordinates of each x."""
+    found = found.where("coord is not null")
+    best = found.groupBy("rid").agg(F.min("dist").alias("best"))
+    won = found.join(best, "rid").where("dist = best").select(F.col("rid").alias("query_idx"), *SPACE, "coord", "dist")
+    return won.join(seen.withColumnRenamed("rid", "subject_idx"), [*SPACE, "coord"]).select("query_idx", "subject_idx", "dist")
 
 
 def precede(x: DataFrame, subject: DataFrame | None = None, select: str = "first", ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
@@ -94,46 +90,34 @@ def follow(x: DataFrame, subject: DataFrame | None = None, select: str = "last",
     return directed(x, x if subject is None else subject, False, select, "last", ignore_strand, width)
 
 
-def neighbours(x: DataFrame, subject: DataFrame | None, ignore_strand: bool, width: int) -> tuple[DataFrame, DataFrame, list]:
-    """Candidates of the nearest search: (rid, dist, low) of touching pairs and of both sides."""
+def nearest_hits(x: DataFrame, subject: DataFrame | None, select: str, ignore_strand: bool, width: int) -> DataFrame:
+    """(query_idx, subject_idx, distance); with one hit a row for every x, null without a neighbour."""
     self_ = subject is None
     subject = x if self_ else subject
     touching = overlap_pairs(x, subject, maxgap=0, ignore_strand=ignore_strand)
     if self_:
         touching = touching.where("query_idx <> subject_idx")
-    side = F.lit("*") if ignore_strand else F.explode(compatible(F.col("strand")))
-    s = keyed(subject, side)
-    q = keyed(x, F.lit("*") if ignore_strand else F.col("strand"))
-    both = [(True, s), (False, s)]
-    beyond = None
-    for right, _ in both:
-        # Beyond the touching ones: two bases away at least, which also keeps x from finding itself.
-        wide = q.withColumns({"start": F.col("start") - 1, "end": F.greatest(F.col("end"), F.col("start") - 1) + 1})
-        near = beside(wide, s, right, width).join(q.select("rid", F.col("start").alias("xs"), F.col("end").alias("xe")), "rid")
-        near = near.withColumn("dist", (F.col("coord") - F.col("xe") if right else F.col("xs") - F.col("coord")) - 1).withColumn("right", F.lit(right))
-        beyond = near if beyond is None else beyond.unionByName(near)
-    return touching, beyond, both
-
-
-def nearest_hits(x: DataFrame, subject: DataFrame | None, select: str, ignore_strand: bool, width: int) -> DataFrame:
-    touching, beyond, both = neighbours(x, subject, ignore_strand, width)
+    strands = F.array(F.lit("*")) if ignore_strand else compatible(F.col("strand"))
+    both = F.array(F.lit(True), F.lit(False))
+    views = F.explode(F.flatten(F.transform(strands, lambda s: F.transform(both, lambda r: F.struct(s.alias("side"), r.alias("right"))))))
+    seen = subjects(subject, views)
+    # Beyond the touching ones: two bases away at least, which also keeps x from finding itself.
+    beyond = beside(x, seen, (True, False), F.lit("*") if ignore_strand else F.col("strand"), 1, width)
     if select != "all":
         zero = touching.groupBy(F.col("query_idx").alias("rid")).agg(F.min("subject_idx").alias("low")).select("rid", F.lit(0).cast("long").alias("dist"), "low")
-        best = zero.unionByName(beyond.select("rid", F.col("dist").cast("long"), "low")).groupBy("rid").agg(F.min(F.struct("dist", "low")).alias("b"))
+        every = zero.unionByName(beyond.select("rid", "dist", "low"))
+        best = every.groupBy("rid").agg(F.min(F.when(F.col("low").isNotNull(), F.struct("dist", "low"))).alias("b"))
         return best.select(F.col("rid").alias("query_idx"), F.col("b.low").alias("subject_idx"), F.col("b.dist").alias("distance"))
     zero = touching.select("query_idx", "subject_idx", F.lit(0).cast("long").alias("distance"))
     rest = beyond.join(touching.select(F.col("query_idx").alias("rid")).distinct(), "rid", "left_anti")
-    best = rest.groupBy("rid").agg(F.min("dist").alias("best"))
-    far = ties(rest.join(best, "rid").where("dist = best"), both)
-    return zero.unionByName(far.select("query_idx", "subject_idx", F.col("dist").cast("long").alias("distance")))
+    return zero.unionByName(ties(rest, seen).select("query_idx", "subject_idx", F.col("dist").alias("distance")))
 
 
 def nearest(x: DataFrame, subject: DataFrame | None = None, select: str = "arbitrary", ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
     """The closest subject of each x, null if none; without a subject its own neighbours, never itself. Touching counts as distance 0."""
-    hits = nearest_hits(x, subject, select, ignore_strand, width).select("query_idx", "subject_idx")
-    return hits if select == "all" else x.select(F.col("rid").alias("query_idx")).join(hits, "query_idx", "left")
+    return nearest_hits(x, subject, select, ignore_strand, width).select("query_idx", "subject_idx")
 
 
 def distance_to_nearest(x: DataFrame, subject: DataFrame | None = None, select: str = "arbitrary", ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
     """(query_idx, subject_idx, distance) of each x that has a neighbour."""
-    return nearest_hits(x, subject, select, ignore_strand, width)
+    return nearest_hits(x, subject, select, ignore_strand, width).where("subject_idx is not null")

@@ -7,6 +7,8 @@ joined to it on the window's own partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,12 @@ def joined(kind: str, near: Column, far: Column) -> Column:
     return F.greatest(near, far) if kind == "max" else F.least(near, far)
 
 
-def running(events: DataFrame, group: list[str], pos: str, columns: dict[str, tuple[str, str]], *, then: list[str] = (), reverse: bool = False, before: bool = False, following: str | None = None, width: int = WIDTH) -> DataFrame:
+def running(events: DataFrame, group: list[str], pos: str, columns: dict[str, tuple[str, str]], *, then: list[str] = (), reverse: bool = False, before: bool = False, following: str | None = None, bins: bool = False, width: int = WIDTH) -> DataFrame:
     """``events`` with running aggregates in the order of ``pos``, then ``then``.
 
     ``columns`` maps a new name to (sum, max or min; source column). ``before`` leaves the own row out;
-    ``reverse`` runs from the end; ``following`` names a column for the next position of the sequence.
+    ``reverse`` runs from the end; ``following`` names a column for the next position of the sequence; ``bins`` keeps the column
+    ``__bin``, by which (and ``group``) the rows stay dealt out and sorted.
     Nulls are skipped. Rows that tie in the whole order must be interchangeable.
     """
     bin_ = F.floor(F.col(pos) / F.lit(width))
@@ -40,8 +43,26 @@ def running(events: DataFrame, group: list[str], pos: str, columns: dict[str, tu
     frame = inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     out = rows.join(carry, keys)
     out = out.select(
-        *[F.col(c) for c in events.columns],
+        *[F.col(c) for c in events.columns], *([F.col("__bin")] if bins else []),
         *[joined(f, FUNCTIONS[f](c).over(frame), F.col(f"__c_{n}")).alias(n) for n, (f, c) in columns.items()],
         *([F.coalesce(F.lead(pos).over(inside), F.col("__next")).alias(following)] if following else []),
     )
     return out
+
+
+def runs(changes: DataFrame, group: list[str], names: list[str], keep: Callable[[list[Column]], Column], width: int = WIDTH) -> DataFrame:
+    """(group, lo, hi): the longest stretches over which ``keep`` holds of the running sums of ``names``; ``changes`` has a row per position.
+
+    An edge is a position where the condition changes: it is asked of the sums with and without the change. Edges of one bin are
+    paired there, on the partitioning of the sums; what is open at the end of a bin and what is closed first in a later one are at most
+    two edges a bin, and those are paired along the sequence.
+    """
+    summed = running(changes, group, "pos", {f"__s_{n}": ("sum", n) for n in names}, bins=True, width=width)
+    now, was = keep([F.col(f"__s_{n}") for n in names]), keep([F.col(f"__s_{n}") - F.col(n) for n in names])
+    edges = summed.where(now != was).select(*group, "__bin", "pos", now.alias("opens"))
+    inside = Window.partitionBy(*group, "__bin").orderBy("pos")
+    marked = edges.withColumns({"next": F.lead("pos").over(inside), "last": F.lag("pos").over(inside)})
+    whole = marked.where("opens and next is not null").select(*group, "pos", "next")
+    loose = marked.where("(opens and next is null) or (not opens and last is null)")
+    far = loose.withColumn("next", F.lead("pos").over(Window.partitionBy(*group).orderBy("pos"))).where("opens").select(*group, "pos", "next")
+    return whole.unionByName(far).select(*group, F.col("pos").alias("lo"), (F.col("next") - 1).alias("hi"))
