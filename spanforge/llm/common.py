@@ -101,9 +101,10 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, h
     """``left`` join ``right`` on ``key`` (unique in ``right``) where few keys may hold most rows of ``left``.
 
     ``counts`` holds (key, n). Keys with over 1/parts of all rows number below ``parts``; their right
-    rows are broadcast, a proven bound, and the rest is a plain shuffled join.
+    rows are broadcast, a proven bound, and the rest is a plain shuffled join. Rows of a few bytes allow more parts than whole
+    sets of shingles.
     """
-    top = counts.where("n > 1000").orderBy(F.col("n").desc()).limit(parts).select(key, "n").collect()
+    top = counts.where("n > 100").orderBy(F.col("n").desc()).limit(parts).select(key, "n").collect()
     total = counts.agg(F.sum("n")).first()[0] if top else 0
     keys = [r[0] for r in top if r[1] > total // parts]
     if not keys:

@@ -261,6 +261,8 @@ def links_of(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return jaccard(both).where(F.col("j") >= threshold - 1e-12).select("a", "b")
 
 
+#: Keys that may be broadcast where the rows joined to them are a few numbers.
+SMALL = 1000
 #: Cells of the table of shingle counts: a fixed size, whatever the corpus.
 CELLS = 1 << 20
 
@@ -345,10 +347,10 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     buckets = sketch.where("bands is not null").select(F.explode("bands").alias("band"), "digest", "n")
     counts = saved(buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("band", "n"))
     # Copies that several tasks saw are the same member.
-    members = saved(join_heavy(in_bands(sketch, counts), counts.withColumnRenamed("n", "mates"), "band", counts).distinct())
+    members = saved(join_heavy(in_bands(sketch, counts), counts.withColumnRenamed("n", "mates"), "band", counts, parts=SMALL).distinct())
     score = members.groupBy("digest").agg(F.sum("mates").alias("score"))
     best = members.join(score, "digest").groupBy("band").agg(F.max(F.struct("score", "digest", "n")).alias("l")).select("band", F.col("l.digest").alias("a"), F.col("l.n").alias("na"))
-    asked = join_heavy(members, best, "band", counts).where("a <> digest").where(F.least("na", "n") >= threshold * F.greatest("na", "n"))
+    asked = join_heavy(members, best, "band", counts, parts=SMALL).where("a <> digest").where(F.least("na", "n") >= threshold * F.greatest("na", "n"))
     pairs = saved(asked.select("a", F.col("digest").alias("b")).distinct())
     wanted = saved(members.select("digest").distinct())
     sets = saved(shingle_sets(docs, text_col, wanted))
@@ -356,7 +358,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     roots = saved(components(links))
     classed = members.select("band", "digest", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     mixed = classed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rest = saved(join_heavy(classed, mixed.select("band"), "band", mixed.select("band", "n"), "left_semi").select("digest", "n", "root").distinct())
+    rest = saved(join_heavy(classed, mixed.select("band"), "band", mixed.select("band", "n"), "left_semi", SMALL).select("digest", "n", "root").distinct())
     drop_saved(pairs, roots)
     left = saved(open_pairs(rest, sets, threshold))
     more = saved(links_of(left, sets, threshold))
