@@ -427,7 +427,8 @@ def decode(coded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str =
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256 of its whole text, encoded and decoded in one pass.
 
-    The same encoder and decoder as :func:`encode` and :func:`decode`, without sending the ids through Spark.
+    Null texts are empty; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result; a very
+    long text is a chunk of its own. The same encoder and decoder as :func:`encode` and :func:`decode`, without sending the ids through Spark.
     """
     def run(b: pa.RecordBatch) -> dict[str, object]:
         bpe = SpeculativeBPE.load(path)

@@ -54,7 +54,7 @@ def op5_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.clean(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", F.sha2("cleaned", 256).alias("cleaned_sha256"))
 
 
 def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +107,10 @@ win AS (SELECT doc_id, k, struct_pack(a := w[k], b := w[k + 1], c := w[k + 2]) A
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, k, line, regexp_replace(line, '{SPACES}', '', 'g') AS solid, regexp_replace(line, '{SPACES}+\z', '') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM d)),
 lw AS (SELECT *, len(list_filter(string_split_regex(line, '{SPACES}+'), lambda x: x <> '')) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS rn FROM ln WHERE length(solid) > 0),
-bad AS (SELECT doc_id, length(solid) AS chars, rn > 1 AS again, rn > 1 OR (n < 8 AND NOT regexp_matches(t, {ends})) OR ({symbols} >= 3 AND 10 * {symbols} > 3 * n) OR ({bars} >= 3 AND 5 * {bars} > n)
+bad AS (SELECT doc_id, k, line, length(solid) AS chars, rn > 1 AS again, rn > 1 OR (n < 8 AND NOT regexp_matches(t, {ends})) OR ({symbols} >= 3 AND 10 * {symbols} > 3 * n) OR ({bars} >= 3 AND 5 * {bars} > n)
   OR (n <= 6 AND regexp_matches(t, {nav})) OR (n <= 25 AND regexp_matches(t, {boiler})) OR (n >= 3 AND length(line) - length(regexp_replace(line, '\p{{Lu}}', '', 'g')) > 2 * (length(line) - length(regexp_replace(line, '\p{{Ll}}', '', 'g')))) AS bad FROM lw),
-lost AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, CAST(coalesce(sum(chars) FILTER (bad), 0) AS BIGINT) AS lost_chars FROM bad GROUP BY doc_id),
-m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '{SPACES}', '', 'g')) AS word_chars, {sql_count("text", quality.SYMBOLS)} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars
+lost AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, CAST(coalesce(sum(chars) FILTER (bad), 0) AS BIGINT) AS lost_chars, string_agg(line, chr(10) ORDER BY k) FILTER (NOT bad) AS cleaned FROM bad GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '{SPACES}', '', 'g')) AS word_chars, {sql_count("text", quality.SYMBOLS)} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost_chars, 0) AS lost_chars, sha256(coalesce(cleaned, '')) AS cleaned_sha256
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM m""".replace("\\\\", "\\")
 
