@@ -120,7 +120,7 @@ class Ranges(WithSequences):
         values = None
         if isinstance(key, (list, tuple)):
             key, values = key
-            places = F.broadcast(spark.createDataFrame([(v, k + 1) for k, v in enumerate(values)], [key, "rid"]))
+            places = spark.createDataFrame([(v, k + 1) for k, v in enumerate(values)], [key, "rid"])
             raw = raw.drop("rid").join(places, key)
         if dims is not None:
             raw = raw.join(dims, key, "left_semi")

@@ -91,7 +91,7 @@ def trim(df: DataFrame, seqinfo: DataFrame) -> DataFrame:
 
     ``seqinfo`` holds (seqnames, seqlength, is_circular), one row per sequence: bounded by the sequence dictionary.
     """
-    info = F.broadcast(seqinfo.where(F.col("seqlength").isNotNull() & ~F.coalesce("is_circular", F.lit(False))).select("seqnames", F.col("seqlength").cast("int").alias("__len")))
+    info = seqinfo.where(F.col("seqlength").isNotNull() & ~F.coalesce("is_circular", F.lit(False))).select("seqnames", F.col("seqlength").cast("int").alias("__len"))
     j = df.join(info, "seqnames", "left")
     known = F.col("__len").isNotNull()
     cut = clipped(j, F.when(known, F.lit(1)), F.col("__len"))

@@ -96,7 +96,7 @@ def gaps(df: DataFrame, seqinfo: DataFrame, start: int | dict = 1, end: int | di
     marks = bounds.select("seqnames", "strand", F.explode(F.array("lo", F.col("hi") + 1)).alias("pos"), F.lit(0).cast("long").alias("n"))
     changes = events(spaced(df, ignore_strand), {"n": F.lit(1)}).where("n <> 0").select("seqnames", "strand", "pos", "n")
     every = changes.unionByName(marks).groupBy(*GROUP, "pos").agg(F.sum("n").alias("n"))
-    out = pieces(every, ["n"], width).where("depth_n = 0").join(F.broadcast(bounds), GROUP)
+    out = pieces(every, ["n"], width).where("depth_n = 0").join(bounds, GROUP)
     lo, hi = F.greatest("pos", "lo"), F.least("upto", "hi")
     return shaped(out.where(hi >= lo), lo, hi)
 
@@ -115,7 +115,7 @@ def coverage(df: DataFrame, seqinfo: DataFrame, shift: int = 0, width: int | dic
     ends = seqinfo.select("seqnames", F.lit("*").alias("strand"), bounds_width(width).alias("hi"))
     marks = ends.select("seqnames", "strand", F.explode(F.when(F.col("hi").isNull(), F.array(F.lit(1).cast("long"))).otherwise(F.array(F.lit(1).cast("long"), F.col("hi") + 1))).alias("pos"), F.lit(0).cast(changes.schema["n"].dataType).alias("n"))
     every = changes.unionByName(marks).groupBy(*GROUP, "pos").agg(F.sum("n").alias("n"))
-    out = pieces(every, ["n"], scan_width).join(F.broadcast(ends), GROUP)
+    out = pieces(every, ["n"], scan_width).join(ends, GROUP)
     out = out.where("hi is null or pos <= hi")
     stop = F.least("upto", "hi")
     return out.select("seqnames", F.col("pos").cast("int").alias("start"), stop.cast("int").alias("end"), (stop - F.col("pos") + 1).cast("int").alias("width"), F.col("depth_n").alias("depth"))
