@@ -2,10 +2,11 @@
 
 All pages of a host are merged into one tree of style nodes: a node is the path of elements (tag with
 class and id) from the body down. Over the pages that have a node, the entropy of the child sequences
-shown there (presentation) and of the texts shown there (content) gives its importance: what looks or
-reads the same on every page of a site is furniture. The importance of a branch is composed of its own presentation and of what
+shown there, with the number and length of the blocks below (presentation), and of the texts shown there (content) gives its
+importance: what looks or reads the same on every page of a site is furniture. The importance of a branch is composed of its own presentation and of what
 stands below it, by length of text; branches of low importance go. Few pages say little, so entropies are
-drawn towards 1 by as much as a few pages more would. Elements that are furniture by definition (menus, forms, scripts) go. Names of containers are a prior: outside an
+drawn towards 1 by as much as a few pages more would. On pages without an article element the tree names the main branch, the
+innermost one of most of the text whose presentation surely varies, and what stands beside it in a constant presentation goes. Elements that are furniture by definition (menus, forms, scripts) go. Names of containers are a prior: outside an
 article they decide, inside one the tree has to confirm that the container stands on many pages of the site. The
 plain flow of an article, elements without class or id, is never cut by statistics.
 """
@@ -51,6 +52,9 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table the
 NAMED = frozenset("div section aside ul ol dl table header article main details center figure".split())
 #: Branches of lower importance go; pages of full entropy that every node is given on top of its own; weight left to what stands below a node for each way in which it is laid out.
 LEAST, EXTRA, BELOW = 0.3, 4.0, 0.9
+#: Presentation of a main branch, with as many pages of no entropy on top; presentation below which a branch beside it is constant.
+VARIED, FLAT = 0.5, 0.45
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 Node = tuple[str, bool, bool, bool]  # element key, furniture by definition, named as furniture, is an article's container
 
@@ -147,10 +151,11 @@ def flow(path: tuple[Node, ...]) -> bool:
 
 
 def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """(host, node, named, look, read, ways, share): every style node of every host.
+    """(host, node, named, look, firm, read, ways, share): every style node of every host.
 
-    ``look`` and ``read`` are the entropies of presentation and content (null: no children, no text), ``ways`` the number of
-    child sequences, ``share`` the share of the host's pages that have the node, all drawn towards 1 by EXTRA pages. Counts are summed
+    ``look`` and ``read`` are the entropies of presentation and content (null: no text of its own), ``ways`` the number of
+    presentations, ``share`` the share of the host's pages that have the node, all drawn towards 1 by EXTRA pages; ``firm`` is the
+    entropy of presentation drawn towards 0 by as many. Counts are summed
     inside each task before they are dealt out by host, node and feature, so a host with
     a third of all pages is no heavy group; entropies are sums over features.
     """
@@ -162,19 +167,23 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
                 children: dict[int, list[int]] = defaultdict(list)
                 texts: dict[int, list[str]] = defaultdict(list)
                 named: set[int] = set()
+                below: dict[int, list[int]] = defaultdict(lambda: [0, 0])
                 for path, text in blocks(page):
                     ids = node_ids(path)
+                    for k in ids:
+                        below[k][0] += 1
+                        below[k][1] += len(text)
                     named.update(k for k, x in zip(ids, path, strict=True) if x[2])
                     for up, down in zip(ids, ids[1:], strict=False):
                         if not children[up] or children[up][-1] != down:
                             children[up].append(down)
                     if ids:
                         texts[ids[-1]].append(text)
-                for node, downs in children.items():
-                    seen[h, node, LOOK, xxhash.xxh3_64_intdigest(np.array(downs, np.int64).tobytes()) - (1 << 63)] += 1
+                for node, size in below.items():
+                    seen[h, node, LOOK, xxhash.xxh3_64_intdigest(np.array(shape(children.get(node, []), *size), np.int64).tobytes()) - (1 << 63)] += 1
                 for node, shown in texts.items():
                     seen[h, node, READ, xxhash.xxh3_64_intdigest("\n".join(shown)) - (1 << 63)] += 1
-                for node in children.keys() | texts.keys():
+                for node in below:
                     seen[h, node, NAMED_ON if node in named else THERE, 0] += 1
             if len(seen) > 200_000:
                 yield counted(seen)
@@ -187,15 +196,21 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     sums = per.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.count("*").alias("ways"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     # H = -sum p log_m p with p = n/m, which is 1 - sum(n log n) / (m log m); one page has H = 1.
     m = F.col("m")
-    entropy = (m * F.when(m > 1, 1 - F.col("nlogn") / (m * F.log("m"))).otherwise(1.0) + EXTRA) / (m + EXTRA)
+    bare = m * F.when(m > 1, 1 - F.col("nlogn") / (m * F.log("m"))).otherwise(1.0)
+    entropy, firm = (bare + EXTRA) / (m + EXTRA), bare / (m + EXTRA)
     pick = lambda kind, of, fn=F.max: fn(F.when(F.col("kind") == kind, of))
     there = F.col("kind").isin(THERE, NAMED_ON)
-    both = sums.groupBy("host", "node").agg(pick(LOOK, entropy).alias("look"), pick(READ, entropy).alias("read"), pick(LOOK, F.col("ways")).alias("ways"), F.sum(F.when(there, m)).alias("on"), F.coalesce(F.bool_or(F.col("kind") == NAMED_ON), F.lit(False)).alias("named"))
+    both = sums.groupBy("host", "node").agg(pick(LOOK, entropy).alias("look"), pick(LOOK, firm).alias("firm"), pick(READ, entropy).alias("read"), pick(LOOK, F.col("ways")).alias("ways"), F.sum(F.when(there, m)).alias("on"), F.coalesce(F.bool_or(F.col("kind") == NAMED_ON), F.lit(False)).alias("named"))
     number = pages.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count("*").alias("of"))
-    return both.join(number, "host").select("host", "node", "named", "look", "read", "ways", ((F.col("on") + EXTRA) / (F.col("of") + EXTRA)).alias("share"))
+    return both.join(number, "host").select("host", "node", "named", "look", "firm", "read", "ways", ((F.col("on") + EXTRA) / (F.col("of") + EXTRA)).alias("share"))
 
 
-#: Kinds of counted features: child sequences, texts, pages with the node, pages with it under a name of furniture.
+def shape(children: list[int], blocks: int, length: int) -> list[int]:
+    """The presentation of a node: its child sequence, the number of blocks below it, and their length by powers of two."""
+    return [*children, blocks, length.bit_length()]
+
+
+#: Kinds of counted features: presentations, texts, pages with the node, pages with it under a name of furniture.
 LOOK, READ, THERE, NAMED_ON = range(4)
 
 
@@ -204,7 +219,7 @@ def counted(seen: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), *(pa.array([k[i] for k in keys], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64()))), pa.array(list(seen.values()), pa.int64())], ["host", "node", "kind", "feature", "n"])
 
 
-Site = dict[int, tuple[float, float, int, bool]]  # look, read, ways, rare: of the nodes of a host that are not of full importance
+Site = dict[int, tuple[float, float, int, bool, float]]  # look, read, ways, rare, firm: of the nodes of a host of which something is known
 
 
 def importance(found: list[tuple[list[int], int]], site: Site) -> tuple[dict[int, float], dict[int, int]]:
@@ -213,7 +228,7 @@ def importance(found: list[tuple[list[int], int]], site: Site) -> tuple[dict[int
     1 - BELOW^ways of it is the node's own presentation, the rest the mean of its texts and branches by their length. Nodes
     that the site's tree does not hold are of full importance.
     """
-    full = (1.0, 1.0, 1, False)
+    full = (1.0, 1.0, 1, False, 0.0)
     length: dict[int, int] = defaultdict(int)
     total: dict[int, float] = defaultdict(float)
     up: dict[int, tuple[int, int | None]] = {}
@@ -226,7 +241,7 @@ def importance(found: list[tuple[list[int], int]], site: Site) -> tuple[dict[int
     out: dict[int, float] = {}
     inner = {parent for _, parent in up.values()}
     for k in sorted(up, key=lambda k: -up[k][0]):
-        look, _, ways, _ = site.get(k, full)
+        look, _, ways, *_ = site.get(k, full)
         below = BELOW**ways if k in inner else 1.0
         out[k] = (1 - below) * look + below * total[k] / max(1, length[k])
         if up[k][1] is not None:
@@ -244,6 +259,24 @@ def dropped(path: tuple[Node, ...], ids: list[int], site: Site) -> bool:
     return False
 
 
+def main_branch(ids: list[list[int]], length: dict[int, int], total: int, site: Site) -> list[int] | None:
+    """The path to the innermost node of at least half of the page's text whose presentation surely varies on the site."""
+    best: list[int] | None = None
+    for nodes in ids:
+        for depth, k in enumerate(nodes):
+            if k in site and site[k][4] >= VARIED and 2 * length[k] >= total and depth >= len(best or ()):
+                best = nodes[: depth + 1]
+    return best
+
+
+def beside(path: tuple[Node, ...], nodes: list[int], main: list[int], site: Site) -> bool:
+    """Whether a block, no heading, stands outside the main branch in a branch of constant presentation."""
+    away = next((k for k, (x, y) in enumerate(zip(nodes, [*main, None], strict=False)) if x != y), None)
+    if away is None or away >= len(main) or path[-1][0].split(".")[0] in HEADINGS:
+        return False
+    return nodes[away] in site and site[nodes[away]][0] < FLAT
+
+
 def main_text(page: str, site: Site) -> str:
     """The blocks that stay, joined by an empty line; ``site`` holds nodes of the page's host, empty if nothing is known."""
     found = list(blocks(page))
@@ -252,11 +285,14 @@ def main_text(page: str, site: Site) -> str:
     has_article = any(any(x[3] for x in path) for path, _, _ in kept)
     value, length = importance([(k, len(t)) for _, t, k in kept], site)
     total = sum(len(t) for _, t, _ in kept)
+    main = None if has_article else main_branch([k for _, _, k in kept], length, total, site)
     out = []
     for path, t, nodes in kept:
         if has_article and not any(x[3] for x in path):
             continue
         # A branch of low importance that holds most of the page's text is a site of copies, not furniture.
+        if main and beside(path, nodes, main, site):
+            continue
         if site and not flow(path) and any(value[k] < LEAST and 2 * length[k] <= total for k in nodes):
             continue
         out.append(t)
@@ -268,7 +304,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", o
 
     A null or empty html gives an empty text; a null url is a host of its own name, the empty string;
     repeated rows are pages of their own; other columns stay, whatever their names; a very long page is one row; an empty table gives an
-    empty one. The nodes of less than full importance are broadcast while they number at most ``max_broadcast_nodes`` (counted first); beyond,
+    empty one. The nodes of which something is known are broadcast while they number at most ``max_broadcast_nodes`` (counted first); beyond,
     they are joined by host.
     """
     if out_col in pages.columns:
@@ -278,8 +314,8 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", o
     hosted = pages.select(host.alias("host"), F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"))
     tree = style_tree(hosted.select("host", F.col(f"row.`{html_col}`").alias("html")))
     rare = F.col("named") & (F.col("share") < LEAST)
-    known = tree.where((F.coalesce("look", F.lit(1.0)) < 0.95) | (F.coalesce("read", F.lit(1.0)) < 0.95) | rare)
-    node = F.struct("node", F.coalesce("look", F.lit(1.0)).alias("look"), F.coalesce("read", F.lit(1.0)).alias("read"), F.coalesce("ways", F.lit(1)).cast("int").alias("ways"), rare.alias("rare"))
+    known = tree.where((F.col("look") < 0.95) | (F.col("firm") >= VARIED) | (F.coalesce("read", F.lit(1.0)) < 0.95) | rare)
+    node = F.struct("node", "look", F.coalesce("read", F.lit(1.0)).alias("read"), F.col("ways").cast("int").alias("ways"), rare.alias("rare"), "firm")
     sites = saved(known.groupBy("host").agg(F.collect_list(node).alias("nodes")))
     nodes = sites.agg(F.sum(F.size("nodes"))).first()[0] or 0
     if nodes <= max_broadcast_nodes:
@@ -298,7 +334,7 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", o
                 if h not in held:
                     if len(held) > 1000:
                         held.clear()
-                    held[h] = {x["node"]: (x["look"], x["read"], x["ways"], x["rare"]) for x in found[k].as_py() or ()}
+                    held[h] = {x["node"]: (x["look"], x["read"], x["ways"], x["rare"], x["firm"]) for x in found[k].as_py() or ()}
                 texts.append(main_text(page or "", held[h]))
             yield pa.RecordBatch.from_arrays([*(rows.field(j) for j in range(len(names))), pa.array(texts, pa.string())], [*names, out_col])
 

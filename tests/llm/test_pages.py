@@ -72,6 +72,22 @@ def test_neutral_names(spark):
     assert all(text(r[2]) != r[3] for r in rows)
 
 
+def test_neutral_names_and_texts_that_never_repeat(spark):
+    """Furniture whose names are neutral and whose texts differ on every page: its constant presentation beside a main branch gives it away."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed".split()) + str(rng.randrange(999)) for _ in range(n))
+    rows = []
+    for h in range(4):
+        for k in range(rng.randrange(20, 45)):
+            story = [prose(6), *(prose(rng.randrange(5, 60)) for _ in range(rng.randrange(2, 14)))]
+            links = "".join(f"<li><a href=/>{prose(1)}</a></li>" for _ in range(6))
+            page = f"<body><div class=q1><ul>{links}</ul></div><div class=q2>{prose(9)}</div><div class=q3><h1>{story[0]}</h1>{''.join(f'<p>{x}</p>' for x in story[1:])}</div><div class=q4>{prose(8)}</div></body>"
+            rows.append((len(rows), f"https://n{h}.example/{k}", page, "\n\n".join(story)))
+    out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, want string")).collect()
+    assert sum(r["main_text"] == r["want"] for r in out) >= 0.9 * len(rows) and all(r["want"] in r["main_text"] for r in out)
+    assert not any(text(r[2]) == r[3] for r in rows)
+
+
 def test_tree_by_plain_python(spark):
     """Entropies, shares and composite importance against their definitions."""
     rows = generated(random.Random(7), 2)
@@ -79,14 +95,16 @@ def test_tree_by_plain_python(spark):
     tree = {(r["host"], r["node"]): r for r in pages.style_tree(df.repartition(3)).collect()}
     seen = defaultdict(list)
     for _, url, page, _ in rows:
-        children, texts = defaultdict(list), defaultdict(list)
+        children, texts, below = defaultdict(list), defaultdict(list), defaultdict(list)
         for path, t in pages.blocks(page):
             ids = pages.node_ids(path)
+            for k in ids:
+                below[k].append(len(t))
             for a, b in zip(ids, ids[1:], strict=False):
                 if children[a][-1:] != [b]:
                     children[a].append(b)
             texts[ids[-1]].append(t)
-        for k, x in [*((("look", n), tuple(c)) for n, c in children.items() if c), *((("read", n), tuple(c)) for n, c in texts.items())]:
+        for k, x in [*((("look", n), (*children[n], len(c), math.floor(math.log2(sum(c))))) for n, c in below.items()), *((("read", n), tuple(c)) for n, c in texts.items())]:
             seen[(url.split("/")[2], *k)].append(x)
     for (host, kind, node), shown in seen.items():
         m = len(shown)
@@ -94,9 +112,9 @@ def test_tree_by_plain_python(spark):
         r = tree[host, node]
         assert math.isclose(r[kind], (m * h + pages.EXTRA) / (m + pages.EXTRA), abs_tol=1e-9)
         if kind == "look":
-            assert r["ways"] == len(set(shown))
+            assert r["ways"] == len(set(shown)) and math.isclose(r["firm"], m * h / (m + pages.EXTRA), abs_tol=1e-9)
     assert {(h, n) for h, _, n in seen} == set(tree)
-    site = {1: (0.5, 0.2, 2, False), 2: (1.0, 0.1, 1, False), 3: (0.0, 1.0, 1, False)}
+    site = {1: (0.5, 0.2, 2, False, 0.0), 2: (1.0, 0.1, 1, False, 0.0), 3: (0.0, 1.0, 1, False, 0.0)}
     value, length = pages.importance([([1, 2], 10), ([1, 3, 4], 30), ([1], 5)], site)
     three = 0.1 * 0.0 + 0.9 * 1.0
     assert length == {1: 45, 2: 10, 3: 30, 4: 30} and value[2] == 0.1 and value[4] == 1 and math.isclose(value[3], three)
