@@ -287,8 +287,8 @@ def test_plans(spark, tmp_path):
     x, y = spark.read.parquet(str(tmp_path / "q")), made(spark, s)
     for df in (overlaps.find_overlaps(x, y), overlaps.count_overlaps(x, y), nearest.nearest(x, y), merge.coverage(x, info(spark)), merge.intersect(x, y), merge.reduce(x)):
         assert no_pair_enumeration(df) and stays_in_jvm(df)
-    x, y = (spark.read.parquet(str(tmp_path / "q")).where(f"rid <> {k}") for k in (998, 999))
-    for df, inputs in ((merge.setdiff(x, y), 2), (merge.reduce(x), 1), (nearest.precede(x, y), 2), (merge.union(x, y), 2)):
+    a, b = (spark.read.parquet(str(tmp_path / "q")).where(f"rid <> {k}") for k in (998, 999))
+    for df, inputs in ((merge.setdiff(a, b), 2), (merge.reduce(a), 1), (nearest.precede(a, b), 2), (merge.union(a, b), 2)):
         df.collect()
         assert plan_text(df).split("== Initial Plan ==")[0].count("Scan parquet") <= 2 * inputs
     text = pushed_filters(intra.restrict(x, 10, 50))
