@@ -62,7 +62,9 @@ def runs(changes: DataFrame, group: list[str], names: list[str], keep: Callable[
     edges = summed.where(now != was).select(*group, "__bin", "pos", now.alias("opens"))
     inside = Window.partitionBy(*group, "__bin").orderBy("pos")
     marked = edges.withColumns({"next": F.lead("pos").over(inside), "last": F.lag("pos").over(inside)})
-    whole = marked.where("opens and next is not null").select(*group, "pos", "next")
-    loose = marked.where("(opens and next is null) or (not opens and last is null)")
-    far = loose.withColumn("next", F.lead("pos").over(Window.partitionBy(*group).orderBy("pos"))).where("opens").select(*group, "pos", "next")
-    return whole.unionByName(far).select(*group, F.col("pos").alias("lo"), (F.col("next") - 1).alias("hi"))
+    loose = F.when(F.col("opens"), F.col("next")).otherwise(F.col("last")).isNull()
+    # One frame for both kinds: what is paired keeps to its bin, what is loose shares a key along the sequence.
+    kept = marked.where(F.col("opens") | loose).select(*group, "pos", "opens", "next", F.when(~loose, F.col("__bin")).alias("__with"))
+    after = F.lead("pos").over(Window.partitionBy(*group, "__with").orderBy("pos"))
+    paired = kept.withColumn("next", F.coalesce("next", F.when(F.col("__with").isNull(), after))).where("opens")
+    return paired.select(*group, F.col("pos").alias("lo"), (F.col("next") - 1).alias("hi"))
