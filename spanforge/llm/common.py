@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes to bytes: A-Z lowered, every ASCII byte that is not a letter or digit becomes a space.
@@ -97,6 +97,24 @@ def drop_saved(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its 0-based place in ``order``; rows that tie in all of it must be equal, or their places may be dealt either way. Saved.
+
+    One range sort, written to the shared folder with each row's place in its partition; the counts of partitions (a row each) are
+    summed and broadcast.
+    """
+    rows = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, before, total = F.shiftright("__at", 33), [], 0
+    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).agg(F.count("*")).collect()):
+        before.append((p, total))
+        total += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "__p long, __before long"))
+    out = rows.withColumn("__p", part).join(offsets, "__p")
+    out = out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__p", "__before", "__at")
+    out.saved_path = rows.saved_path
+    return out
+
+
 def join_heavy(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner", parts: int = 200) -> DataFrame:
     """``left`` join ``right`` on ``key`` (unique in ``right``) where few keys may hold most rows of ``left``.
 

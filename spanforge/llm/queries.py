@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import bpe, decontam, dialogue, lm, neardup, pages, quality, secrets, tokencount, toxicity
+from spanforge.llm import bpe, decontam, dialogue, lm, merkle, neardup, pages, quality, repeats, secrets, tokencount, toxicity, whitening
 from spanforge.llm.common import saved
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,6 +75,21 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_FILE)
 
 
+def op11_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A fifth of the rows come back with their capitals lost; their folded roots show it.
+    suspect = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": merkle.lowered(F.col("text"))}, suspect=suspect)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_probminhash": op2_probminhash,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_spectrum_slicing": op11_spectrum_slicing,
+    "op12_column_bwt": op12_column_bwt,
+    "op13_octopus_manifest": op13_octopus_manifest,
 }
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -115,6 +133,31 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(te
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM m""".replace("\\\\", "\\")
 
 
+def op13_sql() -> str:
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x} END"
+    leaf = lambda text: "sha256(" + " || ".join(f"({field(x)})" for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    return f"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) AS t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+raw AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a // 256, t[1 + xor(a % 256, b)])), 4294967295) % 5 = 0 AS suspect FROM documents, crc),
+leaves AS (SELECT doc_id, source, {leaf("text")} AS h, CASE WHEN suspect THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf("text")} END AS g FROM raw),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id, h) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+up AS (SELECT tree, 0 AS level, idx, n, h FROM placed
+  UNION ALL SELECT tree, level + 1, idx // 16, (n - 1) // 16 + 1, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY tree, level, n, idx // 16),
+top AS (SELECT 0 AS tree, 0 AS level, tree - 1 AS idx, count(*) OVER () AS n, h FROM up WHERE n = 1
+  UNION ALL SELECT tree, level + 1, idx // 16, (n - 1) // 16 + 1, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY tree, level, n, idx // 16),
+nodes AS (SELECT * FROM up UNION ALL SELECT * FROM top),
+kin AS (SELECT x.tree, x.level, x.idx, x.n, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS r
+  FROM nodes x JOIN nodes y ON x.tree = y.tree AND x.level = y.level AND x.idx // 16 = y.idx // 16 GROUP BY x.tree, x.level, x.idx, x.n),
+walk AS (SELECT doc_id, h AS leaf, tree, tree AS own, 0 AS level, idx, '' AS proof, g AS f FROM placed
+  UNION ALL SELECT doc_id, leaf, CASE WHEN k.n = 1 THEN 0 ELSE w.tree END, own, CASE WHEN k.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN k.n = 1 THEN w.tree - 1 ELSE w.idx // 16 END,
+    CASE WHEN k.n = 1 THEN proof ELSE proof || l || r END, CASE WHEN k.n = 1 THEN f ELSE sha256(l || f || r) END
+  FROM walk w JOIN kin k ON w.tree = k.tree AND w.level = k.level AND w.idx = k.idx WHERE NOT (w.tree = 0 AND k.n = 1)),
+done AS (SELECT w.* FROM walk w JOIN top t ON w.tree = 0 AND t.level = w.level AND t.n = 1)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.h AS verified
+FROM done JOIN top t ON t.n = 1 JOIN up s ON s.tree = own AND s.n = 1"""
+
+
 #: Matches of a pattern with their starts, from the matches and the texts between them.
 SPANS = """
   SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(generate_series(1, len(m))) AS k, m[k] AS found,
@@ -166,4 +209,15 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(ge
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id)
 SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM folded f LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_column_bwt": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(x, 2 * k + 1, 100) AS s FROM (SELECT *, unnest(range(n - 49)) AS k FROM d WHERE n >= 50)),
+hit AS (SELECT doc_id, k FROM w JOIN (SELECT s, min(doc_id) AS low FROM w GROUP BY s) USING (s) WHERE low < doc_id),
+run AS (SELECT doc_id, k, sum(f) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS f FROM hit)),
+span AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM run GROUP BY doc_id, c),
+gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM (SELECT doc_id, a, z FROM span UNION ALL SELECT doc_id, n AS a, n AS z FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS x FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+per AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN per USING (doc_id)""",
+    "op13_octopus_manifest": op13_sql(),
 }
