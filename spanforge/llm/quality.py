@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: White space of the contract, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: A line that ends so has terminal punctuation.
 ENDS = r"[.!?:;…。！？][\"')\]»”’]*\z"
@@ -40,7 +41,7 @@ def count_of(text: Column, letters: str) -> Column:
 
 def line_failures(line: Column) -> Column:
     """True where a line (with a word) fails a rule that looks at nothing but the line."""
-    t = F.regexp_replace(line, rf"{SPACE}\z", "")
+    t = F.rtrim(line, F.lit(BLANKS))
     n = F.size(word_list(line))
     symbols, bars = count_of(line, SYMBOLS), count_of(line, "|»›•·")
     upper = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
