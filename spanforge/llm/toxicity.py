@@ -31,8 +31,8 @@ LETTER = r"[^\W\d_]"
 ANYWHERE, BEFORE = r"[0-9@$€£]", r"[!|+¡*]"
 LOOK = r"[0-9@$!|+€£¡*]"
 SINGLE = rf"(?:{LETTER}|[0-9@$!])(?!\w)"
-#: What gives a token away that may be disguised: a look-alike; a letter three times over; three doubled letters on end.
-MARK = re.compile(rf"{ANYWHERE}|{BEFORE}+(?={LETTER})|({LETTER})\1(?:\1|({LETTER})\2({LETTER})\3)")
+#: What gives a token away that may be disguised: a look-alike; a letter three times over; three doubled letters on end. A row of marks is read once, from its first one.
+MARK = re.compile(rf"{ANYWHERE}|(?<!{BEFORE}){BEFORE}++(?={LETTER})|({LETTER})\1(?:\1|({LETTER})\2({LETTER})\3)")
 TOKEN = re.compile(rf"(?:[^\W_]|{LOOK})+")
 #: A letter that stands alone between separators, and a row of such letters.
 ALONE = re.compile(rf"[ ._\-*]{LETTER}(?=[ ._\-*])")
@@ -349,7 +349,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows whose text scores below ``threshold``, all columns as they are."""
+    """The rows whose text scores below ``threshold``, all columns as they are, whatever their names.
+
+    A null text is the empty one and scores by the bias; repeated rows stay or go together; a very long text is read whole; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
