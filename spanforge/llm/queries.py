@@ -164,18 +164,23 @@ SPANS = """
          1 + list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) - 1 AS s
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}', 0{flags}) AS m, string_split_regex(coalesce(text, ''), '{pattern}'{flags}) AS gaps FROM documents)
   WHERE len(m) > 0"""
-ASSIGN_SQL = r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
-GROUP_SQL = r"""^(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+#: The names in either case of their ASCII letters, and no other letters that fold to them.
+NAMES_SQL = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+GROUP_SQL = rf"""^(?:{NAMES_SQL})["'']?\x20*[:=]\x20*["'']?"""
+ASSIGN_SQL = GROUP_SQL[1:] + "[A-Za-z0-9+/_.=-]+"
+BLANKS_SQL = r"\x20\x09-\x0D"
+PEM_SQL = rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[{BLANKS_SQL}]+(?:[A-Za-z0-9-]+: [^\n]*\n)*[A-Za-z0-9+/={BLANKS_SQL}]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
 
 SQL: dict[str, str] = {
     "op1_secret_ledger": f"""
-WITH spans AS ({SPANS.format(kind="assign", rank=0, pattern=f"(?i:{ASSIGN_SQL})".replace("(password", "(?:password"), flags="")}
+WITH spans AS ({SPANS.format(kind="assign", rank=0, pattern=ASSIGN_SQL, flags="")}
   UNION ALL {SPANS.format(kind="access", rank=1, pattern="AKIA[A-Z0-9]+", flags="")}
-  UNION ALL {SPANS.format(kind="hex", rank=2, pattern="[0-9a-f]+", flags="")}),
+  UNION ALL {SPANS.format(kind="hex", rank=2, pattern="[0-9a-f]+", flags="")}
+  UNION ALL {SPANS.format(kind="pem", rank=3, pattern=PEM_SQL, flags="")}),
 good AS (SELECT doc_id, kind, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(found) AS BIGINT) AS span FROM spans
-  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(found, '(?i:{GROUP_SQL})', '')) >= 12 WHEN 'access' THEN length(found) >= 18 ELSE length(found) >= 16 END),
-per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, rank) AS spans FROM good GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(found, '{GROUP_SQL}', '')) >= 12 WHEN 'access' THEN length(found) >= 18 ELSE length(found) >= 16 END),
+per AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY s, rank) AS spans, string_agg(span, ',' ORDER BY s, rank) FILTER (kind <> 'pem') AS base FROM good GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN per USING (doc_id)""",
     "op2_probminhash": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -21,7 +21,8 @@ KINDS = ("assign", "access", "hex", "pem")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----\s+(?:[A-Za-z0-9-]+: [^\n]*\n)*[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: Possessive, so that no blank is read twice: header lines behind white space, then the key; or white space and the key.
+PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?>[\x20\x09-\x0D]++(?:[A-Za-z0-9-]+: [^\n]*\n)++|[\x20\x09-\x0D])[A-Za-z0-9+/=\x20\x09-\x0D]++-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Digests that a task remembers, so that copies are sent once.
 REMEMBERED = 200_000
@@ -56,16 +57,18 @@ def one_per_blob(rows: DataFrame) -> DataFrame:
 
 
 def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of the given (blob, text) rows, each blob once per task; spans are kind:start:end."""
+    """Ledger rows of the given (blob, text) rows, one for each blob; spans are kind:start:end. A task remembers its last blobs only: what it scans again is dropped."""
     def run(batches):
         seen: set[str] = set()
         for b in slices(batches):
+            if len(seen) > REMEMBERED:
+                seen.clear()
             b = b.filter(pa.array([x not in seen and not seen.add(x) for x in b.column(0).to_pylist()], pa.bool_()))
             if b.num_rows:
                 spans = [[f"{k}:{s}:{e}" for s, e, k in find(x)] for x in strings(b, "text")]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rule_version] * b.num_rows), pa.array(spans, pa.list_(pa.string()))], ["blob", "rule_version", "spans"])
 
-    return blobs.select("blob", "text").mapInArrow(run, LEDGER)
+    return blobs.select("blob", "text").mapInArrow(run, LEDGER).dropDuplicates(["blob"])
 
 
 def scan(versions: DataFrame, *, path_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
