@@ -168,7 +168,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     """One row per document row: id, n_words, n_hit, ids of the items that occur, original spans.
 
     Null and empty texts have no words and no hits; a very long text is scanned as one; items without words match nothing; repeated item
-    ids count once; repeated document rows give repeated results; other columns are ignored. With no
+    ids count once, and items without an id count as one with a null id, which stands last; repeated document rows give repeated results; other columns are ignored. With no
     items nothing is hit. Item text beyond PASS_BYTES is scanned in several passes over the documents,
     whose hit words are united by row, so that no automaton outgrows a worker.
     """
@@ -197,7 +197,7 @@ def scanned(docs: DataFrame, automaton: Automaton) -> DataFrame:
             some = hit.any() if len(hit) else False
             out["n_words"].append(n)
             out["n_hit"].append(int(hit.sum()))
-            out["items"].append(sorted(ids))
+            out["items"].append(sorted(ids, key=lambda x: (x is None, x or "")))
             out["hit_words"].append(np.flatnonzero(hit).tolist() if some else [])
             out["spans"].append(char_spans(text, hit) if some else [])
             out["digest"].append(hashlib.md5(text.encode()).digest())
@@ -207,7 +207,11 @@ def scanned(docs: DataFrame, automaton: Automaton) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in whose text no window of an item occurs."""
+    """The rows of ``docs``, all columns as they are, in whose text no window of an item occurs.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together; a very long text is scanned whole; items with null ids count like others; without items all
+    rows stay, and an empty table gives an empty one.
+    """
     for a in passes(items, item_id, item_text, window):
         def keep(batches, shared=docs.sparkSession.sparkContext.broadcast(a)):
             for b in slices(batches):

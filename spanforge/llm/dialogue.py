@@ -63,7 +63,8 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
 def assemble(rotated: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
     """One row per conversation and perspective: the rendering, and its loss spans in order.
 
-    A rendering is one value of one row, so this is for conversations that fit a row; the rows of :func:`rotate` do not have to.
+    A rendering is one value of one row, so this is for conversations that fit a row; the rows of :func:`rotate` do not have to. Rows of null conversations are one
+    conversation, repeated rows stand as often as given, an empty table gives an empty one.
     """
     part = F.sort_array(F.collect_list(F.struct("seg_start", "segment", "loss_start", "loss_end")))
     whole = saved(rotated).groupBy(conv_col, "perspective").agg(part.alias("p"))

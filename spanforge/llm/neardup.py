@@ -389,7 +389,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of ``docs`` for each class, all columns as they are: of its rows with the least id (rows without an id come last) that of the least hash of its text.
 
     Rows are told apart by id and text, so of rows with one id and different texts each stands for its own class; a class of rows
-    without ids keeps one of them.
+    without ids keeps one of them. Null, empty and wordless texts are copies of one another, very long ones are shingled whole, an empty table gives an empty one.
     """
     placed = grouped(docs, id_col, text_col, threshold)
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "raw")).alias("b")).select(F.col("b.id").alias("kept_id"), F.col("b.raw").alias("kept_raw"))

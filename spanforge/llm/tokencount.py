@@ -288,7 +288,11 @@ def recount(docs: DataFrame, edits_col: str, path: str, *, id_col: str = "doc_id
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", out_col: str = "edits") -> DataFrame:
-    """``docs`` with the rows of ``edits`` (id, seq, start, end, new) of each document as an array; edits of one document depend on one another, so they stay together."""
+    """``docs`` with the rows of ``edits`` (id, seq, start, end, new) of each document as an array; edits of one document depend on one another, so they stay together.
+
+    Documents without edits have a null array; edits of a null or unknown id are nobody's; repeated documents get the edits each, repeated edits are made as often
+    as given; empty tables give documents without edits, or none.
+    """
     grouped = edits.groupBy(id_col).agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias(out_col))
     return docs.join(grouped, id_col, "left")
 
