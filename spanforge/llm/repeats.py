@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import drop_saved, saved, slices
 
-WINDOW, ANCHOR = 50, 16
+WINDOW, ANCHOR = 50, 24
 #: Anchors that a window may have, and so the most windows of a piece.
 SPREAD = WINDOW - ANCHOR + 1
 #: Bytes of text whose anchors are hashed at a time; bytes of text a bucket of anchors stands for.
 SEGMENT, BUCKET = 1 << 20, 1 << 25
 #: Buckets at least; symbols of a collection, about; symbols of one anchor beyond which its pieces are cut again by other anchors.
-LEAST_BUCKETS, COLLECTION, LIMIT = 256, 1 << 20, 1 << 22
+LEAST_BUCKETS, COLLECTION, LIMIT = 256, 1 << 20, 1 << 20
 #: Bytes of a transform that stay in memory between two rounds; beyond, its files are on disk.
 HELD = 1 << 26
 NOBODY = np.iinfo(np.int64).max
@@ -39,10 +39,15 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F, 0x165
 
 def anchors(data: np.ndarray, seed: int = 0) -> np.ndarray:
     """The anchor of the window at each place of ``data`` that has one: the least hash of its k-mers; ``seed`` gives another order of k-mers."""
-    p, h, n = pow(MULTIPLIERS[0], 1 + 2 * seed, 1 << 64), data.astype(M), 1
-    while n < ANCHOR:
-        h = h[:-n] * M(pow(p, n, 1 << 64)) + h[n:]
+    p, power, n = pow(MULTIPLIERS[0], 1 + 2 * seed, 1 << 64), data.astype(M), 1
+    # Hashes of lengths of powers of two, put together to that of a k-mer.
+    h, size = (power, 1) if ANCHOR & 1 else (np.zeros(len(data) + 1, M), 0)
+    while 2 * n <= ANCHOR:
+        power = power[:-n] * M(pow(p, n, 1 << 64)) + power[n:]
         n *= 2
+        if ANCHOR & n:
+            h = h[: len(power) - size] * M(pow(p, n, 1 << 64)) + power[size:]
+            size += n
     h = h * M(MULTIPLIERS[1])
     h ^= h >> M(32)
     h *= M(MULTIPLIERS[2])
@@ -359,25 +364,34 @@ def stretches(collection: DataFrame) -> DataFrame:
     return collection.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, name long, first long, last long, lowest long")
 
 
-def collected(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Saved (anchor, name, id, key, spot) of all pieces, and the saved collection of distinct ones.
+def collected(found: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(anchor, name, id, key, spot) of all pieces, the collection of distinct ones, and the saved tables that both read.
 
     Pieces of an anchor with over LIMIT symbols are cut again by the anchors of another order of k-mers, and again, until none has so many or nothing
     changes.
     """
-    done = None
+    places, collections, tables, now = [], [], [found], found
     for seed in range(1, 1 + SPREAD):
-        of = found.withColumn("name", F.xxhash64("piece"))
-        distinct = saved(of.groupBy("anchor", "name", "piece").agg(F.min("id").alias("lowest"), F.when(F.count("id") == F.count("*"), F.max("id")).alias("highest")), "zstd")
-        heavy = distinct.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("symbols")).where(F.col("symbols") > LIMIT).select("anchor")
-        if seed == SPREAD or heavy.isEmpty():
+        named = now.withColumn("name", F.xxhash64("piece"))
+        distinct = saved(named.groupBy("anchor", "name", "piece").agg(F.min("id").alias("lowest"), F.when(F.count("id") == F.count("*"), F.max("id")).alias("highest")), "zstd")
+        heavy = saved(distinct.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("symbols")).where(F.col("symbols") > LIMIT).select("anchor"))
+        tables += [distinct, heavy]
+        last = seed == SPREAD or heavy.isEmpty()
+        light = (lambda x: x) if last else (lambda x, h=heavy: x.join(h, "anchor", "left_anti"))
+        places.append(light(named.select("anchor", "name", "id", "key", "spot")))
+        collections.append(light(distinct))
+        if last:
             break
-        heavy = saved(heavy)
-        light = of.join(heavy, "anchor", "left_anti").select(*of.columns)
-        again = cut_again(of.join(heavy, "anchor", "left_semi").select(*of.columns), seed)
-        old, found = found, saved(light.drop("name").unionByName(again), "zstd")
-        drop_saved(distinct, heavy, old)
-    return found.select("anchor", F.xxhash64("piece").alias("name"), "id", "key", "spot"), distinct
+        now = saved(cut_again(now.join(heavy, "anchor", "left_semi"), seed), "zstd")
+        tables.append(now)
+    return union_of(places), union_of(collections), tables
+
+
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def key_of(id_col: str, text_col: str):
@@ -397,11 +411,11 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     known = parts.groupBy("key").agg(F.collect_list(F.struct("spots", "anchors")).alias("found"))
     found = saved(contents(rows.join(known, "key").select("id", "key", "text", "found")), "zstd")
     drop_saved(parts)
-    places, distinct = collected(found)
+    places, distinct, tables = collected(found)
     seen = saved(stretches(distinct.select("anchor", "name", "piece", "lowest", "highest")))
     hit = places.join(seen, ["anchor", "name"]).where(F.col("id").isNull() | (F.col("lowest") < F.col("id")))
     spans = saved(hit.select("id", "key", (F.col("spot") + F.col("first")).alias("a"), (F.col("spot") + F.col("last") + WINDOW).alias("z")).groupBy("id", "key").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
-    drop_saved(distinct, seen)
+    drop_saved(seen, *tables)
     a, b = rows.alias("a"), spans.alias("b")
     every = a.join(b, (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id")), "left").select("a.id", "a.text", F.col("b.spans.a").alias("first"), F.col("b.spans.z").alias("last"))
 
