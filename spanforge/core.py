@@ -241,7 +241,7 @@ class Ranges(WithSequences):
 
     def _both_infos(self, other: Ranges) -> DataFrame | None:
         if self.seqinfo is None or other.seqinfo is None:
-            return self.seqinfo or other.seqinfo
+            return other.seqinfo if self.seqinfo is None else self.seqinfo
         return self.seqinfo.unionByName(other.seqinfo).groupBy("seqnames").agg(F.max("seqlength").alias("seqlength"), F.max("is_circular").alias("is_circular"), F.max("genome").alias("genome"))
 
     def union(self, other: Ranges, ignore_strand: bool = False) -> Ranges:
@@ -253,6 +253,14 @@ class Ranges(WithSequences):
     def setdiff(self, other: Ranges, ignore_strand: bool = False) -> Ranges:
         return Ranges.of(merge.setdiff(self.df, other.df, ignore_strand), self._both_infos(other))
 
+    def reduce_links(self, **options) -> DataFrame:
+        """Which ranges each result of :meth:`reduce` was made from."""
+        return merge.reduce_links(self.df, **options)
+
+    def disjoin_links(self, **options) -> DataFrame:
+        """Which ranges cover each result of :meth:`disjoin`."""
+        return merge.disjoin_links(self.df, **options)
+
     # Joins
     def find_overlaps(self, subject: Ranges, **options) -> DataFrame:
         return overlaps.find_overlaps(self.df, subject.df, **options)
@@ -263,6 +271,10 @@ class Ranges(WithSequences):
     def overlaps_any(self, subject: Ranges, **options) -> DataFrame:
         return overlaps.overlaps_any(self.df, subject.df, **options)
 
+    def over(self, subject: Ranges, **options) -> DataFrame:
+        """(query_idx, overlaps): which ranges lie over some range of ``subject``."""
+        return self.overlaps_any(subject, **options)
+
     def subset_by_overlaps(self, subject: Ranges, invert: bool = False, **options) -> Ranges:
         return self._with(overlaps.subset_by_overlaps(self.df, subject.df, invert, **options))
 
@@ -270,16 +282,16 @@ class Ranges(WithSequences):
         return overlaps.match(self.df, table.df, **options)
 
     def precede(self, subject: Ranges | None = None, **options) -> DataFrame:
-        return nearest.precede(self.df, subject and subject.df, **options)
+        return nearest.precede(self.df, None if subject is None else subject.df, **options)
 
     def follow(self, subject: Ranges | None = None, **options) -> DataFrame:
-        return nearest.follow(self.df, subject and subject.df, **options)
+        return nearest.follow(self.df, None if subject is None else subject.df, **options)
 
     def nearest(self, subject: Ranges | None = None, **options) -> DataFrame:
-        return nearest.nearest(self.df, subject and subject.df, **options)
+        return nearest.nearest(self.df, None if subject is None else subject.df, **options)
 
     def distance_to_nearest(self, subject: Ranges | None = None, **options) -> DataFrame:
-        return nearest.distance_to_nearest(self.df, subject and subject.df, **options)
+        return nearest.distance_to_nearest(self.df, None if subject is None else subject.df, **options)
 
     # Pairs
     def punion(self, y: Ranges, **options) -> Ranges:
@@ -300,8 +312,8 @@ class Ranges(WithSequences):
         return pairwise.distance(self.df, y.df, **options)
 
     # Order
-    def sort(self, decreasing: bool = False, ignore_strand: bool = False) -> Ranges:
-        placed = with_ordinal(self.df, order.sort_order(decreasing, ignore_strand), "__new")
+    def sort(self, decreasing: bool = False, ignore_strand: bool = False, level_order: list[str] | None = None) -> Ranges:
+        placed = with_ordinal(order.leveled(self.df, level_order), order.sort_order(decreasing, ignore_strand, level_order), "__new")
         return self._with(placed.withColumn("rid", F.col("__new")).select(*self.df.columns))
 
     def order(self, **options) -> DataFrame:
@@ -422,11 +434,10 @@ class RangesList(WithSequences):
         return replace(self, df=self.df.where(condition))
 
     def head(self, n: int = 6) -> RangesList:
-        return replace(self, df=self.df.orderBy(self._by).limit(n if n >= 0 else max(self.df.count() + n, 0)))
+        return replace(self, df=order.head(self.df, n, self._by))
 
     def tail(self, n: int = 6) -> RangesList:
-        n = n if n >= 0 else max(self.df.count() + n, 0)
-        return replace(self, df=self.df.orderBy(F.col(self._by).desc()).limit(n).orderBy(self._by))
+        return replace(self, df=order.tail(self.df, n, self._by))
 
     def realize(self) -> RangesList:
         return replace(self, df=self.df.persist())

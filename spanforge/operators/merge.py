@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce as fold
+from numbers import Integral, Real
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.plans.scan import WIDTH, running, runs
+from spanforge.operators.overlaps import overlap_pairs
+from spanforge.plans.scan import WIDTH, asked_bins, bin_of, next_by_bin, running, runs, upto
 
 GROUP = ["seqnames", "strand"]
 
@@ -47,6 +49,35 @@ def reduce(df: DataFrame, min_gapwidth: int = 1, drop_empty: bool = False, ignor
     return out.where("end >= start") if drop_empty else out
 
 
+def reduce_links(df: DataFrame, min_gapwidth: int = 1, ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
+    """(seqnames, start, end, strand, member): each range of :func:`reduce` and the places of the ranges that it was made from, a row per link.
+
+    Every range lies in one result, the last that starts no later than it, which is looked up among the starts of its bin: links are neither
+    gathered into arrays nor found by pairs. ``min_gapwidth`` is 1 at least, where no two results start at one place.
+    """
+    if min_gapwidth < 1:
+        raise ValueError("links need a min_gapwidth of 1 at least")
+    made = reduce(df, min_gapwidth, False, ignore_strand, width)
+    # The last start up to a place is the first one beyond it on mirrored coordinates.
+    known = made.select(*GROUP, (-F.col("start").cast("long")).alias("pos"), "end")
+    asks = df.select("seqnames", (F.lit("*") if ignore_strand else F.col("strand")).alias("strand"), F.col("rid").alias("member"), (-F.col("start").cast("long") - 1).alias("ask")).withColumn("__bin", bin_of(F.col("ask"), width))
+    bins = next_by_bin(known, asked_bins(asks, GROUP), GROUP, ["end"], width)
+    found = asks.join(bins, [*GROUP, "__bin"]).withColumn("k", upto(F.col("places"), F.col("ask")))
+    pick = lambda array, of: F.when(F.coalesce(F.col("k") < F.size("places"), F.lit(False)), F.get(array, F.col("k"))).otherwise(F.col(f"after.{of}"))
+    return found.select("seqnames", (-pick("places", "pos")).cast("int").alias("start"), pick("end", "end").alias("end"), "strand", "member")
+
+
+def disjoin_links(df: DataFrame, ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
+    """(seqnames, start, end, strand, member): each range of :func:`disjoin` and the places of the ranges that cover it, a row per link; by the join of overlaps inside each strand."""
+    pieces = disjoin(df, ignore_strand, width)
+    space = F.struct("seqnames", "strand").alias("seqnames")
+    a = df.where("end >= start").select("rid", "seqnames", (F.lit("*") if ignore_strand else F.col("strand")).alias("strand"), "start", "end")
+    # A piece names itself by its coordinates: no places are dealt.
+    b = pieces.select(F.struct("seqnames", "start", "end", "strand").alias("rid"), "seqnames", "strand", "start", "end")
+    pairs = overlap_pairs(a.select("rid", space, "start", "end", "strand"), b.select("rid", space, "start", "end", "strand"), ignore_strand=True)
+    return pairs.select("subject_idx.*", F.col("query_idx").alias("member"))
+
+
 def chained(df: DataFrame, ignore_strand: bool, width: int) -> DataFrame:
     """Ranges that share a base become one; empty ranges only join what covers their start."""
     # Of ranges with one start only the longest can matter; empty ones are merged by their own rule.
@@ -80,11 +111,22 @@ def disjoin(df: DataFrame, ignore_strand: bool = False, width: int = WIDTH) -> D
     return shaped(out, F.col("pos"), F.col("upto"))
 
 
+def by_sequence(df: DataFrame, given: int | dict[str, int] | None, name: str, fallback: Column) -> DataFrame:
+    """``df`` with a column of one parameter: the number given, that of the row's sequence, or ``fallback`` where there is none.
+
+    Numbers by sequence are a table that joins on the sequence, as small as what was given.
+    """
+    if not isinstance(given, dict):
+        return df.withColumn(name, (fallback if given is None else F.lit(given)).cast("long"))
+    table = df.sparkSession.createDataFrame(list(given.items()), "seqnames string, __given long")
+    return df.join(table, "seqnames", "left").withColumn(name, F.coalesce("__given", fallback).cast("long")).drop("__given")
+
+
 def bounds_of(df: DataFrame, seqinfo: DataFrame, start: int | dict, end: dict | int | None) -> DataFrame:
     """(seqnames, lo, hi) of the sequences whose bounds are known and in order; as small as the sequence dictionary."""
-    pick = lambda given, fallback: fallback if given is None else F.lit(given) if not isinstance(given, dict) else F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col("seqnames")) if given else F.lit(None)
-    rows = seqinfo.select("seqnames", pick(start, F.lit(1)).cast("long").alias("lo"), pick(end, F.col("seqlength")).cast("long").alias("hi"))
-    return rows.where("lo is not null and hi is not null and hi >= lo")
+    rows = by_sequence(seqinfo.select("seqnames", "seqlength"), start, "lo", F.lit(None) if isinstance(start, dict) else F.lit(1))
+    rows = by_sequence(rows, end, "hi", F.lit(None) if isinstance(end, dict) else F.col("seqlength"))
+    return rows.where("lo is not null and hi is not null and hi >= lo").select("seqnames", "lo", "hi")
 
 
 def gaps(df: DataFrame, seqinfo: DataFrame, start: int | dict = 1, end: int | dict | None = None, ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
@@ -101,18 +143,19 @@ def gaps(df: DataFrame, seqinfo: DataFrame, start: int | dict = 1, end: int | di
     return shaped(out.where(hi >= lo), lo, hi)
 
 
-def coverage(df: DataFrame, seqinfo: DataFrame, shift: int = 0, width: int | dict | None = None, weight: float = 1, scan_width: int = WIDTH) -> DataFrame:
+def coverage(df: DataFrame, seqinfo: DataFrame, shift: int | dict[str, int] = 0, width: int | dict | None = None, weight: float = 1, scan_width: int = WIDTH) -> DataFrame:
     """Runs of equal depth: (seqnames, start, end, width, depth), from base 1 to the width of each sequence.
 
-    Strands are ignored. Shifted ranges are cut at base 1 and dropped if nothing is left. The width of a
-    sequence is its length, else as far as its ranges reach. Whole weights give whole depths.
+    Strands are ignored. ``shift`` and ``width`` are a number, or numbers by sequence (others are not shifted, or have their own length). Shifted ranges are cut at base
+    1 and dropped if nothing is left. The width of a sequence is its length, else as far as its ranges reach. Whole weights give whole depths.
     """
-    if isinstance(weight, bool) or not isinstance(weight, (int, float)):
+    if isinstance(weight, bool) or not isinstance(weight, Real):
         raise ValueError("weight is one number")
-    w = F.lit(weight).cast("long" if isinstance(weight, int) else "double")
-    moved = spaced(df, True).where(F.col("end") + shift >= 1)
-    changes = events(moved, {"n": w}, F.greatest(F.col("start") + shift, F.lit(1)), F.col("end") + shift).where("n <> 0")
-    ends = seqinfo.select("seqnames", F.lit("*").alias("strand"), bounds_width(width).alias("hi"))
+    whole = isinstance(weight, Integral)
+    w = F.lit(int(weight) if whole else float(weight)).cast("long" if whole else "double")
+    moved = by_sequence(spaced(df, True), shift, "__shift", F.lit(0)).withColumns({c: F.col(c).cast("long") + F.col("__shift") for c in ("start", "end")})
+    changes = events(moved.where("end >= 1 and end >= start"), {"n": w}, F.greatest("start", F.lit(1)), F.col("end")).where("n <> 0")
+    ends = by_sequence(seqinfo.select("seqnames", "seqlength"), width, "hi", F.col("seqlength")).select("seqnames", F.lit("*").alias("strand"), "hi")
     marks = ends.select("seqnames", "strand", F.explode(F.when(F.col("hi").isNull(), F.array(F.lit(1).cast("long"))).otherwise(F.array(F.lit(1).cast("long"), F.col("hi") + 1))).alias("pos"), F.lit(0).cast(changes.schema["n"].dataType).alias("n"))
     every = changes.unionByName(marks).groupBy(*GROUP, "pos").agg(F.sum("n").alias("n"))
     out = pieces(every, ["n"], scan_width).join(ends, GROUP)
@@ -121,12 +164,6 @@ def coverage(df: DataFrame, seqinfo: DataFrame, shift: int = 0, width: int | dic
     return out.select("seqnames", F.col("pos").cast("int").alias("start"), stop.cast("int").alias("end"), (stop - F.col("pos") + 1).cast("int").alias("width"), F.col("depth_n").alias("depth"))
 
 
-def bounds_width(width: int | dict | None) -> Column:
-    if isinstance(width, dict):
-        return F.coalesce(*[F.when(F.col("seqnames") == k, F.lit(v)) for k, v in width.items()], F.col("seqlength")).cast("long")
-    return (F.col("seqlength") if width is None else F.lit(width)).cast("long")
-
-
 def union(*frames: DataFrame, ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
     return reduce(fold(DataFrame.unionByName, [spaced(f, ignore_strand) for f in frames]), drop_empty=True, ignore_strand=ignore_strand, width=width)
 

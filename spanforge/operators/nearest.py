@@ -1,8 +1,8 @@
 """Neighbours: precede, follow, nearest, distance to nearest.
 
-The next subject beyond a query is a running minimum over subjects and queries in one
-order; looking to the left is looking to the right on mirrored coordinates, so one scan serves both directions, and a query's own place gives the
-distance. Subjects are first summed up by coordinate, so ties are least and greatest places. Strands are an
+The next subject beyond a query is looked up: subjects are summed up by coordinate, so ties are least and greatest places, and the
+coordinates of a bin are one row, with the first of a later bin; looking to the left is looking to the right on mirrored coordinates. Queries join to the rows of their
+bins, so many queries at one place are a skewed join and nothing more. Strands are an
 equality key: a subject stands under every query strand that can see it.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.overlaps import compatible, overlap_pairs
-from spanforge.plans.scan import WIDTH, running
+from spanforge.plans.scan import WIDTH, asked_bins, bin_of, next_by_bin, upto
 
 SPACE = ["seqnames", "side", "right"]
 
@@ -45,16 +45,19 @@ def subjects(subject: DataFrame, views: Column) -> DataFrame:
 def beside(x: DataFrame, seen: DataFrame, directions: tuple[bool, ...], side: Column, margin: int, width: int) -> DataFrame:
     """(rid, seqnames, side, right, coord, low, high, dist) of every x and direction: the closest coordinate more than ``margin`` beyond it, null if none.
 
-    ``low`` and ``high`` are the least and greatest place there, ``dist`` counts from the margin on.
+    ``low`` and ``high`` are the least and greatest place there, ``dist`` counts from the margin on. The inequality is strict; empty ranges count from their start. An x
+    without a sequence, strand or coordinate has no neighbour, and its rows.
     """
-    known = seen.groupBy(*SPACE, "coord").agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
-    known = known.select(*SPACE, F.col("coord").alias("pos"), F.lit(1).alias("probe"), F.lit(None).cast("long").alias("rid"), F.struct("coord", "low", "high").alias("one"))
-    # An x comes before a subject at its own coordinate, so that the inequality stays strict; empty ranges count from their start.
+    known = seen.groupBy(*SPACE, F.col("coord").alias("pos")).agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
     to = F.explode(F.array(*[F.lit(d) for d in directions]))
-    asks = x.select("rid", "seqnames", side.alias("side"), (F.col("start") - margin).alias("lo"), (F.greatest("end", F.col("start") - 1) + margin if margin else F.col("end")).alias("hi"), to.alias("right"))
-    asks = asks.select(*SPACE, mirrored(F.col("right"), F.col("hi"), F.col("lo")).alias("pos"), F.lit(2).alias("probe"), "rid", F.lit(None).cast(known.schema["one"].dataType).alias("one"))
-    found = running(known.unionByName(asks), SPACE, "pos", {"best": ("min", "one")}, then=["probe"], reverse=True, width=width).where("probe = 2")
-    return found.select("rid", *SPACE, F.col("best.coord").alias("coord"), F.col("best.low").alias("low"), F.col("best.high").alias("high"), (F.col("best.coord") - F.col("pos")).alias("dist"))
+    asks = x.select("rid", "seqnames", side.alias("side"), (start - margin).alias("lo"), (F.greatest(end, start - 1) + margin if margin else end).alias("hi"), to.alias("right"))
+    asks = asks.select("rid", *SPACE, mirrored(F.col("right"), F.col("hi"), F.col("lo")).alias("ask")).withColumn("__bin", bin_of(F.col("ask"), width))
+    bins = next_by_bin(known, asked_bins(asks, keys=SPACE), SPACE, ["low", "high"], width)
+    found = asks.join(bins, [*SPACE, "__bin"], "left").withColumn("k", upto(F.col("places"), F.col("ask")))
+    inside = F.coalesce(F.col("k") < F.size("places"), F.lit(False))
+    pick = lambda array, of: F.when(inside, F.get(array, F.col("k"))).otherwise(F.col(f"after.{of}"))
+    return found.select("rid", *SPACE, pick("places", "pos").alias("coord"), pick("low", "low").alias("low"), pick("high", "high").alias("high"), (pick("places", "pos") - F.col("ask")).alias("dist"))
 
 
 def directed(x: DataFrame, subject: DataFrame, forward_right: bool, select: str, one: str, ignore_strand: bool, width: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The join works on bins: every range goes to the bins it touches, at a level where it touches few, so
 that (sequence, level, bin) is an equality key; a pair is kept only in the first bin that both touch.
-Levels grow by a factor of 8, so one wide range does not become many rows. Counting needs no pairs:
-overlaps = starts up to the query's end - ends before its start, both running sums.
+Levels grow by a factor of 8, so one wide range does not become many rows. Kinds start, end and equal have the coordinate itself in the key. Counting needs no pairs:
+overlaps = starts up to the query's end - ends before its start, both running sums of the subjects, which queries look up in the bins of their ends.
 """
 
 from __future__ import annotations
@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.expr import related, strand_ok
-from spanforge.plans.scan import WIDTH, running
+from spanforge.plans.scan import WIDTH, asked_bins, bin_of, sums_by_bin, upto
 
 #: Most bins of its own level that a range touches, about; factor between levels; levels in all.
 FEW, FACTOR, LEVELS = 4, 8, 9
+#: Edges (s, e) that a kind of overlap compares.
+EDGES = {"start": "s", "end": "e", "equal": "se"}
 
 
 def bin_plan(query: DataFrame, subject: DataFrame) -> tuple[int, int]:
     """Bin width (a power of two near the 90th percentile of widths, 64 at least), and the highest level that a range needs."""
-    widths = query.select((F.col("end") - F.col("start") + 1).alias("w")).unionByName(subject.select((F.col("end") - F.col("start") + 1).alias("w")))
+    width = (F.col("end").cast("long") - F.col("start") + 1).alias("w")
+    widths = query.select(width).unionByName(subject.select(width))
     p, most = widths.agg(F.percentile_approx("w", 0.9, 1000), F.max("w")).first()
     size = 1 << max(6, (max(int(p or 1), 1) - 1).bit_length())
     top = 0
@@ -42,11 +45,22 @@ def binned(df: DataFrame, lo: Column, hi: Column, size: int, top: int) -> DataFr
 
 
 def overlap_pairs(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", ignore_strand: bool = False, bins: tuple[int, int] | None = None) -> DataFrame:
-    """(query_idx, subject_idx) of every pair that overlaps, once."""
+    """(query_idx, subject_idx) of every pair that overlaps, once. Kinds start, end and equal meet on their coordinates, all others in bins."""
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    q = query.select(F.col("rid").alias("query_idx"), "seqnames", start.alias("qs"), end.alias("qe"), F.col("strand").alias("qx"))
+    s = subject.select(F.col("rid").alias("subject_idx"), "seqnames", start.alias("ss"), end.alias("se"), F.col("strand").alias("sx"))
+    if kind in EDGES:
+        off, keys = max(maxgap, 0), ["seqnames"]
+        for edge in EDGES[kind]:
+            # Bands as wide as the tolerance: what is that near lies in a query's own band or in a neighbour.
+            at = F.floor(F.col(f"q{edge}") / (off + 1))
+            q = q.withColumn(f"__{edge}", F.explode(F.sequence(at - 1, at + 1)) if off else F.col("qs" if edge == "s" else "qe"))
+            s = s.withColumn(f"__{edge}", F.floor(F.col(f"s{edge}") / (off + 1)))
+            keys.append(f"__{edge}")
+        hit = related(kind, F.col("qs"), F.col("qe"), F.col("ss"), F.col("se"), maxgap, minoverlap)
+        return q.join(s, keys).where(hit if ignore_strand else hit & strand_ok(F.col("qx"), F.col("sx"))).select("query_idx", "subject_idx")
     size, top = bins or bin_plan(query, subject)
     g = max(maxgap, -1) + 1
-    q = query.select(F.col("rid").alias("query_idx"), "seqnames", F.col("start").alias("qs"), F.col("end").alias("qe"), F.col("strand").alias("qx"))
-    s = subject.select(F.col("rid").alias("subject_idx"), "seqnames", F.col("start").alias("ss"), F.col("end").alias("se"), F.col("strand").alias("sx"))
     q = binned(q, F.least("qs", "qe") - g, F.greatest("qs", "qe") + g, size, top).withColumnsRenamed({"__own": "q_own", "__first": "q_first"})
     s = binned(s, F.least("ss", "se"), F.greatest("ss", "se"), size, top).withColumnsRenamed({"__own": "s_own", "__first": "s_first"})
     j = q.join(s, ["seqnames", "__level", "__bin"])
@@ -78,28 +92,43 @@ def compatible(strand: Column) -> Column:
 
 
 def count_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
-    """(query_idx, n_hits) of every query; two running sums if that decides the predicate, else by the join."""
-    if kind != "any" or minoverlap > 1:
+    """(query_idx, n_hits) of every query; two running sums if that decides the predicate, else by the join.
+
+    With ``minoverlap`` of m > 1 only ranges of m bases and more count, and of those an overlap of m is an overlap of ranges that
+    end m - 1 bases sooner. A query without a sequence, strand or coordinate overlaps nothing and has its row.
+    """
+    if kind != "any" or minoverlap > 1 and maxgap >= 0:
         pairs = overlap_pairs(query, subject, maxgap=maxgap, minoverlap=minoverlap, kind=kind, ignore_strand=ignore_strand)
         found = pairs.groupBy("query_idx").agg(F.count("*").alias("n"))
         return query.select(F.col("rid").alias("query_idx")).join(found, "query_idx", "left").select("query_idx", F.coalesce("n", F.lit(0)).alias("n_hits"))
-    g = maxgap + 1
+    g, m = maxgap + 1, max(minoverlap, 1)
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
     key = F.lit("*") if ignore_strand else F.explode(compatible(F.col("strand")))
-    s = subject.select("seqnames", key.alias("side"), "start", "end")
+    s = subject.where(end - start + 1 >= m) if m > 1 else subject
     # Empty subjects are counted apart: an empty query meets none of them.
-    ends = F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct((F.col("end") + 1).cast("long").alias("pos"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
-    void = (F.col("end") < F.col("start")).cast("long")
-    flat = s.select("seqnames", "side", void.alias("void"), ends.alias("e")).select("seqnames", "side", "e.pos", ((1 - F.col("void")) * F.col("e.up")).alias("up"), ((1 - F.col("void")) * F.col("e.down")).alias("down"), (F.col("void") * F.col("e.up")).alias("vup"), (F.col("void") * F.col("e.down")).alias("vdown"))
+    void = (end < start).cast("long")
+    ends = F.explode(F.array(F.struct(start.alias("pos"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct((end + 1).alias("pos"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    flat = s.select("seqnames", key.alias("side"), "start", "end").select("seqnames", "side", void.alias("void"), ends.alias("e"))
     sums = ["up", "down", "vup", "vdown"]
-    changes = flat.groupBy("seqnames", "side", "pos").agg(*[F.sum(c).alias(c) for c in sums])
-    changes = changes.select("seqnames", "side", "pos", F.lit(0).alias("probe"), F.lit(None).cast("long").alias("query_idx"), F.lit(None).cast("int").alias("at_end"), F.lit(None).cast("boolean").alias("open"), *sums)
+    changes = flat.groupBy("seqnames", "side", F.col("e.pos").alias("pos")).agg(*[F.sum(((F.col("void") if c[0] == "v" else 1 - F.col("void")) * F.col(f"e.{c.lstrip('v')}"))).alias(c) for c in sums])
     side = F.lit("*") if ignore_strand else F.col("strand")
-    lo, hi = F.col("start").cast("long") - g, F.col("end").cast("long") + g
-    asks = query.select("seqnames", side.alias("side"), F.col("rid").alias("query_idx"), (hi >= lo).alias("open"), F.explode(F.array(F.struct(hi.alias("pos"), F.lit(1).alias("at_end")), F.struct(lo.alias("pos"), F.lit(0).alias("at_end")))).alias("e"))
-    asks = asks.select("seqnames", "side", "e.pos", F.lit(1).alias("probe"), "query_idx", "e.at_end", "open", *[F.lit(0).cast("long").alias(c) for c in sums])
-    seen = running(changes.unionByName(asks), ["seqnames", "side"], "pos", {f"r_{c}": ("sum", c) for c in sums}, then=["probe"], width=width).where("probe = 1")
-    part = F.when(F.col("at_end") == 1, F.col("r_up") + F.when(F.col("open"), F.col("r_vup")).otherwise(0)).otherwise(-F.col("r_down") - F.when(F.col("open"), F.col("r_vdown")).otherwise(0))
-    return seen.groupBy("query_idx").agg(F.sum(part).cast("long").alias("n_hits"))
+    # With minoverlap the ask moves m - 1 bases inwards at both ends.
+    asks = query.select(F.col("rid").alias("query_idx"), "seqnames", side.alias("side"), (start - g + m - 1).alias("lo"), (end + g - m + 1).alias("hi"), (end - start + 1 >= m).alias("wide"))
+    asks = asks.withColumns({"__lo": bin_of(F.col("lo"), width), "__hi": bin_of(F.col("hi"), width)})
+    keys = ["seqnames", "side"]
+    bins = sums_by_bin(changes, asked_bins(asks.withColumn("__bin", F.explode(F.array("__lo", "__hi"))), keys=keys), keys, sums, width)
+
+    def seen(rows: DataFrame, at: str, name: str, plain: str, voids: str) -> DataFrame:
+        """``rows`` with the sums of ``plain`` and ``voids`` up to the position ``at``."""
+        here = bins.select(*keys, F.col("__bin").alias(f"__{at}"), "places", *[c for n in (plain, voids) for c in (n, f"before_{n}")])
+        k = upto(F.col("places"), F.col(at))
+        out = rows.join(here, [*keys, f"__{at}"], "left").withColumn("k", k)
+        value = lambda n: F.coalesce(F.col(f"before_{n}") + F.when(F.col("k") > 0, F.get(n, F.col("k") - 1)).otherwise(0), F.lit(0))
+        return out.withColumn(name, value(plain) + F.when(F.col("hi") >= F.col("lo"), value(voids)).otherwise(0)).drop("places", "k", *[c for n in (plain, voids) for c in (n, f"before_{n}")])
+
+    found = seen(seen(asks, "hi", "begun", "up", "vup"), "lo", "ended", "down", "vdown")
+    asked = F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("wide") if m > 1 else F.lit(True))
+    return found.select("query_idx", F.when(asked, F.col("begun") - F.col("ended")).otherwise(0).cast("long").alias("n_hits"))
 
 
 def overlaps_any(query: DataFrame, subject: DataFrame, **options) -> DataFrame:

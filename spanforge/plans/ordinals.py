@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.plans.storage import written
 
-#: Sorted tables kept on disk until released.
-KEPT: list[DataFrame] = []
 
+def placed(df: DataFrame, order: list, name: str = "rid") -> tuple[DataFrame, int]:
+    """``df`` with its 1-based place in the order of ``order``, and the number of rows; rows that tie in all of it may be dealt their places either way, once.
 
-def release() -> None:
-    """Drop the sorted tables of earlier plans; only for when no frame built on them is used any more."""
-    while KEPT:
-        KEPT.pop().unpersist()
-
-
-def with_ordinal(df: DataFrame, order: list, name: str = "rid") -> DataFrame:
-    """``df`` with its 1-based place in the order of ``order``, which must be total for a stable result.
-
-    Rows are range-partitioned and sorted once and kept on disk, so that both passes see the same
-    partitions; the first pass counts rows per partition, the second adds the running counts (one row
-    per partition, broadcast) to the place inside the partition.
+    Rows are range-partitioned, sorted and written to the shared folder, each with its place in its partition: nothing is
+    kept on an executor, and places stay what they are whoever is lost. Counts of partitions (a row each) are summed up and broadcast.
     """
-    inside = F.monotonically_increasing_id()
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", inside).persist(StorageLevel.DISK_ONLY)
-    KEPT.append(placed)
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
-    sizes = [(r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.count("*")).collect()]
     before, total = [], 0
-    for p, n in sorted(sizes):
+    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).agg(F.count("*")).collect()):
         before.append((p, total))
         total += n
-    if not before:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("__at")
     offsets = F.broadcast(df.sparkSession.createDataFrame(before, "__p long, __before long"))
-    joined = placed.withColumn("__p", part).join(offsets, "__p")
-    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__p", "__before", "__at")
+    joined = rows.withColumn("__p", part).join(offsets, "__p")
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__p", "__before", "__at"), total
+
+
+def with_ordinal(df: DataFrame, order: list, name: str = "rid") -> DataFrame:
+    """``df`` with its 1-based place in the order of ``order``."""
+    return placed(df, order, name)[0]

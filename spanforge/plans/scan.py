@@ -68,3 +68,62 @@ def runs(changes: DataFrame, group: list[str], names: list[str], keep: Callable[
     after = F.lead("pos").over(Window.partitionBy(*group, "__with").orderBy("pos"))
     paired = kept.withColumn("next", F.coalesce("next", F.when(F.col("__with").isNull(), after))).where("opens")
     return paired.select(*group, F.col("pos").alias("lo"), (F.col("next") - 1).alias("hi"))
+
+
+#: Powers of two up to a bin's width, falling.
+STEPS = [1 << k for k in range(WIDTH.bit_length() - 1, -1, -1)]
+
+
+def bin_of(pos: Column, width: int = WIDTH) -> Column:
+    return F.floor(pos / F.lit(width))
+
+
+def upto(places: Column, x: Column) -> Column:
+    """How many of the ascending ``places``, no more than a bin has, are at most ``x``: a binary search, as many steps as the array needs."""
+    n = F.size(places)
+    need = F.greatest(F.ceil(F.log2(n + 1)), F.lit(1)).cast("int")
+    steps = F.slice(F.array(*[F.lit(k) for k in STEPS]), F.lit(len(STEPS)) - need + 1, need)
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(places, at + step - 1) <= x), at + step).otherwise(at))
+    return F.when(n > 0, found).otherwise(0)
+
+
+def column_of(rows: str, name: str) -> Column:
+    """One field of an array of structs, as an array."""
+    return F.transform(rows, lambda x: x[name])
+
+
+def asked_bins(asks: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct bins (``keys``, __bin) of some asks; few rows, whatever the asks."""
+    return asks.select(*keys, "__bin").distinct()
+
+
+def sums_by_bin(changes: DataFrame, asked: DataFrame, group: list[str], sums: list[str], width: int = WIDTH) -> DataFrame:
+    """(group, __bin, places, before_<sum>, <sum>): one row for each bin that has changes or is asked: the positions of its changes, what the sums are before the
+    bin, and at each position.
+
+    ``changes`` has a row per position, so a row is bounded by the bin's width, and asks join to it as to any table: a position that a
+    third of all asks share is a skewed join key, which AQE splits, and no window holds an ask.
+    """
+    keys = [*group, "__bin"]
+    rows = changes.withColumn("__bin", bin_of(F.col("pos"), width))
+    inside = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select(*keys, "pos", *[F.sum(c).over(inside).alias(c) for c in sums])
+    held = run.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *sums))).alias("r"))
+    held = held.select(*keys, *[column_of("r", c).alias(n) for c, n in [("pos", "places"), *((c, c) for c in sums)]])
+    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).unionByName(asked.select(*keys, *[F.lit(0).cast("long").alias(c) for c in sums]))
+    earlier = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    chain = totals.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).select(*keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in sums])
+    return chain.join(held, keys, "left")
+
+
+def next_by_bin(known: DataFrame, asked: DataFrame, group: list[str], values: list[str], width: int = WIDTH) -> DataFrame:
+    """(group, __bin, places, <values>, after): one row for each bin that has known positions or is asked: its positions with their values, and the first
+    (pos, values) of a later bin.
+    """
+    keys = [*group, "__bin"]
+    rows = known.withColumn("__bin", bin_of(F.col("pos"), width))
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *values))).alias("r"))
+    every = held.unionByName(asked.select(*keys, F.lit(None).cast(held.schema["r"].dataType).alias("r"))).groupBy(*keys).agg(F.first("r", True).alias("r"))
+    later = Window.partitionBy(*group).orderBy("__bin").rowsBetween(1, Window.unboundedFollowing)
+    out = every.withColumn("after", F.first(F.get("r", F.lit(0)), True).over(later))
+    return out.select(*keys, *[column_of("r", c).alias(n) for c, n in [("pos", "places"), *((c, c) for c in values)]], "after")

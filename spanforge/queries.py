@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.core import Ranges, RangesList
 from spanforge.operators import intra, lists, merge, nearest, order, overlaps, pairwise, tiling
+from spanforge.plans.storage import own_dir
 from spanforge.views import VIEWS, ev, lg, li, pt, py, si, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +51,7 @@ register("filter_chained", lambda s, d: ev(s, d).where("seqnames = 'chr1'").wher
 register("head_n", lambda s, d: order.head(ev(s, d), 10).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM ev ORDER BY rid LIMIT 10""")
 register("tail_n", lambda s, d: order.tail(ev(s, d), 10).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM ev ORDER BY rid DESC LIMIT 10""")
 register("head_negative", lambda s, d: order.head(ev(s, d), -3).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM ev WHERE rid <= (SELECT count(*) - 3 FROM ev)""")
+register("tail_negative", lambda s, d: order.tail(ev(s, d), -3).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM ev WHERE rid > 3""")
 register("take_after_filter", lambda s, d: order.take(ev(s, d).where("seqnames = 'chr2'"), [1, 2, 3, 7]).select(*ROW), """SELECT rid, seqnames, start, "end", strand FROM (SELECT *, row_number() OVER (ORDER BY rid) AS k FROM ev WHERE seqnames = 'chr2') WHERE k IN (1, 2, 3, 7)""")
 PICKED = """SELECT t.k AS rid, seqnames, start, "end", strand FROM (SELECT *, row_number() OVER (ORDER BY rid) AS spot FROM ev WHERE seqnames = 'chr2') e JOIN {wanted} ON e.spot = t.spot"""
 chr2 = lambda s, d: Ranges(ev(s, d).where("seqnames = 'chr2'"))
@@ -71,7 +74,26 @@ register("open_in_key_order", lambda s, d: opened(s, d, ["event_id", [40, 3, 700
 register("open_with_dimension", lambda s, d: opened(s, d).with_dims(table(s, d, "events").where("event_type = 'click'").select("event_id")).df.select(*NAMES), NAMED.format(rid="e.rid") + " WHERE strand = '+'")
 register("metadata_set", lambda s, d: opened(s, d).with_mcols({"double": F.col("value") * 2}).mcols.select("rid", "double"), "SELECT rid, score * 2 AS double FROM ev")
 register("ranges_only", lambda s, d: opened(s, d).ranges(), 'SELECT rid, start, "end", "end" - start + 1 AS width FROM ev')
-register("seqinfo_set", lambda s, d: Ranges(ev(s, d), si(s)).with_seqlengths({"chr5": 7}).with_circular({"chr1": True}).seqinfo, "SELECT seqnames, CASE seqnames WHEN 'chr5' THEN 7 ELSE seqlength END AS seqlength, seqnames = 'chr1' OR is_circular AS is_circular FROM si")
+register("seqinfo_set", lambda s, d: opened(s, d).with_seqlengths({"chr5": 7, "chr9": 3}).with_circular({"chr1": True}).with_genome("g1").seqinfo, "SELECT DISTINCT seqnames, CASE seqnames WHEN 'chr5' THEN 7 END AS seqlength, CASE seqnames WHEN 'chr1' THEN true END AS is_circular, 'g1' AS genome FROM ev")
+
+
+def stored(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """Events written by roles and opened again: a folder by sequence, text files, or a table of the catalog."""
+    at, raw = f"{own_dir(s)}/s-{uuid.uuid4().hex}", opened(s, d)
+    roles = {"seqnames": "seqnames", "start": "start", "end": "end", "strand": "strand", "key": "event_id", "mcols": ["value"]}
+    if kind == "csv":
+        raw.df.write.csv(f"{at}.csv", header=True, compression="gzip")
+        return Ranges.open(s, f"{at}.csv", **roles, order=["rid"]).df.select(*NAMES)
+    if kind == "view":
+        raw.df.drop("rid").createOrReplaceTempView("ranges_of_events")
+        return Ranges.open(s, "table:ranges_of_events", **roles).df.select(*NAMES)
+    raw.write(at, "seqnames")
+    return Ranges.open(s, at, **roles).df.select(*NAMES)
+
+
+for kind in ("csv", "view", "parquet"):
+    register(f"open_stored_{kind}", lambda s, d, k=kind: stored(s, d, k), NAMED.format(rid="e.rid"))
+register("names_of_rows", lambda s, d: opened(s, d).names(), "SELECT rid, rid - 1 AS event_id FROM ev")
 register("widths", lambda s, d: ev(s, d).select("rid", (F.col("end") - F.col("start") + 1).alias("width")), """SELECT rid, "end" - start + 1 AS width FROM ev""")
 
 # Each range alone
@@ -88,7 +110,7 @@ def by_strand(plus: str, minus: str) -> str:
 
 
 alone("shift", lambda x: intra.shift(x, 17), "start + 17", '"end" + 17')
-alone("narrow_start", lambda x: intra.narrow(x, start=1, end=-1), "start", '"end"')
+alone("narrow_start", lambda x: intra.narrow(x, start=2), "start + 1", '"end"')
 alone("narrow_end_neg", lambda x: intra.narrow(x, end=-1, width=1), '"end"', '"end"')
 alone("resize_start", lambda x: intra.resize(x, 25, "start"), by_strand("start", '"end" - 24'), by_strand("start + 24", '"end"'))
 alone("resize_end", lambda x: intra.resize(x, 25, "end"), by_strand('"end" - 24', "start"), by_strand('"end"', "start + 24"))
@@ -152,7 +174,16 @@ HELD = "mem AS (SELECT * FROM (VALUES " + ", ".join(f"({k + 1}, '{c}', {a}, {b},
 held = lambda s: Ranges.from_rows(s, MEMORY, names=["a", "b", "c", "d"])
 register("overlaps_of_memory", lambda s, d: held(s).find_overlaps(Ranges(ev(s, d))), f", {HELD} {PAIRS} {hits(q='mem')}")
 register("overlaps_with_memory", lambda s, d: Ranges(li(s, d)).count_overlaps(held(s)), f", {HELD} " + COUNTED.format(hits=hits().replace("JOIN ev s", "JOIN mem s")))
-register("memory_names", lambda s, d: held(s).names(), "SELECT rid, name FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd')) AS t(rid, name)")
+register("find_overlaps_with_memory", lambda s, d: Ranges(li(s, d)).find_overlaps(held(s)), f", {HELD} {PAIRS} {hits().replace('JOIN ev s', 'JOIN mem s')}")
+
+
+def uploaded(s: SparkSession, d: str) -> Ranges:
+    """The first events as ranges in memory, by names."""
+    rows = ev(s, d).where("rid <= 20").orderBy("rid").collect()
+    return Ranges.from_rows(s, [tuple(r[c] for c in SPAN[:3]) + (r["strand"],) for r in rows], names=[f"n{r['rid']}" for r in rows])
+
+
+register("memory_names", lambda s, d: uploaded(s, d).find_overlaps(Ranges(li(s, d))).withColumnRenamed("query_idx", "rid").join(uploaded(s, d).names(), "rid").select("name", "subject_idx"), f"SELECT 'n' || q.rid AS name, s.rid AS subject_idx {hits(q='ev').replace('JOIN ev s', 'JOIN li s')} WHERE q.rid <= 20")
 
 # Neighbours
 FORWARD = "(VALUES ('+', '+'), ('+', '*'), ('*', '+'), ('*', '*')) AS k(strand, side)"
@@ -250,10 +281,15 @@ register("range_ignore_strand", flat(lambda x, s, d: merge.span(x, True)), """SE
 register("reduce", flat(lambda x, s, d: merge.reduce(x)), merged_sql("li"))
 register("reduce_gapwidth", flat(lambda x, s, d: merge.reduce(x, min_gapwidth=30)), merged_sql("li", 30))
 register("reduce_ignore_strand", lambda s, d: merge.reduce(ev(s, d), ignore_strand=True).select(*SPAN), merged_sql(BARE.format(view="ev")))
+LINKED = """, r AS ({made}) SELECT r.seqnames, r.start, r."end", r.strand, x.rid AS member FROM r JOIN {view} x ON x.seqnames = r.seqnames AND {strand}x.start >= r.start AND x.start <= r."end" """
+register("reduce_links", lambda s, d: merge.reduce_links(li(s, d), min_gapwidth=30), LINKED.format(made=merged_sql("li", 30), view="li", strand="x.strand = r.strand AND "))
+register("reduce_links_ignore_strand", lambda s, d: merge.reduce_links(ev(s, d), ignore_strand=True), LINKED.format(made=merged_sql(BARE.format(view="ev")), view="ev", strand=""))
 PIECE = 'CAST(pos AS INT) AS start, CAST(upto AS INT) AS "end"'
 register("disjoin", flat(lambda x, s, d: merge.disjoin(x)), f"SELECT seqnames, {PIECE}, strand FROM ({swept_sql('li')}) WHERE depth_n > 0")
 register("disjoin_ignore_strand", lambda s, d: merge.disjoin(ev(s, d), True).select(*SPAN), f"SELECT seqnames, {PIECE}, strand FROM ({swept_sql(BARE.format(view='ev'))}) WHERE depth_n > 0")
 
+register("disjoin_links", lambda s, d: merge.disjoin_links(ev(s, d)), f', r AS (SELECT seqnames, {PIECE}, strand FROM ({swept_sql("ev")}) WHERE depth_n > 0) SELECT r.*, x.rid AS member FROM r JOIN ev x ON x.seqnames = r.seqnames AND x.strand = r.strand AND x.start <= r.start AND x."end" >= r."end"')
+
 
 def gaps_sql(view: str, strands: str, lo: str = "1", hi: str = "seqlength") -> str:
     bounds = f"bd AS (SELECT seqnames, strand, lo, hi FROM (SELECT seqnames, {lo} AS lo, {hi} AS hi FROM si), (VALUES {strands}) AS t(strand) WHERE lo IS NOT NULL AND hi >= lo)"
@@ -269,7 +305,7 @@ register("gaps_bounds_by_sequence", flat(lambda x, s, d: merge.gaps(x, si(s), {"
 register("gaps_bounds", flat(lambda x, s, d: merge.gaps(x, si(s), 500, 50000)), gaps_sql("li", "('+'), ('-'), ('*')", "500", "50000"))
 
 
-def coverage_sql(view: str, shift: int = 0, width: str = "seqlength", weight: str = "1", kind: str = "BIGINT") -> str:
+def coverage_sql(view: str, shift: int | str = 0, width: str = "seqlength", weight: str = "1", kind: str = "BIGINT") -> str:
     source = f"""(SELECT seqnames, '*' AS strand, greatest(start + {shift}, 1) AS start, "end" + {shift} AS "end" FROM {view} WHERE "end" + {shift} >= 1)"""
     marks = f" UNION ALL SELECT seqnames, '*', 1, 0 FROM si UNION ALL SELECT seqnames, '*', {width} + 1, 0 FROM si WHERE {width} IS NOT NULL"
     runs = f"""sw AS ({swept_sql(source, f'{weight} AS n', f'-{weight} AS n', marks=marks)}), ct AS (SELECT seqnames, pos AS s, least(upto, {width}) AS e, CAST(depth_n AS {kind}) AS depth FROM sw JOIN si USING (seqnames) WHERE {width} IS NULL OR pos <= {width}),
@@ -280,6 +316,7 @@ g AS (SELECT *, sum(f) OVER (PARTITION BY seqnames ORDER BY s ROWS UNBOUNDED PRE
 register("coverage_runs", lambda s, d: merge.coverage(li(s, d, False), si(s)), coverage_sql("li"))
 register("coverage_shifted", lambda s, d: merge.coverage(ev(s, d), si(s), shift=-40, width=50000, weight=2), coverage_sql("ev", -40, "50000", "2"))
 register("coverage_width_by_sequence", lambda s, d: merge.coverage(ev(s, d), si(s), width={"chr1": 20000, "chr5": 9000}), coverage_sql("ev", 0, "CASE seqnames WHEN 'chr1' THEN 20000 WHEN 'chr5' THEN 9000 ELSE seqlength END"))
+register("coverage_shift_by_sequence", lambda s, d: merge.coverage(ev(s, d), si(s), shift={"chr1": -700, "chr2": 33, "chr5": 10**6}), coverage_sql("ev", "CASE seqnames WHEN 'chr1' THEN -700 WHEN 'chr2' THEN 33 WHEN 'chr5' THEN 1000000 ELSE 0 END"))
 register("coverage_weighted", lambda s, d: merge.coverage(ev(s, d), si(s), weight=0.5), coverage_sql("ev", 0, "seqlength", "0.5", "DOUBLE"))
 
 
@@ -295,7 +332,12 @@ for name, fn, keep in (("union", merge.union, "depth_x + depth_y > 0"), ("inters
 
 # Order and duplicates
 SORTED = 'seqnames, strand, start, "end"'
-register("sort_ranges", lambda s, d: order.sort(ev(s, d)).select(*ROW, "score"), f'SELECT rid, seqnames, start, "end", strand, score FROM ev ORDER BY {SORTED}, rid')
+register("sort_ranges", lambda s, d: Ranges(ev(s, d)).sort().df.select(*ROW, "score"), f'SELECT row_number() OVER (ORDER BY {SORTED}, rid) AS rid, seqnames, start, "end", strand, score FROM ev')
+LEVELS = ["chr3", "chr10", "chr2", "chr5"]
+LEVELED = ", lv AS (SELECT ev.*, coalesce(k, 9) AS level FROM ev LEFT JOIN (VALUES ('chr3', 0), ('chr10', 1), ('chr2', 2), ('chr5', 3)) AS t(seqnames, k) USING (seqnames))"
+register("sort_by_levels", lambda s, d: Ranges(ev(s, d)).sort(level_order=LEVELS).df.select(*ROW), LEVELED + f' SELECT row_number() OVER (ORDER BY level, {SORTED}, rid) AS rid, seqnames, start, "end", strand FROM lv')
+register("order_by_levels", lambda s, d: order.order(ev(s, d), decreasing=True, level_order=LEVELS), LEVELED + ' SELECT row_number() OVER (ORDER BY level DESC, seqnames DESC, strand DESC, start DESC, "end" DESC, rid) AS pos, rid FROM lv')
+register("rank_by_levels", lambda s, d: order.rank(ev(s, d), "min", ignore_strand=True, level_order=LEVELS), LEVELED + ' SELECT rid, rank() OVER (ORDER BY level, seqnames, start, "end") AS rank FROM lv')
 register("order_perm", lambda s, d: order.order(shrunk(ev(s, d))), f", a AS ({SHRUNK.format(view='ev')}) SELECT row_number() OVER (ORDER BY {SORTED}, rid) AS pos, rid FROM a")
 register("order_decreasing", lambda s, d: order.order(shrunk(ev(s, d)), decreasing=True), f", a AS ({SHRUNK.format(view='ev')}) SELECT row_number() OVER (ORDER BY seqnames DESC, strand DESC, start DESC, \"end\" DESC, rid) AS pos, rid FROM a")
 for name, ties, fn in (("rank_first", "first", f"row_number() OVER (ORDER BY {SORTED}, rid)"), ("rank_min", "min", f"rank() OVER (ORDER BY {SORTED})"), ("rank_dense", "dense", f"dense_rank() OVER (ORDER BY {SORTED})")):
@@ -316,6 +358,10 @@ groups = lambda s, d: RangesList(lg(s, d), "l_orderkey")
 GROUPED = """SELECT {place} AS place, g.l_orderkey, n FROM (SELECT l_orderkey, CAST(count(*) AS INT) AS n, row_number() OVER (ORDER BY l_orderkey) AS spot FROM li GROUP BY l_orderkey) g JOIN {wanted}"""
 counted = lambda x: x.df.select("place", "l_orderkey", F.size("seqnames").alias("n"))
 register("list_positions", lambda s, d: counted(groups(s, d)[[5, 2, 2]]), GROUPED.format(place="t.k", wanted="(VALUES (5, 1), (2, 2), (2, 3)) AS t(spot, k) ON g.spot = t.spot"))
+register("list_columns", lambda s, d: (lambda x: x.df.select("l_orderkey", "strand", x.width.alias("width")))(groups(s, d)), 'SELECT l_orderkey, list(strand ORDER BY rid) AS strand, list("end" - start + 1 ORDER BY rid) AS width FROM li GROUP BY l_orderkey')
+register("list_rename", lambda s, d: groups(s, d).rename(table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), (-F.col("o_orderkey")).alias("name"))).element_nrows(), "SELECT CASE WHEN o_orderkey IS NULL THEN l_orderkey ELSE -l_orderkey END AS l_orderkey, CAST(count(*) AS INT) AS n FROM li LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') ON l_orderkey = o_orderkey GROUP BY ALL")
+register("list_head_negative", lambda s, d: groups(s, d).head(-5).element_nrows(), "SELECT l_orderkey, CAST(count(*) AS INT) AS n FROM li GROUP BY l_orderkey QUALIFY row_number() OVER (ORDER BY l_orderkey DESC) > 5")
+register("list_tail_negative", lambda s, d: groups(s, d).tail(-5).element_nrows(), "SELECT l_orderkey, CAST(count(*) AS INT) AS n FROM li GROUP BY l_orderkey QUALIFY row_number() OVER (ORDER BY l_orderkey) > 5")
 register("list_slice", lambda s, d: counted(groups(s, d)[3:9]), GROUPED.format(place="g.spot - 3", wanted="(SELECT 1) ON g.spot BETWEEN 4 AND 9"))
 register("list_metadata", lambda s, d: groups(s, d).with_mcols({"n": F.size("seqnames"), "last": F.array_max("end")}).mcols, 'SELECT l_orderkey, CAST(count(*) AS INT) AS n, max("end") AS last FROM li GROUP BY l_orderkey')
 register("list_open_dimension", lambda s, d: RangesList.open(s, lg(s, d), "l_orderkey", seqnames="seqnames", start="start", end="end", strand="strand", dims=table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))).element_nrows(), "SELECT l_orderkey, CAST(count(*) AS INT) AS n FROM li WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY l_orderkey")

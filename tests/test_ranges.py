@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,134 @@ def test_empty(spark):
     assert not order.is_unsorted(x).first()[0]
 
 
+def test_empty_subject_through_objects(spark):
+    x, none = Ranges.from_rows(spark, [("a", 1, 5, "+"), ("b", 3, 2, "-")]), Ranges.from_rows(spark, [])
+    for fn in ("precede", "follow", "nearest"):
+        assert sorted(map(tuple, getattr(x, fn)(none).collect())) == [(1, None), (2, None)]
+        assert getattr(none, fn)(x).count() == 0
+    assert x.distance_to_nearest(none).count() == 0
+    assert sorted(map(tuple, x.over(none).collect())) == [(1, False), (2, False)]
+    assert x.union(none).df.count() == 2 - 1 and x.setdiff(none).df.count() == 1
+
+
+def test_null_keys_keep_their_rows(spark):
+    """Ranges without a sequence, strand or coordinate: no hits, no neighbours, places as in any order, and a row each."""
+    rows = [("a", 1, 9, "+"), (None, 1, 9, "+"), ("a", None, 9, "+"), ("a", 1, 9, None), (None, 1, 9, "+"), ("a", 1, None, "-")]
+    x, y = made(spark, rows), made(spark, [("a", 2, 3, "+"), (None, 2, 3, "+"), ("a", 20, 30, "*")])
+    for options in ({}, {"minoverlap": 2}, {"kind": "within"}, {"ignore_strand": True}):
+        got = dict(map(tuple, overlaps.count_overlaps(x, y, **options).collect()))
+        assert got.keys() == set(range(1, 7)) and all(got[k] == 0 for k in (2, 3, 5, 6))
+    assert dict(map(tuple, overlaps.count_overlaps(x, y).collect()))[1] == 1
+    for fn in (nearest.precede, nearest.follow, nearest.nearest):
+        got = dict(map(tuple, fn(x, y).collect()))
+        assert got.keys() == set(range(1, 7)) and got[2] is got[5] is None
+    ranks = lambda t: [r[1] for r in order.rank(x, t).orderBy("rid").collect()]
+    assert ranks("min") == [5, 1, 4, 3, 1, 6] and ranks("dense") == [4, 1, 3, 2, 1, 5] and ranks("first") == [5, 1, 4, 3, 2, 6]
+
+
+def test_coordinates_at_the_end(spark):
+    top = 2**31 - 1
+    x = made(spark, [("a", top - 4, top, "+"), ("a", -top, top, "*"), ("a", top, top, "-"), ("a", -top - 1, -top, "+")])
+    assert dict(map(tuple, overlaps.count_overlaps(x, x).collect())) == {1: 2, 2: 4, 3: 2, 4: 2}
+    assert dict(map(tuple, overlaps.count_overlaps(x, x, maxgap=5).collect())) == {1: 2, 2: 4, 3: 2, 4: 2}
+    assert overlaps.find_overlaps(x, x, maxgap=3).count() == 10 and overlaps.find_overlaps(x, x, kind="equal", maxgap=1).count() == 4
+    assert {tuple(r) for r in nearest.distance_to_nearest(x.where("rid in (1, 3)"), x.where("rid = 4"), ignore_strand=True).collect()} == {(1, 4, 2 * top - 5), (3, 4, 2 * top - 1)}
+    assert spans(merge.reduce(x.where("rid in (1, 4)"))) == [("a", -top - 1, -top, "+"), ("a", top - 4, top, "+")]
+    assert merge.disjoin(x).count() == 4 and merge.coverage(x, info(spark, {"a": None})).where("depth = 3").count() == 1
+
+
+def test_a_deep_place_is_no_task_of_its_own(spark):
+    """Half of the queries ask at one place: no window and no group of theirs is in the plan, only joins to the rows of bins."""
+    rows = [("a", 100, 110, "+")] * 400 + [("a", 7 * k, 7 * k + 3, "-") for k in range(1, 400)]
+    x, y = made(spark, rows), made(spark, [("a", 9 * k, 9 * k + 5, "*") for k in range(1, 300)])
+    want = brute.overlap_pairs(rows, [("a", 9 * k, 9 * k + 5, "*") for k in range(1, 300)])
+    got = overlaps.count_overlaps(x, y, width=64)
+    counts = [0] * len(rows)
+    for i, _ in want:
+        counts[i - 1] += 1
+    assert [r[1] for r in got.orderBy("query_idx").collect()] == counts
+    for df in (got, overlaps.count_overlaps(x, y, minoverlap=4), nearest.precede(x, y, width=64)):
+        text = plan_text(df)
+        assert no_pair_enumeration(df)
+        for window in (line for line in text.split("\n") if " Window " in line or line.lstrip("+- :").startswith("Window")):
+            assert "query_idx" not in window and "rid" not in window.split("[")[0]
+
+
+def test_counts_of_long_overlaps(spark):
+    q, s = both(31)
+    x, y = made(spark, q), made(spark, s)
+    for m in (2, 3, 6):
+        for ignore in (False, True):
+            want = [0] * len(q)
+            for i, _ in brute.overlap_pairs(q, s, -1, m, ignore):
+                want[i - 1] += 1
+            df = overlaps.count_overlaps(x, y, minoverlap=m, ignore_strand=ignore, width=16)
+            assert [r[1] for r in df.orderBy("query_idx").collect()] == want
+
+
+def test_edges_meet_on_their_coordinates(spark):
+    q, s = both(32)
+    x, y = made(spark, q), made(spark, s)
+    rule = {"start": lambda a, b, off: abs(a[1] - b[1]) <= off, "end": lambda a, b, off: abs(a[2] - b[2]) <= off, "equal": lambda a, b, off: abs(a[1] - b[1]) <= off and abs(a[2] - b[2]) <= off}
+    for kind, holds in rule.items():
+        for gap in (-1, 0, 1, 4):
+            df = overlaps.find_overlaps(x, y, kind=kind, maxgap=gap)
+            want = {(i, j) for i, a in enumerate(q, 1) for j, b in enumerate(s, 1) if a[0] == b[0] and brute.meets(a[3], b[3]) and holds(a, b, max(gap, 0))}
+            found = [tuple(r) for r in df.collect()]
+            assert len(found) == len(set(found)) and set(found) == want
+        assert "__bin" not in plan_text(df) and f"__{'s' if kind != 'end' else 'e'}" in plan_text(df)
+
+
+def test_links(spark):
+    q, _ = both(33)
+    x = made(spark, q)
+    for gap in (1, 3):
+        for ignore in (False, True):
+            got = merge.reduce_links(x, gap, ignore, width=16).collect()
+            assert sorted(r["member"] for r in got) == list(range(1, len(q) + 1))
+            made_ = {(r["seqnames"], r["start"], r["end"], r["strand"]) for r in got}
+            assert made_ == set(brute.reduced(q, gap, ignore))
+            for r in got:
+                n, a, b, t = q[r["member"] - 1]
+                assert n == r["seqnames"] and r["strand"] == ("*" if ignore else t) and r["start"] <= a and b <= r["end"]
+    got = {(r["seqnames"], r["start"], r["end"], r["strand"], r["member"]) for r in merge.disjoin_links(x).collect()}
+    parts = {tuple(r) for r in merge.disjoin(x).select("seqnames", "start", "end", "strand").collect()}
+    assert got == {(*p, k) for p in parts for k, (n, a, b, t) in enumerate(q, 1) if (n, t) == (p[0], p[3]) and a <= p[1] and p[2] <= b}
+    with pytest.raises(ValueError):
+        merge.reduce_links(x, 0)
+
+
+def test_places_are_written_down(spark):
+    """Nothing is kept on executors: the sorted table lies in the shared folder, and places stay the same when it is read again."""
+    from spanforge.plans.storage import own_dir, release
+
+    x = with_ordinal(spark.range(1000).select((F.col("id") % 7).alias("k"), "id"), [F.col("k"), F.col("id").desc()], "place")
+    once = sorted(map(tuple, x.collect()))
+    assert [r[0] for r in sorted(once, key=lambda r: r[2])] == sorted(r[0] for r in once) and sorted(r[2] for r in once) == list(range(1, 1001))
+    assert "InMemoryTableScan" not in plan_text(x) and own_dir(spark).split("/")[-1] in x.inputFiles()[0]
+    spark.catalog.clearCache()
+    assert sorted(map(tuple, x.collect())) == once
+    release(spark)
+    assert with_ordinal(spark.range(0).toDF("id"), [F.col("id")], "place").collect() == []
+
+
+def test_level_order(spark):
+    x = Ranges.from_rows(spark, [("chr10", 5, 6, "+"), ("chr2", 1, 2, "-"), ("chrX", 1, 1, "*"), ("chr2", 1, 1, "-"), ("chrM", 2, 2, "*")])
+    names = lambda r: [q["seqnames"] for q in r.df.orderBy("rid").collect()]
+    assert names(x.sort()) == ["chr10", "chr2", "chr2", "chrM", "chrX"]
+    assert names(x.sort(level_order=["chr2", "chr10", "chrX"])) == ["chr2", "chr2", "chr10", "chrX", "chrM"]
+    assert [r["rid"] for r in x.order(level_order=["chr2", "chr10"]).orderBy("pos").collect()] == [4, 2, 1, 5, 3]
+    assert [r["rank"] for r in x.rank(level_order=["chrX"], ties="dense").orderBy("rid").collect()] == [2, 4, 1, 3, 5]
+    assert x.sort(level_order=["chr2"]).is_unsorted() and not x.sort(level_order=["chr2"]).is_unsorted(level_order=["chr2"])
+
+
+def test_shift_by_sequence(spark):
+    x = made(spark, [("a", 5, 9, "+"), ("b", 5, 9, "-"), ("b", 1, 2, "-")])
+    runs = lambda df: sorted((r["seqnames"], r["start"], r["end"], r["depth"]) for r in df.where("depth > 0").collect())
+    assert runs(merge.coverage(x, info(spark), shift={"b": -6})) == [("a", 5, 9, 1), ("b", 1, 3, 1)]
+    assert runs(merge.coverage(x, info(spark), shift={"a": 2**31}, weight=np.int64(2))) == [("b", 1, 2, 2), ("b", 5, 9, 2)]
+
+
 def test_properties(spark):
     q, s = both(77)
     x, y = made(spark, q), made(spark, s)
