@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from spanforge.llm.common import join_heavy, saved, slices, strings
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -57,6 +57,8 @@ VARIED, FLAT = 0.5, 0.45
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 Node = tuple[str, bool, bool, bool]  # element key, furniture by definition, named as furniture, is an article's container
+#: Markup that may end without a mark of its own.
+OPEN_ENDED = ("<!--", "<![CDATA[")
 
 
 def element(tag: str, attributes: str, inside: bool) -> Node:
@@ -70,18 +72,59 @@ def element(tag: str, attributes: str, inside: bool) -> Node:
     return key, bad, named, main or given.get("role") in ("main", "article")
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[Node, ...], str]]:
-    """The text blocks of a page in order, each with the open elements around it; repairs bad nesting."""
-    stack: list[tuple[str, Node]] = []
+class Place:
+    """An open element: its node, the element around it, and what follows from both. A block's path is its place and all places around it."""
+
+    __slots__ = ("around", "node", "id", "depth", "inside", "flow", "shown")
+
+    def __init__(self, around: Place | None, node: Node):
+        self.around, self.node = around, node
+        key, _, _, main = node
+        #: The style node: one 64-bit id for each path of keys.
+        self.id = xxhash.xxh3_64_intdigest(f"{around.id if around else ''}/{key}") - (1 << 63)
+        self.depth = around.depth + 1 if around else 0
+        #: Whether an article or main element is on the path, and whether nothing but unnamed flow elements stands below the innermost one.
+        self.inside = main or around is not None and around.inside
+        self.flow = main or around is not None and around.flow and key in FLOW
+        self.shown = False
+
+
+def path_of(place: Place | None) -> list[Place]:
+    out = []
+    while place:
+        out.append(place)
+        place = place.around
+    return out[::-1]
+
+
+def blocks(page: str) -> Iterator[tuple[Place | None, str]]:
+    """The text blocks of a page in order, each with the innermost open element (none at the top); repairs bad nesting.
+
+    The work is in proportion to the page: an element is opened and closed once, and open elements are counted by tag, between containers too, so that none is
+    looked for in vain.
+    """
+    stack: list[tuple[str, Place]] = []
+    open_tags: dict[str, int] = defaultdict(int)
+    # Open elements since each open container, by tag.
+    scopes: list[dict[str, int]] = [defaultdict(int)]
     text: list[str] = []
-    at, n, inside = 0, len(page), 0
+    at, n = 0, len(page)
+    last = page.rfind(">")
 
     def flush():
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if whole:
-                yield tuple(x for _, x in stack), whole
+                yield stack[-1][1] if stack else None, whole
+
+    def close() -> str:
+        tag, _ = stack.pop()
+        open_tags[tag] -= 1
+        if tag in CONTAINERS:
+            scopes.pop()
+        scopes[-1][tag] -= 1
+        return tag
 
     while at < n:
         lt = page.find("<", at)
@@ -90,7 +133,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[Node, ...], str]]:
             break
         if lt > at:
             text.append(page[at:lt])
-        m = TOKEN.match(page, lt) or LOOSE.match(page, lt)
+        # Behind the last bracket no tag ends.
+        m = (TOKEN.match(page, lt) or LOOSE.match(page, lt)) if lt < last or page.startswith(OPEN_ENDED, lt) else None
         if m is None:
             text.append("<")
             at = lt + 1
@@ -102,52 +146,82 @@ def blocks(page: str) -> Iterator[tuple[tuple[Node, ...], str]]:
         if page[lt + 1] == "/":
             if tag not in INLINE:
                 yield from flush()
-            if any(t == tag for t, _ in stack):
-                while True:
-                    t, x = stack.pop()
-                    inside -= x[3]
-                    if t == tag:
-                        break
+            if open_tags[tag]:
+                while close() != tag:
+                    pass
             continue
         if tag not in INLINE:
             yield from flush()
             ends = ENDS.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    inside -= sum(x[3] for _, x in stack[k:])
-                    del stack[k:]
-                elif stack[k][0] in CONTAINERS:
+            while True:
+                left = sum(scopes[-1][t] for t in ends)
+                while left:
+                    left -= close() in ends
+                # The container around these elements may end too, and what is around that.
+                if len(scopes) == 1 or not any(scopes[-2][t] for t in ends if t in CONTAINERS):
+                    break
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in CONTAINERS)
+                if stack[k][0] not in ends:
                     break
+                while len(stack) > k:
+                    close()
         elif tag == "br":
             text.append(" ")
         if tag in VOID or m[2].endswith("/") and tag not in INLINE and tag not in FLOW:
             continue
-        node = element(tag, m[2], inside > 0)
+        around = stack[-1][1] if stack else None
+        node = element(tag, m[2], around is not None and around.inside)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at) if at <= last else None
             at = end.end() if end else n
             continue
         if tag not in INLINE or node[1]:
             if tag in INLINE:
                 yield from flush()
-            stack.append((tag, node))
-            inside += node[3]
+            stack.append((tag, Place(around, node)))
+            open_tags[tag] += 1
+            scopes[-1][tag] += 1
+            if tag in CONTAINERS:
+                scopes.append(defaultdict(int))
     yield from flush()
 
 
-def node_ids(path: tuple[Node, ...]) -> list[int]:
-    """One 64-bit id for each prefix of the path."""
-    out, key = [], ""
-    for name, *_ in path:
-        key += "/" + name
-        out.append(xxhash.xxh3_64_intdigest(key) - (1 << 63))
-    return out
+def node_ids(place: Place | None) -> list[int]:
+    """The style nodes of a path, from the outermost one."""
+    return [x.id for x in path_of(place)]
+
 
+def gathered(found: list[tuple[Place | None, str]]) -> tuple[dict[int, tuple[int, int | None]], dict[int, int], dict[int, int], dict[int, list[int]], set[int]]:
+    """Of the blocks of a page: (depth, parent) of each style node, number and length of the blocks below it, its sequence of children, and the nodes under a name of furniture.
 
-def flow(path: tuple[Node, ...]) -> bool:
-    """Whether the block lies in an article, below nothing but unnamed flow elements."""
-    starts = [k for k, x in enumerate(path) if x[3]]
-    return bool(starts) and all(x[0] in FLOW or x[3] for x in path[starts[-1] + 1 :])
+    An element is walked once, when a block is first shown in it; sums are carried up by depth.
+    """
+    up: dict[int, tuple[int, int | None]] = {}
+    number: dict[int, int] = defaultdict(int)
+    length: dict[int, int] = defaultdict(int)
+    children: dict[int, list[int]] = defaultdict(list)
+    named: set[int] = set()
+    for place, text in found:
+        if place is None:
+            continue
+        number[place.id] += 1
+        length[place.id] += len(text)
+        x: Place | None = place
+        while x and not x.shown:
+            x.shown = True
+            around = x.around
+            if x.id not in up:
+                up[x.id] = x.depth, around.id if around else None
+            if x.node[2]:
+                named.add(x.id)
+            if around and children[around.id][-1:] != [x.id]:
+                children[around.id].append(x.id)
+            x = around
+    for k in sorted(up, key=lambda k: -up[k][0]):
+        if (parent := up[k][1]) is not None:
+            number[parent] += number[k]
+            length[parent] += length[k]
+    return up, number, length, children, named
 
 
 def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
@@ -164,27 +238,17 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
         seen: dict[tuple[str, int, int, int], int] = defaultdict(int)
         for b in slices(batches):
             for h, page in zip(strings(b, "host"), strings(b, "html"), strict=True):
-                children: dict[int, list[int]] = defaultdict(list)
+                found = list(blocks(page))
+                up, number, length, children, named = gathered(found)
                 texts: dict[int, list[str]] = defaultdict(list)
-                named: set[int] = set()
-                below: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-                for path, text in blocks(page):
-                    ids = node_ids(path)
-                    for k in ids:
-                        below[k][0] += 1
-                        below[k][1] += len(text)
-                    named.update(k for k, x in zip(ids, path, strict=True) if x[2])
-                    for up, down in zip(ids, ids[1:], strict=False):
-                        if not children[up] or children[up][-1] != down:
-                            children[up].append(down)
-                    if ids:
-                        texts[ids[-1]].append(text)
-                for node, size in below.items():
-                    seen[h, node, LOOK, xxhash.xxh3_64_intdigest(np.array(shape(children.get(node, []), *size), np.int64).tobytes()) - (1 << 63)] += 1
+                for place, text in found:
+                    if place:
+                        texts[place.id].append(text)
+                for node in up:
+                    seen[h, node, LOOK, xxhash.xxh3_64_intdigest(np.array(shape(children.get(node, []), number[node], length[node]), np.int64).tobytes()) - (1 << 63)] += 1
+                    seen[h, node, NAMED_ON if node in named else THERE, 0] += 1
                 for node, shown in texts.items():
                     seen[h, node, READ, xxhash.xxh3_64_intdigest("\n".join(shown)) - (1 << 63)] += 1
-                for node in below:
-                    seen[h, node, NAMED_ON if node in named else THERE, 0] += 1
             if len(seen) > 200_000:
                 yield counted(seen)
                 seen.clear()
@@ -222,22 +286,16 @@ def counted(seen: dict) -> pa.RecordBatch:
 Site = dict[int, tuple[float, float, int, bool, float]]  # look, read, ways, rare, firm: of the nodes of a host of which something is known
 
 
-def importance(found: list[tuple[list[int], int]], site: Site) -> tuple[dict[int, float], dict[int, int]]:
-    """Composite importance and length of text of every node on a page, from (node ids, length) of its blocks.
+def importance(up: dict[int, tuple[int, int | None]], own: dict[int, int], length: dict[int, int], site: Site) -> dict[int, float]:
+    """Composite importance of every node on a page, from (depth, parent) of each, the length of its own blocks and that of all below it.
 
     1 - BELOW^ways of it is the node's own presentation, the rest the mean of its texts and branches by their length. Nodes
     that the site's tree does not hold are of full importance.
     """
     full = (1.0, 1.0, 1, False, 0.0)
-    length: dict[int, int] = defaultdict(int)
     total: dict[int, float] = defaultdict(float)
-    up: dict[int, tuple[int, int | None]] = {}
-    for ids, n in found:
-        for depth, k in enumerate(ids):
-            length[k] += n
-            up[k] = depth, ids[depth - 1] if depth else None
-        if ids:
-            total[ids[-1]] += n * site.get(ids[-1], full)[1]
+    for k, n in own.items():
+        total[k] += n * site.get(k, full)[1]
     out: dict[int, float] = {}
     inner = {parent for _, parent in up.values()}
     for k in sorted(up, key=lambda k: -up[k][0]):
@@ -246,54 +304,76 @@ def importance(found: list[tuple[list[int], int]], site: Site) -> tuple[dict[int
         out[k] = (1 - below) * look + below * total[k] / max(1, length[k])
         if up[k][1] is not None:
             total[up[k][1]] += length[k] * out[k]
-    return out, length
-
-
-def dropped(path: tuple[Node, ...], ids: list[int], site: Site) -> bool:
-    """Whether an element around a block is furniture by definition or by name; inside an article names of containers that few pages of the site have do not count."""
-    inside = False
-    for k, (_, bad, named, main) in enumerate(path):
-        if bad or named and not (inside and k < len(ids) and ids[k] in site and site[ids[k]][3]):
-            return True
-        inside = inside or main
-    return False
-
-
-def main_branch(ids: list[list[int]], length: dict[int, int], total: int, site: Site) -> list[int] | None:
-    """The path to the innermost node of at least half of the page's text whose presentation surely varies on the site."""
-    best: list[int] | None = None
-    for nodes in ids:
-        for depth, k in enumerate(nodes):
-            if k in site and site[k][4] >= VARIED and 2 * length[k] >= total and depth >= len(best or ()):
-                best = nodes[: depth + 1]
-    return best
+    return out
 
 
-def beside(path: tuple[Node, ...], nodes: list[int], main: list[int], site: Site) -> bool:
-    """Whether a block, no heading, stands outside the main branch in a branch of constant presentation."""
-    away = next((k for k, (x, y) in enumerate(zip(nodes, [*main, None], strict=False)) if x != y), None)
-    if away is None or away >= len(main) or path[-1][0].split(".")[0] in HEADINGS:
-        return False
-    return nodes[away] in site and site[nodes[away]][0] < FLAT
+class Dropped(dict):
+    """Whether an element, or one around it, is furniture by definition or by name; inside an article names of containers that few pages of the site have do not count."""
+
+    def __init__(self, site: Site):
+        super().__init__({None: False})
+        self.site = site
+
+    def of(self, place: Place | None) -> bool:
+        todo = []
+        while place not in self:
+            todo.append(place)
+            place = place.around
+        out = self[place]
+        for x in reversed(todo):
+            _, bad, named, _ = x.node
+            inside = x.around is not None and x.around.inside
+            out = self[x] = out or bad or named and not (inside and x.id in self.site and self.site[x.id][3])
+        return out
+
+
+def main_branch(up: dict[int, tuple[int, int | None]], length: dict[int, int], total: int, site: Site) -> list[int]:
+    """The path to the innermost node of at least half of the page's text whose presentation surely varies on the site; empty if there is none."""
+    best: int | None = None
+    for k, (depth, _) in up.items():
+        if k in site and site[k][4] >= VARIED and 2 * length[k] >= total and (best is None or depth > up[best][0]):
+            best = k
+    out = []
+    while best is not None:
+        out.append(best)
+        best = up[best][1]
+    return out[::-1]
 
 
 def main_text(page: str, site: Site) -> str:
     """The blocks that stay, joined by an empty line; ``site`` holds nodes of the page's host, empty if nothing is known."""
-    found = list(blocks(page))
-    ids = [node_ids(path) if site else [] for path, _ in found]
-    kept = [(path, t, k) for (path, t), k in zip(found, ids, strict=True) if not dropped(path, k, site)]
-    has_article = any(any(x[3] for x in path) for path, _, _ in kept)
-    value, length = importance([(k, len(t)) for _, t, k in kept], site)
-    total = sum(len(t) for _, t, _ in kept)
-    main = None if has_article else main_branch([k for _, _, k in kept], length, total, site)
+    found, dropped = list(blocks(page)), Dropped(site)
+    kept = [(place, t) for place, t in found if not dropped.of(place)]
+    has_article = any(place and place.inside for place, _ in kept)
+    if not site:
+        return "\n\n".join(t for place, t in kept if not has_article or place and place.inside)
+    up, _, length, _, _ = gathered(kept)
+    own: dict[int, int] = defaultdict(int)
+    for place, t in kept:
+        if place:
+            own[place.id] += len(t)
+    value = importance(up, own, length, site)
+    total = sum(len(t) for _, t in kept)
+    main = [] if has_article else main_branch(up, length, total, site)
+    # By falling breadth: whether a node or one around it is of low importance, and the node that leads away from the main branch. A branch of low
+    # importance that holds most of the page's text is a site of copies, not furniture.
+    low: dict[int | None, bool] = {None: False}
+    away: dict[int | None, int | None] = {None: None}
+    on = set(main)
+    for k in sorted(up, key=lambda k: up[k][0]):
+        parent = up[k][1]
+        low[k] = low[parent] or value[k] < LEAST and 2 * length[k] <= total
+        away[k] = None if k in on or main and parent == main[-1] else away[parent] if parent is not None and parent not in on else k
+        if main and parent is not None and parent not in on and away[parent] is None:
+            away[k] = None
     out = []
-    for path, t, nodes in kept:
-        if has_article and not any(x[3] for x in path):
+    for place, t in kept:
+        if has_article and not (place and place.inside):
             continue
-        # A branch of low importance that holds most of the page's text is a site of copies, not furniture.
-        if main and beside(path, nodes, main, site):
+        # Beside the main branch, no heading, in a branch of constant presentation.
+        if main and place and (k := away[place.id]) is not None and place.node[0].split(".")[0] not in HEADINGS and k in site and site[k][0] < FLAT:
             continue
-        if site and not flow(path) and any(value[k] < LEAST and 2 * length[k] <= total for k in nodes):
+        if place and not place.flow and low[place.id]:
             continue
         out.append(t)
     return "\n\n".join(out)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -115,9 +116,9 @@ def test_tree_by_plain_python(spark):
             assert r["ways"] == len(set(shown)) and math.isclose(r["firm"], m * h / (m + pages.EXTRA), abs_tol=1e-9)
     assert {(h, n) for h, _, n in seen} == set(tree)
     site = {1: (0.5, 0.2, 2, False, 0.0), 2: (1.0, 0.1, 1, False, 0.0), 3: (0.0, 1.0, 1, False, 0.0)}
-    value, length = pages.importance([([1, 2], 10), ([1, 3, 4], 30), ([1], 5)], site)
+    value = pages.importance({2: (1, 1), 1: (0, None), 4: (2, 3), 3: (1, 1)}, {2: 10, 4: 30, 1: 5}, {1: 45, 2: 10, 3: 30, 4: 30}, site)
     three = 0.1 * 0.0 + 0.9 * 1.0
-    assert length == {1: 45, 2: 10, 3: 30, 4: 30} and value[2] == 0.1 and value[4] == 1 and math.isclose(value[3], three)
+    assert value[2] == 0.1 and value[4] == 1 and math.isclose(value[3], three)
     assert math.isclose(value[1], 0.19 * 0.5 + 0.81 * (10 * 0.1 + 30 * three + 5 * 0.2) / 45)
 
 
@@ -137,3 +138,25 @@ def test_long_pages_and_clashing_names(spark):
     assert r["main_text"].count("\n\n") == 19_999 and (r["host"], r["nodes"], r["row"]) == ("x", "y", 3)
     with pytest.raises(ValueError):
         pages.extract(df.withColumn("main_text", F.lit("")))
+
+
+@pytest.mark.parametrize("html", ["<a x " * 200_000, "<div>x" * 20_000, "<x>" * 20_000 + "<p>y" * 20_000, "<p><div>" + "<x>" * 20_000 + "<p>y" * 20_000, "<div>x" * 20_000 + "</b>" * 20_000 + "</div>" * 20_000, "<table>" + "<tr><td>x" * 20_000, "<script>" + "</script x" * 50_000, "<!x" * 200_000, "<a b='" * 100_000, "<td>x<td><p>" * 20_000])
+def test_long_and_bad_markup(html):
+    """A megabyte of tags without an end, or twenty thousand elements in one another: seconds, with and without a site."""
+    place = next(pages.blocks("<div>x"))[0]
+    for site in ({}, {place.id: (0.1, 0.1, 2, True, 0.9)}):
+        began = time.perf_counter()
+        pages.main_text(html, site)
+        list(pages.gathered(list(pages.blocks(html))))
+        assert time.perf_counter() - began < 10
+
+
+def test_nested_blocks():
+    """Paths, ends of elements by others, and sequences of children as a plain reading has them."""
+    page = "<div>a<p>b<p>c<ul><li>d<li>e<p>f</ul>g</div><table><tr><td>h<td><p>i<tr><td>j</table></b>k<p>l<div>m</p>n"
+    got = [("/".join(x.node[0] for x in pages.path_of(p)), t) for p, t in pages.blocks(page)]
+    assert got == [("div", "a"), ("div/p", "b"), ("div/p", "c"), ("div/ul/li", "d"), ("div/ul/li", "e"), ("div/ul/li/p", "f"), ("div", "g"), ("table/tr/td", "h"), ("table/tr/td/p", "i"), ("table/tr/td", "j"), ("", "k"), ("p", "l"), ("div", "m"), ("div", "n")]
+    up, number, length, children, _ = pages.gathered(list(pages.blocks("<div><p>a<b>x</b></p><p>bb</p><ul><li>c</ul><p>d</div>")))
+    names = {p.id: p.node[0] for p, _ in pages.blocks("<div>r<p>a<ul><li>c")} | {p.around.id: p.around.node[0] for p, _ in pages.blocks("<ul><li>c") if p.around}
+    root = next(k for k, (d, _) in up.items() if d == 0)
+    assert number[root] == 4 and length[root] == 6 and [names.get(c, "ul") for c in children[root]] == ["p", "ul", "p"]
