@@ -192,6 +192,19 @@ class Ranges(WithSequences):
     def write(self, path: str, partition_by: str | None = None) -> None:
         io.write(self.df, path, partition_by)
 
+    def store(self, table: str, path: str | None = None, buckets: int = 200) -> None:
+        """A table of the catalog laid out for overlap joins (:meth:`find_stored`)."""
+        overlaps.store(self.df, table, path, buckets)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, table: str, key: str | None = None) -> Ranges:
+        df = overlaps.stored(spark, table).drop("sequence")
+        return cls(df, seqinfo_of(spark, df), key)
+
+    def find_stored(self, table: str, **options) -> DataFrame:
+        """Pairs with a stored table, which is read where it lies: only this side is dealt out."""
+        return overlaps.stored_pairs(self.df, table, **options)
+
     def __repr__(self) -> str:
         return self._preview("rid")
 

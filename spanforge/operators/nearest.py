@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.overlaps import compatible, overlap_pairs
 from spanforge.plans.scan import WIDTH, asked_bins, bin_of, next_by_bin, upto
+from spanforge.plans.storage import written
 
 SPACE = ["seqnames", "side", "right"]
 
@@ -53,7 +54,7 @@ def beside(x: DataFrame, seen: DataFrame, directions: tuple[bool, ...], side: Co
     to = F.explode(F.array(*[F.lit(d) for d in directions]))
     asks = x.select("rid", "seqnames", side.alias("side"), (start - margin).alias("lo"), (F.greatest(end, start - 1) + margin if margin else end).alias("hi"), to.alias("right"))
     asks = asks.select("rid", *SPACE, mirrored(F.col("right"), F.col("hi"), F.col("lo")).alias("ask")).withColumn("__bin", bin_of(F.col("ask"), width))
-    bins = next_by_bin(known, asked_bins(asks, keys=SPACE), SPACE, ["low", "high"], width)
+    bins = written(next_by_bin(known, asked_bins(asks, keys=SPACE), SPACE, ["low", "high"], width))
     found = asks.join(bins, [*SPACE, "__bin"], "left").withColumn("k", upto(F.col("places"), F.col("ask")))
     inside = F.coalesce(F.col("k") < F.size("places"), F.lit(False))
     pick = lambda array, of: F.when(inside, F.get(array, F.col("k"))).otherwise(F.col(f"after.{of}"))

@@ -8,11 +8,12 @@ overlaps = starts up to the query's end - ends before its start, both running su
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.expr import related, strand_ok
 from spanforge.plans.scan import WIDTH, asked_bins, bin_of, sums_by_bin, upto
+from spanforge.plans.storage import written
 
 #: Most bins of its own level that a range touches, about; factor between levels; levels in all.
 FEW, FACTOR, LEVELS = 4, 8, 9
@@ -44,6 +45,54 @@ def binned(df: DataFrame, lo: Column, hi: Column, size: int, top: int) -> DataFr
     return rows.withColumn("__bin", F.explode(F.sequence("__first", "__last"))).drop("__last")
 
 
+#: Columns by which a stored table is dealt out, and on which overlap joins meet.
+PLACED = ["seqnames", "__level", "__bin"]
+
+
+def store(df: DataFrame, table: str, path: str | None = None, buckets: int = 200) -> None:
+    """``df`` as a table of the catalog laid out for overlap joins: a row for each bin that a range touches, in buckets by sequence, level and bin, sorted, in
+    a folder per sequence.
+
+    Joins with :func:`stored_pairs` find the stored side dealt out and sorted already; a condition on ``sequence`` prunes folders.
+    """
+    size, top = bin_plan(df, df.limit(0))
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    rows = binned(df.withColumn("sequence", F.col("seqnames")), F.least(start, end), F.greatest(start, end), size, LEVELS)
+    # Once for every bin of the own level; the join asks on all levels.
+    rows = rows.where(F.col("__level") == F.col("__own")).withColumn("__size", F.lit(size))
+    out = rows.repartition(buckets, *PLACED).write.partitionBy("sequence").bucketBy(buckets, *PLACED).sortBy(*PLACED)
+    (out if path is None else out.option("path", path)).saveAsTable(table)
+
+
+def stored(spark: SparkSession, table: str) -> DataFrame:
+    """The ranges of a stored table, each once; a condition on ``seqnames`` is one on folders too if it is also given for ``sequence``."""
+    df = spark.table(table)
+    return df.where("__bin = __first").drop("__own", "__level", "__first", "__bin", "__size")
+
+
+def stored_pairs(query: DataFrame, table: str, *, sequences: list[str] | None = None, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", ignore_strand: bool = False) -> DataFrame:
+    """(query_idx, subject_idx) of overlaps with a stored table, of some sequences or all; only the query is dealt out. Its rows ask on every level that the table may have."""
+    spark = query.sparkSession
+    s = spark.table(table) if sequences is None else spark.table(table).where(F.col("sequence").isin(sequences))
+    found = spark.table(table).select("__size").limit(1).collect()
+    size = found[0][0] if found else 64
+    levels = [r[0] for r in spark.table(table).select("__own").distinct().collect()] or [0]
+    g = max(maxgap, -1) + 1
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    q = query.select(F.col("rid").alias("query_idx"), "seqnames", start.alias("qs"), end.alias("qe"), F.col("strand").alias("qx"))
+    q = q if sequences is None else q.where(F.col("seqnames").isin(sequences))
+    lo, hi = F.least("qs", "qe") - g, F.greatest("qs", "qe") + g
+    # On each level of the table, the bins that the query touches there; a wide query touches many bins of narrow ranges, as it may meet one in each.
+    at = q.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)])))
+    wide = F.lit(float(size)) * F.pow(F.lit(float(FACTOR)), F.col("__level"))
+    at = at.withColumn("q_first", F.floor(lo / wide)).withColumn("__bin", F.explode(F.sequence("q_first", F.floor(hi / wide))))
+    j = at.join(s, PLACED)
+    hit = related(kind, F.col("qs"), F.col("qe"), F.col("start").cast("long"), F.col("end").cast("long"), maxgap, minoverlap)
+    if not ignore_strand:
+        hit = hit & strand_ok(F.col("qx"), F.col("strand"))
+    return j.where((F.col("__bin") == F.greatest("q_first", "__first")) & hit).select("query_idx", F.col("rid").alias("subject_idx"))
+
+
 def overlap_pairs(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", ignore_strand: bool = False, bins: tuple[int, int] | None = None) -> DataFrame:
     """(query_idx, subject_idx) of every pair that overlaps, once. Kinds start, end and equal meet on their coordinates, all others in bins."""
     start, end = F.col("start").cast("long"), F.col("end").cast("long")
@@ -116,7 +165,8 @@ def count_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, mi
     asks = query.select(F.col("rid").alias("query_idx"), "seqnames", side.alias("side"), (start - g + m - 1).alias("lo"), (end + g - m + 1).alias("hi"), (end - start + 1 >= m).alias("wide"))
     asks = asks.withColumns({"__lo": bin_of(F.col("lo"), width), "__hi": bin_of(F.col("hi"), width)})
     keys = ["seqnames", "side"]
-    bins = sums_by_bin(changes, asked_bins(asks.withColumn("__bin", F.explode(F.array("__lo", "__hi"))), keys=keys), keys, sums, width)
+    # Written once, read for both ends: a table of known size, which Spark broadcasts where it is small.
+    bins = written(sums_by_bin(changes, asked_bins(asks.withColumn("__bin", F.explode(F.array("__lo", "__hi"))), keys=keys), keys, sums, width))
 
     def seen(rows: DataFrame, at: str, name: str, plain: str, voids: str) -> DataFrame:
         """``rows`` with the sums of ``plain`` and ``voids`` up to the position ``at``."""

@@ -124,6 +124,7 @@ def next_by_bin(known: DataFrame, asked: DataFrame, group: list[str], values: li
     rows = known.withColumn("__bin", bin_of(F.col("pos"), width))
     held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", *values))).alias("r"))
     every = held.unionByName(asked.select(*keys, F.lit(None).cast(held.schema["r"].dataType).alias("r"))).groupBy(*keys).agg(F.first("r", True).alias("r"))
-    later = Window.partitionBy(*group).orderBy("__bin").rowsBetween(1, Window.unboundedFollowing)
-    out = every.withColumn("after", F.first(F.get("r", F.lit(0)), True).over(later))
+    # From the last bin on: a frame that grows, not one that is read anew for each bin.
+    later = Window.partitionBy(*group).orderBy(F.col("__bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    out = every.withColumn("after", F.last(F.get("r", F.lit(0)), True).over(later))
     return out.select(*keys, *[column_of("r", c).alias(n) for c, n in [("pos", "places"), *((c, c) for c in values)]], "after")

@@ -148,6 +148,18 @@ for name, options, sql in (
     ("find_overlaps_last", {"select": "last"}, f"SELECT li.rid AS query_idx, subject_idx FROM li LEFT JOIN (SELECT q.rid, max(s.rid) AS subject_idx {hits()} GROUP BY q.rid) USING (rid)"),
 ):
     register(name, lambda s, d, o=options: overlaps.find_overlaps(li(s, d), ev(s, d), **o), sql)
+
+
+def kept_apart(s: SparkSession, d: str) -> str:
+    """Events in a table laid out for overlap joins."""
+    name = f"ranges_{uuid.uuid4().hex}"
+    Ranges(ev(s, d)).store(name, f"{own_dir(s)}/{name}", 8)
+    return name
+
+
+register("find_overlaps_stored", lambda s, d: Ranges(li(s, d)).find_stored(kept_apart(s, d)), f"{PAIRS} {hits()}")
+register("find_overlaps_stored_sequences", lambda s, d: Ranges(li(s, d)).find_stored(kept_apart(s, d), sequences=["chr2", "chr4"], maxgap=10), f"{PAIRS} {hits(11)} WHERE q.seqnames IN ('chr2', 'chr4')")
+register("stored_ranges", lambda s, d: Ranges.stored(s, kept_apart(s, d)).df.select(*ROW, "score"), 'SELECT rid, seqnames, start, "end", strand, score FROM ev')
 COUNTED = "SELECT li.rid AS query_idx, coalesce(n, 0) AS n_hits FROM li LEFT JOIN (SELECT q.rid, count(*) AS n {hits} GROUP BY q.rid) USING (rid)"
 register("count_overlaps", lambda s, d: overlaps.count_overlaps(li(s, d), ev(s, d)), COUNTED.format(hits=hits()))
 register("count_overlaps_ignore_strand", lambda s, d: overlaps.count_overlaps(li(s, d), ev(s, d), ignore_strand=True, maxgap=5), COUNTED.format(hits=hits(6, "")))

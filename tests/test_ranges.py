@@ -399,6 +399,29 @@ def test_shift_by_sequence(spark):
     assert runs(merge.coverage(x, info(spark), shift={"a": 2**31}, weight=np.int64(2))) == [("b", 1, 2, 2), ("b", 5, 9, 2)]
 
 
+def test_stored_for_joins(spark, tmp_path):
+    """The stored side is read where it lies: no exchange above it, folders pruned by sequence, the same pairs."""
+    q, s = both(34)
+    s[0] = ("a", 1, 90_000, "*")
+    x, y = made(spark, q), made(spark, s)
+    overlaps.store(y, "stored_test", str(tmp_path / "t"), 5)
+    try:
+        for options in ({}, {"maxgap": 4}, {"minoverlap": 3}, {"kind": "within"}, {"ignore_strand": True}):
+            got = [tuple(r) for r in overlaps.stored_pairs(x, "stored_test", **options).collect()]
+            assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in overlaps.overlap_pairs(x, y, **options).collect()}
+        assert sorted(map(tuple, overlaps.stored(spark, "stored_test").select("rid", "start").collect())) == sorted((k, r[1]) for k, r in enumerate(s, 1))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = overlaps.stored_pairs(x, "stored_test", sequences=["a"])
+        text = plan_text(df)
+        below = text.split("SortMergeJoin")[1]
+        scan = next(part for part in below.split("Exchange")[::-1] if "stored_test" in part or "sequence" in part)
+        assert "Bucketed: true" in text and text.count("Exchange hashpartitioning") == 1 and "PartitionFilters" in scan and "sequence" in scan
+        assert {r[0] for r in df.collect()} == {i for i, j in brute.overlap_pairs(q, s) if q[i - 1][0] == "a"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE stored_test")
+
+
 def test_properties(spark):
     q, s = both(77)
     x, y = made(spark, q), made(spark, s)
