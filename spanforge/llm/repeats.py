@@ -336,10 +336,15 @@ def stretches(collection: DataFrame) -> DataFrame:
     """
     def done(rows: list[tuple]) -> pa.RecordBatch:
         anchor, name, piece, low, high = zip(*rows, strict=True)
-        data, ends = joined(list(piece))
         low, high = (np.array([NOBODY if x is None else x for x in v], np.int64) for v in (low, high))
-        seen = first_seen(data, ends, low)
-        windows = np.diff(np.concatenate([[0], ends])) - WINDOW + 1
+        windows = np.fromiter(map(len, piece), np.int64, len(piece)) - WINDOW + 1
+        # A piece that has its anchor for itself shares no window with another.
+        same = np.array(anchor[1:]) == np.array(anchor[:-1])
+        several = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        seen = np.repeat(low, windows)
+        if len(several):
+            data, ends = joined([piece[k] for k in several.tolist()])
+            seen[np.repeat(np.isin(np.arange(len(rows)), several), windows)] = first_seen(data, ends, low[several])
         who = np.repeat(np.arange(len(rows)), windows)
         edge = np.flatnonzero(np.concatenate([[True], (seen[1:] != seen[:-1]) | (who[1:] != who[:-1])]))
         size = np.diff(np.append(edge, len(seen)))
