@@ -146,6 +146,8 @@ def count_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, mi
     With ``minoverlap`` of m > 1 only ranges of m bases and more count, and of those an overlap of m is an overlap of ranges that
     end m - 1 bases sooner. A query without a sequence, strand or coordinate overlaps nothing and has its row.
     """
+    if kind == "within" and maxgap <= 0:
+        return count_within(query, subject, minoverlap, ignore_strand, width)
     if kind != "any" or minoverlap > 1 and maxgap >= 0:
         pairs = overlap_pairs(query, subject, maxgap=maxgap, minoverlap=minoverlap, kind=kind, ignore_strand=ignore_strand)
         found = pairs.groupBy("query_idx").agg(F.count("*").alias("n"))
@@ -181,6 +183,36 @@ def count_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, mi
     return found.select("query_idx", F.when(asked, F.col("begun") - F.col("ended")).otherwise(0).cast("long").alias("n_hits"))
 
 
+#: What is added to a coordinate so that it is not negative, and the bits that it then has.
+LIFT, BITS = 1 << 31, 33
+
+
+def count_within(query: DataFrame, subject: DataFrame, minoverlap: int, ignore_strand: bool, width: int) -> DataFrame:
+    """(query_idx, n_hits): how many subjects start no later and end no sooner than each query; no pairs.
+
+    Starts up to a query's are a few dyadic blocks of starts, one for each bit that is set in it. A subject's end stands in the block of its start on every
+    level, summed up by position, and a query looks up in its blocks how many ends lie from its own on: both sides grow by the bits of a coordinate at most.
+    """
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    keys = ["seqnames", "side", "level", "block"]
+    levels = F.sequence(F.lit(0), F.lit(BITS - 1))
+    side = F.lit("*") if ignore_strand else F.explode(compatible(F.col("strand")))
+    s = subject.select("seqnames", side.alias("side"), start.alias("at"), (-end).alias("pos")).groupBy("seqnames", "side", "at", "pos").agg(F.count("*").alias("n"))
+    nodes = s.select("seqnames", "side", F.explode(levels).alias("level"), "at", "pos", "n").withColumn("block", F.expr(f"shiftright(at + {LIFT}L, level)"))
+    changes = nodes.groupBy(*keys, "pos").agg(F.sum("n").alias("n"))
+    asks = query.where(end - start + 1 >= minoverlap) if minoverlap > 0 else query
+    asks = asks.select(F.col("rid").alias("query_idx"), "seqnames", (F.lit("*") if ignore_strand else F.col("strand")).alias("side"), (start + LIFT + 1).alias("upto"), (-end).alias("ask"))
+    asks = asks.withColumn("level", F.explode(F.filter(levels, lambda k: F.col("upto").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)))
+    asks = asks.withColumn("block", F.expr("shiftright(upto, level) - 1")).withColumn("__bin", bin_of(F.col("ask"), width))
+    # Only the blocks that some query asks are held.
+    held = changes.join(asks.select(*keys).distinct(), keys, "left_semi")
+    bins = sums_by_bin(held, asked_bins(asks, keys), keys, ["n"], width)
+    k = upto(F.col("places"), F.col("ask"))
+    found = asks.join(bins, [*keys, "__bin"]).select("query_idx", (F.col("before_n") + F.when(k > 0, F.get("n", k - 1)).otherwise(0)).alias("n"))
+    total = found.groupBy("query_idx").agg(F.sum("n").alias("n"))
+    return query.select(F.col("rid").alias("query_idx")).join(total, "query_idx", "left").select("query_idx", F.coalesce("n", F.lit(0)).cast("long").alias("n_hits"))
+
+
 def overlaps_any(query: DataFrame, subject: DataFrame, **options) -> DataFrame:
     """(query_idx, overlaps) of every query."""
     return count_overlaps(query, subject, **options).select("query_idx", (F.col("n_hits") > 0).alias("overlaps"))

@@ -336,6 +336,20 @@ def test_counts_of_long_overlaps(spark):
             assert [r[1] for r in df.orderBy("query_idx").collect()] == want
 
 
+def test_counts_of_containing_ranges(spark):
+    q, s = both(35)
+    x, y = made(spark, q), made(spark, s)
+    for m in (0, 3):
+        for ignore in (False, True):
+            want = {i: sum(a[0] == b[0] and (ignore or brute.meets(a[3], b[3])) and b[1] <= a[1] and a[2] <= b[2] and a[2] - a[1] + 1 >= m for b in s) for i, a in enumerate(q, 1)}
+            df = overlaps.count_overlaps(x, y, kind="within", minoverlap=m, ignore_strand=ignore, width=16)
+            assert dict(map(tuple, df.collect())) == want
+    text = plan_text(df)
+    assert no_pair_enumeration(df) and "subject_idx" not in text and "__level" not in text
+    far = made(spark, [("a", -(2**31), 2**31 - 1, "+"), ("a", 2**31 - 1, 2**31 - 1, "+"), (None, 1, 2, "+")])
+    assert dict(map(tuple, overlaps.count_overlaps(far, far, kind="within").collect())) == {1: 1, 2: 2, 3: 0}
+
+
 def test_edges_meet_on_their_coordinates(spark):
     q, s = both(32)
     x, y = made(spark, q), made(spark, s)
