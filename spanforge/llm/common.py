@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.plans.storage import shared_dir
+
 #: Bytes to bytes: A-Z lowered, every ASCII byte that is not a letter or digit becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -64,21 +65,6 @@ ARROW = {
 }
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; raises where none is set, as a local one would lose rows on a cluster."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if at is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        # One machine, as in tests: any folder is shared.
-        at = tempfile.mkdtemp(prefix="spanforge-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if at is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at
-
-
 def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, and it survives lost executors."""
     spark = df.sparkSession
