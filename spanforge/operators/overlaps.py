@@ -120,14 +120,27 @@ def overlap_pairs(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, min
     return j.where(once & hit).select("query_idx", "subject_idx")
 
 
+def one_hit(query: DataFrame, subject: DataFrame, last: bool = False, bins: tuple[int, int] | None = None, **options) -> DataFrame:
+    """(query_idx, subject_idx) of the queries that overlap something: the least (or greatest) place among what they overlap.
+
+    Only distinct ranges are paired: of equal subjects the one that counts, of equal queries one, whose answer is joined back on its coordinates.
+    """
+    keys, pick = ["seqnames", "start", "end", "strand"], F.max if last else F.min
+    q = query.select(*keys).distinct().withColumn("rid", F.struct(*keys))
+    s = subject.groupBy(*keys).agg(pick("rid").alias("rid"))
+    pairs = overlap_pairs(q, s, bins=bins or (None if options.get("kind") in EDGES else bin_plan(query, subject)), **options)
+    best = pairs.groupBy("query_idx").agg(pick("subject_idx").alias("subject_idx")).select("query_idx.*", "subject_idx")
+    return query.select(F.col("rid").alias("query_idx"), *keys).join(best, keys).select("query_idx", "subject_idx")
+
+
 def find_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", select: str = "all", ignore_strand: bool = False, bins: tuple[int, int] | None = None) -> DataFrame:
     """Pairs, or with ``select`` first, last or arbitrary one row per query with a null where nothing overlaps."""
-    pairs = overlap_pairs(query, subject, maxgap=maxgap, minoverlap=minoverlap, kind=kind, ignore_strand=ignore_strand, bins=bins)
+    options = {"maxgap": maxgap, "minoverlap": minoverlap, "kind": kind, "ignore_strand": ignore_strand, "bins": bins}
     if select == "all":
-        return pairs
+        return overlap_pairs(query, subject, **options)
     if select not in ("first", "last", "arbitrary"):
         raise ValueError("select is all, first, last or arbitrary")
-    one = pairs.groupBy("query_idx").agg((F.max if select == "last" else F.min)("subject_idx").alias("subject_idx"))
+    one = one_hit(query, subject, select == "last", **options)
     return query.select(F.col("rid").alias("query_idx")).join(one, "query_idx", "left")
 
 

@@ -350,6 +350,16 @@ def test_counts_of_containing_ranges(spark):
     assert dict(map(tuple, overlaps.count_overlaps(far, far, kind="within").collect())) == {1: 1, 2: 2, 3: 0}
 
 
+def test_a_pile_of_equal_ranges_is_paired_once(spark):
+    """Five thousand equal queries on five thousand equal subjects, with others: no query meets more than the distinct subjects."""
+    pile = lambda n, at: spark.range(1, n + 1).select(F.col("id").alias("rid"), F.lit("a").alias("seqnames"), F.lit(at).alias("start"), F.lit(at + 9).alias("end"), F.lit("+").alias("strand"))
+    x = pile(5000, 100).unionByName(made(spark, [("a", 500, 510, "-")]).withColumn("rid", F.lit(9999).cast("long")))
+    y = pile(5000, 105).unionByName(made(spark, [("a", 495, 501, "*")]).withColumn("rid", F.lit(7).cast("long")))
+    first, last = (overlaps.find_overlaps(x, y, select=k).groupBy("subject_idx").count().collect() for k in ("first", "last"))
+    assert {tuple(r) for r in first} == {(1, 5000), (7, 1)} and {tuple(r) for r in last} == {(5000, 5000), (7, 1)}
+    assert {tuple(r) for r in nearest.distance_to_nearest(x, y).groupBy("subject_idx", "distance").count().collect()} == {(1, 0, 5000), (7, 0, 1)}
+
+
 def test_edges_meet_on_their_coordinates(spark):
     q, s = both(32)
     x, y = made(spark, q), made(spark, s)
