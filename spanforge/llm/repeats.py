@@ -29,7 +29,7 @@ SPREAD = WINDOW - ANCHOR + 1
 #: Bytes of text whose anchors are hashed at a time; bytes of text a bucket of anchors stands for.
 SEGMENT, BUCKET = 1 << 20, 1 << 25
 #: Buckets at least; symbols of a collection, about; symbols of one anchor beyond which its pieces are cut again by other anchors.
-LEAST_BUCKETS, COLLECTION, LIMIT = 256, 1 << 20, 1 << 20
+LEAST_BUCKETS, COLLECTION, LIMIT = 256, 1 << 19, 1 << 20
 #: Bytes of a transform that stay in memory between two rounds; beyond, its files are on disk.
 HELD = 1 << 26
 NOBODY = np.iinfo(np.int64).max
@@ -239,7 +239,7 @@ def packed(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
 def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, anchor, key, spot): the pieces of ``docs`` (key, text), each column packed, as many rows as a batch has buckets."""
     def run(batches):
-        for b in slices(batches, 5000):
+        for b in slices(batches, 2500):
             data, ends = joined(b.column(1).to_pylist())
             place, size, anchor = pieces(data, ends)
             doc = np.searchsorted(ends, place, "right")
