@@ -46,3 +46,10 @@ def test_held_out_accuracy(spark):
     rows = [(r["predicted"], r["toxic"]) for r in df.collect()]
     assert sum(p == y for p, y in rows) / len(rows) > 0.95
     assert sum(p for p, y in rows if y) / sum(y for _, y in rows) > 0.85
+
+
+def test_whitening_rows(spark):
+    df = queries.op11_spectrum_slicing(spark, oracle.DATA)
+    assert df.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert df.count() == 16 * queries.table(spark, oracle.DATA, "embeddings").count()
+    assert df.agg({"identity_error": "max"}).first()[0] < 1e-4
