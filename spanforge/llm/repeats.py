@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import drop_saved, saved, slices
+from spanforge.llm.common import drop_saved, let_go, saved, slices
 
 WINDOW, ANCHOR = 50, 24
 #: Anchors that a window may have, and so the most windows of a piece.
@@ -413,14 +413,18 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), key_of(id_col, text_col).alias("key"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = saved(shared(dealt(rows.where(F.octet_length("text") >= WINDOW).select("key", "text"), max(LEAST_BUCKETS, total // BUCKET))), "zstd")
+    let_go(docs.sparkSession)
     known = parts.groupBy("key").agg(F.collect_list(F.struct("spots", "anchors")).alias("found"))
     found = saved(contents(rows.join(known, "key").select("id", "key", "text", "found")), "zstd")
     drop_saved(parts)
+    let_go(docs.sparkSession)
     places, distinct, tables = collected(found)
+    let_go(docs.sparkSession)
     seen = saved(stretches(distinct.select("anchor", "name", "piece", "lowest", "highest")))
     hit = places.join(seen, ["anchor", "name"]).where(F.col("id").isNull() | (F.col("lowest") < F.col("id")))
     spans = saved(hit.select("id", "key", (F.col("spot") + F.col("first")).alias("a"), (F.col("spot") + F.col("last") + WINDOW).alias("z")).groupBy("id", "key").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
     drop_saved(seen, *tables)
+    let_go(docs.sparkSession)
     a, b = rows.alias("a"), spans.alias("b")
     every = a.join(b, (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id")), "left").select("a.id", "a.text", F.col("b.spans.a").alias("first"), F.col("b.spans.z").alias("last"))
 
