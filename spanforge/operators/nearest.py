@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.overlaps import compatible, one_hit, overlap_pairs
+from spanforge.functions.expr import compatible
+from spanforge.operators.overlaps import one_hit, overlap_pairs
 from spanforge.plans.scan import WIDTH, asked_bins, bin_of, next_by_bin, upto
 from spanforge.plans.storage import written
 
@@ -98,8 +99,8 @@ def nearest_hits(x: DataFrame, subject: DataFrame | None, select: str, ignore_st
     """(query_idx, subject_idx, distance); with one hit a row for every x, null without a neighbour."""
     self_ = subject is None
     subject = x if self_ else subject
-    if select != "all" and not self_:
-        touching = one_hit(x, subject, maxgap=0, ignore_strand=ignore_strand)
+    if select != "all":
+        touching = one_hit(x, subject, own=self_, maxgap=0, ignore_strand=ignore_strand)
     else:
         touching = overlap_pairs(x, subject, maxgap=0, ignore_strand=ignore_strand)
         touching = touching.where("query_idx <> subject_idx") if self_ else touching

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.functions.expr import related, strand_ok
+from spanforge.functions.expr import compatible, related, strand_ok
+from spanforge.operators.stab import least_hits
 from spanforge.plans.scan import WIDTH, asked_bins, bin_of, sums_by_bin, upto
 from spanforge.plans.storage import written
 
@@ -120,17 +121,47 @@ def overlap_pairs(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, min
     return j.where(once & hit).select("query_idx", "subject_idx")
 
 
-def one_hit(query: DataFrame, subject: DataFrame, last: bool = False, bins: tuple[int, int] | None = None, **options) -> DataFrame:
-    """(query_idx, subject_idx) of the queries that overlap something: the least (or greatest) place among what they overlap.
+#: Pairs a range (candidates of the join on bins) from which on looking up blocks is less work than pairing.
+PILED = 16
 
-    Only distinct ranges are paired: of equal subjects the one that counts, of equal queries one, whose answer is joined back on its coordinates.
+
+def piled(query: DataFrame, subject: DataFrame, bins: tuple[int, int], maxgap: int) -> bool:
+    """Whether the join on bins would look at more than ``PILED`` pairs for each of its rows; counted by bin, without joining."""
+    g = max(maxgap, -1) + 1
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    sides = [binned(df.select("seqnames", (F.least(start, end) - k).alias("lo"), (F.greatest(start, end) + k).alias("hi")), F.col("lo"), F.col("hi"), *bins).groupBy("seqnames", "__level", "__bin").agg(F.count("*").alias("n")) for df, k in ((query, g), (subject, 0))]
+    rows = sides[0].withColumn("of", F.lit(0)).unionByName(sides[1].withColumn("of", F.lit(1)))
+    per = rows.groupBy("seqnames", "__level", "__bin").agg(*[F.coalesce(F.sum(F.when(F.col("of") == k, F.col("n"))), F.lit(0)).cast("double").alias(f"n{k}") for k in (0, 1)])
+    pairs, n = per.agg(F.sum(F.col("n0") * F.col("n1")), F.sum(F.col("n0") + F.col("n1"))).first()
+    return (pairs or 0) > PILED * (n or 0)
+
+
+def one_hit(query: DataFrame, subject: DataFrame, last: bool = False, bins: tuple[int, int] | None = None, own: bool = False, blocks: bool | None = None, **options) -> DataFrame:
+    """(query_idx, subject_idx) of the queries that overlap something: the least (or greatest) place among what they overlap, with ``own`` other than the query's.
+
+    Only distinct ranges count: of equal subjects the one that can win, of equal queries one, whose answer is joined back on its coordinates. Where
+    ranges lie in piles (``piled``; or as ``blocks`` says) they are looked up by blocks, else paired; both give the same. Kinds other than ``any`` are paired.
     """
     keys, pick = ["seqnames", "start", "end", "strand"], F.max if last else F.min
+    if options.get("kind", "any") != "any" or options.get("maxgap", -1) < -1:
+        blocks = False
+    elif blocks is None:
+        bins = bins or bin_plan(query, subject)
+        blocks = piled(query, subject, bins, options.get("maxgap", -1))
+    plain = {k: v for k, v in options.items() if k != "kind"}
+    if own:
+        if blocks:
+            return least_hits(query, subject, last=last, own=True, **plain)
+        pairs = overlap_pairs(query, subject, bins=bins, **options).where("query_idx <> subject_idx")
+        return pairs.groupBy("query_idx").agg(pick("subject_idx").alias("subject_idx"))
     q = query.select(*keys).distinct().withColumn("rid", F.struct(*keys))
     s = subject.groupBy(*keys).agg(pick("rid").alias("rid"))
-    pairs = overlap_pairs(q, s, bins=bins or (None if options.get("kind") in EDGES else bin_plan(query, subject)), **options)
-    best = pairs.groupBy("query_idx").agg(pick("subject_idx").alias("subject_idx")).select("query_idx.*", "subject_idx")
-    return query.select(F.col("rid").alias("query_idx"), *keys).join(best, keys).select("query_idx", "subject_idx")
+    if blocks:
+        best = least_hits(q, s, last=last, **plain)
+    else:
+        pairs = overlap_pairs(q, s, bins=bins or (None if options.get("kind") in EDGES else bin_plan(query, subject)), **options)
+        best = pairs.groupBy("query_idx").agg(pick("subject_idx").alias("subject_idx"))
+    return query.select(F.col("rid").alias("query_idx"), *keys).join(best.select("query_idx.*", "subject_idx"), keys).select("query_idx", "subject_idx")
 
 
 def find_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", select: str = "all", ignore_strand: bool = False, bins: tuple[int, int] | None = None) -> DataFrame:
@@ -144,15 +175,6 @@ def find_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, min
     return query.select(F.col("rid").alias("query_idx")).join(one, "query_idx", "left")
 
 
-def compatible(strand: Column) -> Column:
-    """The query strands that a subject strand can meet."""
-    lists = {"+": ("+", "*"), "-": ("-", "*"), "*": ("+", "-", "*")}
-    out = F.array().cast("array<string>")
-    for k, v in lists.items():
-        out = F.when(strand == k, F.array(*[F.lit(x) for x in v])).otherwise(out)
-    return out
-
-
 def count_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
     """(query_idx, n_hits) of every query; two running sums if that decides the predicate, else by the join.
 

@@ -159,6 +159,13 @@ def kept_apart(s: SparkSession, d: str) -> str:
 
 register("find_overlaps_stored", lambda s, d: Ranges(li(s, d)).find_stored(kept_apart(s, d)), f"{PAIRS} {hits()}")
 register("find_overlaps_stored_sequences", lambda s, d: Ranges(li(s, d)).find_stored(kept_apart(s, d), sequences=["chr2", "chr4"], maxgap=10), f"{PAIRS} {hits(11)} WHERE q.seqnames IN ('chr2', 'chr4')")
+heaped = lambda x, width: x.select("rid", "seqnames", (F.col("start") % 500).alias("start"), (F.col("start") % 500 + width).cast("int").alias("end"), "strand")
+#: Ranges folded onto 500 bases, so that each overlaps a large part of all others of its sequence.
+HEAPED = """SELECT p.rid AS query_idx, {pick}(e.rid) AS subject_idx FROM (SELECT rid, seqnames, start % 500 AS start FROM pt) p LEFT JOIN
+  (SELECT rid, seqnames, start % 500 AS start, start % 500 + "end" - start AS "end" FROM ev) e ON p.seqnames = e.seqnames AND p.start <= e."end" AND p.start + 200 >= e.start GROUP BY p.rid"""
+for name, pick in (("first", "min"), ("last", "max")):
+    register(f"find_overlaps_{name}_heaped", lambda s, d, n=name: overlaps.find_overlaps(heaped(pt(s, d), 200), heaped(ev(s, d), F.col("end") - F.col("start")), select=n), HEAPED.format(pick=pick))
+
 register("stored_ranges", lambda s, d: Ranges.stored(s, kept_apart(s, d)).df.select(*ROW, "score"), 'SELECT rid, seqnames, start, "end", strand, score FROM ev')
 COUNTED = "SELECT li.rid AS query_idx, coalesce(n, 0) AS n_hits FROM li LEFT JOIN (SELECT q.rid, count(*) AS n {hits} GROUP BY q.rid) USING (rid)"
 register("count_overlaps", lambda s, d: overlaps.count_overlaps(li(s, d), ev(s, d)), COUNTED.format(hits=hits()))

@@ -360,6 +360,30 @@ def test_a_pile_of_equal_ranges_is_paired_once(spark):
     assert {tuple(r) for r in nearest.distance_to_nearest(x, y).groupBy("subject_idx", "distance").count().collect()} == {(1, 0, 5000), (7, 0, 1)}
 
 
+def test_one_hit_by_blocks(spark):
+    q, s = both(5)
+    s[0], q[0] = ("a", 1, 5000, "*"), ("b", -70, 9000, "+")
+    x, y = made(spark, q), made(spark, s)
+    cases = [({}, False, False), ({"maxgap": 0}, True, True), ({"maxgap": 4}, False, True), ({"minoverlap": 3}, True, False), ({"minoverlap": 2, "maxgap": 3, "ignore_strand": True}, False, False), ({"maxgap": 0, "ignore_strand": True}, False, True)]
+    for options, last, own in cases:
+        want = brute.overlap_pairs(q, q if own else s, options.get("maxgap", -1), options.get("minoverlap", 0), options.get("ignore_strand", False))
+        best = {a: (max if last else min)(b for c, b in want if c == a and not (own and b == a)) for a in {a for a, b in want if not (own and a == b)}}
+        got = [tuple(r) for r in overlaps.one_hit(x, x if own else y, last, own=own, blocks=True, **options).collect()]
+        assert len(got) == len(best) and dict(got) == best, (options, last, own)
+
+
+def test_a_pile_of_distinct_ranges_is_not_paired(spark):
+    """Five thousand distinct queries that all overlap as many distinct subjects."""
+    n = 5000
+    pile = lambda up: spark.range(1, n + 1).select(F.col("id").alias("rid"), F.lit("a").alias("seqnames"), (n - F.col("id") if up else F.col("id")).alias("start"), (2 * n + (F.col("id") if up else -F.col("id"))).alias("end"), F.lit("+").alias("strand"))
+    x, y = pile(True), pile(False)
+    assert overlaps.piled(x, y, overlaps.bin_plan(x, y), -1)
+    for select, place in (("first", 1), ("last", n)):
+        got = overlaps.find_overlaps(x, y, select=select)
+        assert [tuple(r) for r in got.groupBy("subject_idx").count().collect()] == [(place, n)]
+    assert {tuple(r) for r in nearest.distance_to_nearest(x).groupBy("subject_idx", "distance").count().collect()} == {(1, 0, n - 1), (2, 0, 1)}
+
+
 def test_edges_meet_on_their_coordinates(spark):
     q, s = both(32)
     x, y = made(spark, q), made(spark, s)
