@@ -121,6 +121,11 @@ def overlap_pairs(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, min
     return j.where(once & hit).select("query_idx", "subject_idx")
 
 
+def at_edge(df: DataFrame, edge: str) -> DataFrame:
+    """Each range as the one position that its start or end is."""
+    return df.select("rid", "seqnames", F.col(edge).alias("start"), F.col(edge).alias("end"), "strand")
+
+
 #: Pairs a range (candidates of the join on bins) from which on looking up blocks is less work than pairing.
 PILED = 16
 
@@ -143,6 +148,9 @@ def one_hit(query: DataFrame, subject: DataFrame, last: bool = False, bins: tupl
     ranges lie in piles (``piled``; or as ``blocks`` says) they are looked up by blocks, else paired; both give the same. Kinds other than ``any`` are paired.
     """
     keys, pick = ["seqnames", "start", "end", "strand"], F.max if last else F.min
+    if options.get("kind") in ("start", "end") and options.get("minoverlap", 0) < 1:
+        # The other edge does not matter, so ranges that differ only there are one.
+        query, subject = (at_edge(df, options["kind"]) for df in (query, subject))
     if options.get("kind", "any") != "any" or options.get("maxgap", -1) < -1:
         blocks = False
     elif blocks is None:
@@ -176,14 +184,25 @@ def find_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, min
 
 
 def count_overlaps(query: DataFrame, subject: DataFrame, *, maxgap: int = -1, minoverlap: int = 0, kind: str = "any", ignore_strand: bool = False, width: int = WIDTH) -> DataFrame:
-    """(query_idx, n_hits) of every query; two running sums if that decides the predicate, else by the join.
+    """(query_idx, n_hits) of every query; running sums or counts by coordinate where they decide the predicate, else the join (kind equal with a
+    tolerance, within with a gap, edges with ``minoverlap``).
 
     With ``minoverlap`` of m > 1 only ranges of m bases and more count, and of those an overlap of m is an overlap of ranges that
     end m - 1 bases sooner. A query without a sequence, strand or coordinate overlaps nothing and has its row.
     """
     if kind == "within" and maxgap <= 0:
         return count_within(query, subject, minoverlap, ignore_strand, width)
-    if kind != "any" or minoverlap > 1 and maxgap >= 0:
+    if kind in ("start", "end") and minoverlap < 1:
+        # Edges as positions: those no further apart than the tolerance.
+        return count_overlaps(at_edge(query, kind), at_edge(subject, kind), maxgap=max(maxgap, 0) - 1, ignore_strand=ignore_strand, width=width)
+    if kind == "equal" and maxgap <= 0 and minoverlap < 1:
+        keys, side = ["seqnames", "start", "end", "side"], (lambda strands: F.lit("*") if ignore_strand else strands)
+        per = subject.withColumn("side", side(F.explode(compatible(F.col("strand"))))).groupBy(*keys).agg(F.count("*").alias("n"))
+        return query.withColumn("side", side(F.col("strand"))).join(per, keys, "left").select(F.col("rid").alias("query_idx"), F.coalesce("n", F.lit(0)).cast("long").alias("n_hits"))
+    if kind == "any" and minoverlap > 1:
+        # Two shared bases are an overlap, whatever gap is allowed.
+        maxgap = -1
+    if kind != "any":
         pairs = overlap_pairs(query, subject, maxgap=maxgap, minoverlap=minoverlap, kind=kind, ignore_strand=ignore_strand)
         found = pairs.groupBy("query_idx").agg(F.count("*").alias("n"))
         return query.select(F.col("rid").alias("query_idx")).join(found, "query_idx", "left").select("query_idx", F.coalesce("n", F.lit(0)).alias("n_hits"))

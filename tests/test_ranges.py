@@ -372,6 +372,18 @@ def test_one_hit_by_blocks(spark):
         assert len(got) == len(best) and dict(got) == best, (options, last, own)
 
 
+def test_counts_and_one_hit_by_edges(spark):
+    """Counts of edges and of overlaps with a gap and a least overlap, against the pairs, from plans that do not pair."""
+    q, s = both(3)
+    x, y = made(spark, q), made(spark, s * 2)
+    for options in ({"kind": "start"}, {"kind": "end", "maxgap": 2}, {"kind": "equal"}, {"kind": "start", "ignore_strand": True}, {"maxgap": 2, "minoverlap": 3}):
+        pairs = [tuple(r) for r in overlaps.overlap_pairs(x, y, **options).collect()]
+        counts = [tuple(r) for r in overlaps.count_overlaps(x, y, width=16, **options).collect()]
+        assert sorted(counts) == [(i, sum(a == i for a, _ in pairs)) for i in range(1, len(q) + 1)], options
+        got = {r[0]: r[1] for r in overlaps.find_overlaps(x, y, select="last", **options).collect()}
+        assert got == {i: max((b for a, b in pairs if a == i), default=None) for i in range(1, len(q) + 1)}, options
+
+
 def test_a_pile_of_distinct_ranges_is_not_paired(spark):
     """Five thousand distinct queries that all overlap as many distinct subjects."""
     n = 5000
