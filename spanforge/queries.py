@@ -172,6 +172,13 @@ register("count_overlaps", lambda s, d: overlaps.count_overlaps(li(s, d), ev(s,
 register("count_overlaps_ignore_strand", lambda s, d: overlaps.count_overlaps(li(s, d), ev(s, d), ignore_strand=True, maxgap=5), COUNTED.format(hits=hits(6, "")))
 register("count_overlaps_minoverlap", lambda s, d: overlaps.count_overlaps(li(s, d), ev(s, d), minoverlap=8), COUNTED.format(hits=hits(more=ANY_STRAND + ' AND least(q."end", s."end") - greatest(q.start, s.start) + 1 >= 8')))
 register("count_overlaps_within", lambda s, d: overlaps.count_overlaps(li(s, d), ev(s, d), kind="within", minoverlap=2), COUNTED.format(hits=hits(more=ANY_STRAND + ' AND q.start >= s.start AND q."end" <= s."end" AND q."end" - q.start + 1 >= 2')))
+for name, options, g, more in (
+    ("start", {"kind": "start", "maxgap": 2}, 3, " AND abs(q.start - s.start) <= 2"),
+    ("end", {"kind": "end"}, 0, ' AND q."end" = s."end"'),
+    ("equal", {"kind": "equal"}, 0, ' AND q.start = s.start AND q."end" = s."end"'),
+    ("gap_minoverlap", {"maxgap": 3, "minoverlap": 8}, 0, ' AND least(q."end", s."end") - greatest(q.start, s.start) + 1 >= 8'),
+):
+    register(f"count_overlaps_{name}", lambda s, d, o=options: overlaps.count_overlaps(li(s, d), ev(s, d), **o), COUNTED.format(hits=hits(g, ANY_STRAND + more)))
 register("overlaps_any", lambda s, d: overlaps.overlaps_any(li(s, d), ev(s, d)), f"SELECT rid AS query_idx, rid IN (SELECT q.rid {hits()}) AS overlaps FROM li")
 for name, invert in (("subset_by_overlaps", False), ("subset_by_overlaps_invert", True)):
     register(name, lambda s, d, i=invert: overlaps.subset_by_overlaps(li(s, d), ev(s, d), i).select(*ROW, "score"), f"""SELECT rid, seqnames, start, "end", strand, score FROM li WHERE rid {'NOT ' if invert else ''}IN (SELECT q.rid {hits()})""")
