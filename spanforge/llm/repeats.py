@@ -15,13 +15,15 @@ round, suffixes with a common prefix of WINDOW bytes are neighbours: the least i
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import drop_saved, let_go, saved, slices
+from spanforge.llm.common import drop_saved, saved, slices
 
 WINDOW, ANCHOR = 50, 24
 #: Anchors that a window may have, and so the most windows of a piece.
@@ -30,6 +32,8 @@ SPREAD = WINDOW - ANCHOR + 1
 SEGMENT, BUCKET = 1 << 20, 1 << 25
 #: Buckets at least; symbols of a collection, about; symbols of one anchor beyond which its pieces are cut again by other anchors.
 LEAST_BUCKETS, COLLECTION, LIMIT = 256, 1 << 19, 1 << 20
+#: Bytes of pieces that are sorted and dealt to buckets at a time; mark of a spot whose anchor may be over the limit, beside at most SPREAD windows.
+BLOCK, CROWDED = 1 << 24, 1 << 5
 #: Bytes of a transform that stay in memory between two rounds; beyond, its files are on disk.
 HELD = 1 << 26
 NOBODY = np.iinfo(np.int64).max
@@ -90,6 +94,11 @@ def pieces(data: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor. Anchors are least hashes, small ones are frequent; a product spreads them evenly."""
+    return ((anchor.view(M) * M(MULTIPLIERS[3]) >> M(32)) * M(buckets) >> M(32)).astype(np.int64)
+
+
 def joined(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Texts one behind the other, and where each ends."""
     values = [v or b"" for v in values]
@@ -244,7 +253,7 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
             place, size, anchor = pieces(data, ends)
             doc = np.searchsorted(ends, place, "right")
             spot = ((place - np.concatenate([[0], ends[:-1]])[doc]) << 6) | size
-            bucket = ((anchor >> M(32)) * M(buckets) >> M(32)).astype(np.int64)
+            bucket = bucket_of(anchor, buckets)
             order = np.argsort(bucket, kind="stable")
             kind, count = np.unique(bucket, return_counts=True)
             cuts = np.cumsum(count)
@@ -254,8 +263,10 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, anchor binary, key binary, spot binary")
 
 
-def shared(dealt_out: DataFrame) -> DataFrame:
-    """(key, spots, anchors): the pieces of each key whose anchor another key has too; a row for each key of a bucket."""
+def shared(dealt_out: DataFrame, limit: int) -> DataFrame:
+    """(key, spots, anchors): the pieces of each key whose anchor another key has too; a row for each key of a bucket. Spots of anchors that may
+    have over ``limit`` symbols are marked by CROWDED.
+    """
     def run(batches):
         held: list[list[bytes]] = [[], [], []]
         now = None
@@ -265,8 +276,10 @@ def shared(dealt_out: DataFrame) -> DataFrame:
             order = np.lexsort((key, anchor))
             a, k = anchor[order], key[order]
             head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            several = k[head] != k[np.append(head[1:], len(a)) - 1]
-            at = order[np.repeat(several, np.diff(np.append(head, len(a))))]
+            several, many = k[head] != k[np.append(head[1:], len(a)) - 1], np.diff(np.append(head, len(a)))
+            spot = spot.copy()
+            spot[order[np.repeat(many * (WINDOW + SPREAD - 1) > limit, many)]] |= CROWDED
+            at = order[np.repeat(several, many)]
             at = at[np.argsort(key[at], kind="stable")]
             owner, count = np.unique(key[at], return_counts=True)
             cuts = np.cumsum(count)
@@ -287,13 +300,14 @@ def shared(dealt_out: DataFrame) -> DataFrame:
 
 
 def contents(rows: DataFrame) -> DataFrame:
-    """(anchor, piece, id, key, spot) of the shared pieces of rows (id, key, text, found)."""
+    """(anchor, piece, id, key, spot, crowded) of the shared pieces of rows (id, key, text, found)."""
     def run(batches):
         for b in slices(batches, 500):
             texts, found = b.column(2).to_pylist(), b.column(3).to_pylist()
             spots = [np.frombuffer(b"".join(x["spots"] for x in f), np.int64) for f in found]
-            place = np.concatenate(spots) >> 6
-            size = (np.concatenate(spots) & 63) + WINDOW - 1
+            spot = np.concatenate(spots)
+            place, crowded = spot >> 6, spot & CROWDED > 0
+            size = (spot & (CROWDED - 1)) + WINDOW - 1
             which = np.repeat(np.arange(len(texts)), list(map(len, spots)))
             data, ends = joined(texts)
             start = np.concatenate([[0], ends[:-1]])[which] + place
@@ -304,9 +318,9 @@ def contents(rows: DataFrame) -> DataFrame:
             flat = data[np.repeat(start - (cuts - size), size) + np.arange(cuts[-1] if len(cuts) else 0)]
             anchor = np.concatenate([np.frombuffer(b"".join(x["anchors"] for x in f), np.int64) for f in found])[good]
             at = pa.array(which)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), packed(flat, cuts), b.column(0).take(at), b.column(1).take(at), pa.array(place[good])], ["anchor", "piece", "id", "key", "spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), packed(flat, cuts), b.column(0).take(at), b.column(1).take(at), pa.array(place[good]), pa.array(crowded[good])], ["anchor", "piece", "id", "key", "spot", "crowded"])
 
-    return rows.mapInArrow(run, "anchor long, piece binary, id long, key long, spot long")
+    return rows.mapInArrow(run, "anchor long, piece binary, id long, key long, spot long, crowded boolean")
 
 
 def cut_again(rows: DataFrame, seed: int) -> DataFrame:
@@ -328,68 +342,160 @@ def cut_again(rows: DataFrame, seed: int) -> DataFrame:
     return rows.select("anchor", "piece", "id", "key", "spot").mapInArrow(run, "anchor long, piece binary, id long, key long, spot long")
 
 
-def stretches(collection: DataFrame) -> DataFrame:
-    """(anchor, name, first, last, lowest): stretches of windows of a piece that a smaller id than its greatest has, and the least such id.
+def dealt_pieces(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, size, block): the distinct pieces of rows (anchor, name, piece, low, high) with their least and greatest id, by bucket and anchor; the columns of a
+    block stand one behind the other, compressed, as pieces without their neighbours in a text take several times its bytes.
+    """
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        anchor, name, low, high = (t.column(k).to_numpy() for k in ("anchor", "name", "low", "high"))
+        bucket = bucket_of(anchor, buckets)
+        order, head, low, high = distinct(anchor, name, low, high, bucket)
+        text = t.column("piece").take(pa.array(order[head])).combine_chunks()
+        raw, edge = text_of(text)
+        anchor, name, bucket = (x[order[head]] for x in (anchor, name, bucket))
+        kind, first = np.unique(bucket, return_index=True)
+        columns: list[list] = [[], [], [], []]
+        for k, i, j in zip(kind.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            block = b"".join([*(x[i:j].tobytes() for x in (anchor, name, low, high - low)), np.diff(edge[i : j + 1]).astype(np.uint8).tobytes(), raw[edge[i] : edge[j]].tobytes()])
+            for x, y in zip(columns, (k, j - i, len(block), pa.compress(block, "zstd", asbytes=True)), strict=True):
+                x.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["bucket", "n", "size", "block"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(2).nbytes
+            if size >= BLOCK:
+                yield close(held)
+                held, size = [], 0
+        if held and sum(b.num_rows for b in held):
+            yield close(held)
+
+    return rows.select("anchor", "name", "piece", "low", "high").mapInArrow(run, "bucket long, n long, size long, block binary")
+
+
+def text_of(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary values one behind the other, and the edges between them."""
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    edge = np.frombuffer(x.buffers()[1], np.int64 if x.type == pa.large_binary() else np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+    return np.frombuffer(x.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]], edge - edge[0]
+
+
+def distinct(anchor: np.ndarray, name: np.ndarray, low: np.ndarray, high: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of ``before``, anchor and name, where each distinct (anchor, name) begins in it, its least ``low`` and its greatest ``high``."""
+    order = np.lexsort((name, anchor, *before))
+    a, n = anchor[order], name[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (n[1:] != n[:-1])]))
+    return order, head, np.minimum.reduceat(low[order], head), np.maximum.reduceat(high[order], head)
 
-    ``collection`` holds (anchor, name, piece, lowest, highest). Pieces of an anchor come one behind the other; whole anchors are put together up to
-    COLLECTION symbols.
+
+def stretches(rows: DataFrame, buckets: int) -> DataFrame:
+    """(anchor, name, first, last, lowest): stretches of windows of a distinct piece that a smaller id than its greatest has, and the least such id.
+
+    ``rows`` holds (anchor, name, piece, low, high), a piece as often as you like. Whole anchors are put together up to COLLECTION symbols.
     """
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        anchor, name, piece, low, high = zip(*rows, strict=True)
-        low, high = (np.array([NOBODY if x is None else x for x in v], np.int64) for v in (low, high))
-        windows = np.fromiter(map(len, piece), np.int64, len(piece)) - WINDOW + 1
+    def close(blocks: list[tuple]):
+        fixed: list[list[np.ndarray]] = [[], [], [], [], []]
+        texts = []
+        for n, size, block in blocks:
+            raw = np.frombuffer(pa.decompress(block, size, "zstd", asbytes=True), np.uint8)
+            numbers = raw[: 32 * n].view(np.int64).reshape(4, n)
+            for x, y in zip(fixed, (*numbers, raw[32 * n : 33 * n]), strict=True):
+                x.append(y)
+            texts.append(raw[33 * n :])
+        anchor, name, low, more, length = (np.concatenate(x) for x in fixed)
+        text, length = np.concatenate(texts), length.astype(np.int64)
+        start = np.cumsum(length) - length
+        order, head, low, high = distinct(anchor, name, low, low + more)
+        at = order[head]
+        anchor, name, start, length = anchor[at], name[at], start[at], length[at]
+        group = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        members, symbols = np.diff(np.append(group, len(anchor))), np.add.reduceat(length, group)
         # A piece that has its anchor for itself shares no window with another.
-        same = np.array(anchor[1:]) == np.array(anchor[:-1])
-        several = np.flatnonzero(np.append(same, False) | np.append(False, same))
-        seen = np.repeat(low, windows)
-        if len(several):
-            data, ends = joined([piece[k] for k in several.tolist()])
-            seen[np.repeat(np.isin(np.arange(len(rows)), several), windows)] = first_seen(data, ends, low[several])
-        who = np.repeat(np.arange(len(rows)), windows)
-        edge = np.flatnonzero(np.concatenate([[True], (seen[1:] != seen[:-1]) | (who[1:] != who[:-1])]))
-        size = np.diff(np.append(edge, len(seen)))
-        first = edge - (np.cumsum(windows) - windows)[who[edge]]
-        keep = seen[edge] < high[who[edge]]
-        w = who[edge][keep]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(anchor, np.int64)[w]), pa.array(np.array(name, np.int64)[w]), pa.array(first[keep]), pa.array((first + size - 1)[keep]), pa.array(seen[edge][keep])], ["anchor", "name", "first", "last", "lowest"])
+        alone = np.flatnonzero(np.repeat(members == 1, members) & (low < high))
+        yield found(anchor[alone], name[alone], alone * 0, length[alone] - WINDOW, low[alone])
+        several = np.flatnonzero(members > 1)
+        total, at = np.cumsum(symbols[several]), 0
+        while at < len(several):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + COLLECTION, "right")))
+            g = several[at:to]
+            count = members[g]
+            k = np.arange(count.sum()) + np.repeat(group[g] - (np.cumsum(count) - count), count)
+            size = length[k]
+            ends = np.cumsum(size)
+            data = text[np.repeat(start[k] - (ends - size), size) + np.arange(ends[-1])]
+            seen, windows = first_seen(data, ends, low[k]), size - WINDOW + 1
+            who = np.repeat(np.arange(len(k)), windows)
+            edge = np.flatnonzero(np.concatenate([[True], (seen[1:] != seen[:-1]) | (who[1:] != who[:-1])]))
+            run_of = np.diff(np.append(edge, len(seen)))
+            first = edge - (np.cumsum(windows) - windows)[who[edge]]
+            keep = seen[edge] < high[k][who[edge]]
+            w = k[who[edge]][keep]
+            yield found(anchor[w], name[w], first[keep], (first + run_of - 1)[keep], seen[edge][keep])
+            at = to
+
+    def found(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["anchor", "name", "first", "last", "lowest"])
 
     def run(batches):
-        rows: list[tuple] = []
-        size = 0
-        for b in slices(batches, 20_000):
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= COLLECTION and row[0] != rows[-1][0]:
-                    yield done(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[2])
-        if rows:
-            yield done(rows)
+        held: list[tuple] = []
+        now = None
+        for b in slices(batches, 256):
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and bucket != now:
+                    yield from close(held)
+                    held = []
+                now = bucket
+                held.append(row)
+        if held:
+            yield from close(held)
 
-    return collection.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, name long, first long, last long, lowest long")
+    return dealt_pieces(rows, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "anchor long, name long, first long, last long, lowest long")
 
 
-def collected(found: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(anchor, name, id, key, spot) of all pieces, the collection of distinct ones, and the saved tables that both read.
+def hits(found: DataFrame, buckets: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, key, spot, first, last) of all stretches of pieces that go, and the saved tables that it reads.
 
     Pieces of an anchor with over LIMIT symbols are cut again by the anchors of another order of k-mers, and again, until none has so many or nothing
-    changes.
+    changes. Distinct pieces of anchors that may have so many are found by Spark, so that no bucket gets all their copies.
     """
-    places, collections, tables, now = [], [], [found], found
+    out, tables, now = [], [found], found
     for seed in range(1, 1 + SPREAD):
-        named = now.withColumn("name", F.xxhash64("piece"))
-        distinct = saved(named.groupBy("anchor", "name", "piece").agg(F.min("id").alias("lowest"), F.when(F.count("id") == F.count("*"), F.max("id")).alias("highest")), "zstd")
-        heavy = saved(distinct.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("symbols")).where(F.col("symbols") > LIMIT).select("anchor"))
-        tables += [distinct, heavy]
+        named, low = now.withColumn("name", F.xxhash64("piece")), F.coalesce("id", F.lit(int(NOBODY)))
+        crowd = step(named.where("crowded").groupBy("anchor", "name", "piece").agg(F.min(low).alias("low"), F.max(low).alias("high")))
+        heavy = step(crowd.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("symbols")).where(F.col("symbols") > LIMIT).select("anchor"))
+        tables += [crowd, heavy]
         last = seed == SPREAD or heavy.isEmpty()
-        light = (lambda x: x) if last else (lambda x, h=heavy: x.join(h, "anchor", "left_anti"))
-        places.append(light(named.select("anchor", "name", "id", "key", "spot")))
-        collections.append(light(distinct))
+        seen = step(stretches(named.where("not crowded").select("anchor", "name", "piece", low.alias("low"), low.alias("high")).unionByName(crowd if last else crowd.join(heavy, "anchor", "left_anti")), buckets))
+        tables.append(seen)
+        hit = named.select("anchor", "name", "id", "key", "spot").join(seen, ["anchor", "name"]).where(F.col("id").isNull() | (F.col("lowest") < F.col("id")))
+        out.append(hit.select("id", "key", "spot", "first", "last"))
         if last:
             break
-        now = saved(cut_again(now.join(heavy, "anchor", "left_semi"), seed), "zstd")
-        tables.append(now)
-    return union_of(places), union_of(collections), tables
+        again = step(cut_again(now.where("crowded").join(heavy, "anchor", "left_semi"), seed))
+        tables.append(again)
+        now = again.withColumn("crowded", F.lit(True))
+    return union_of(out), tables
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as it ends, so that those of two steps never add up."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(cleanup, before)
+
+
+def step(df: DataFrame) -> DataFrame:
+    """``df`` saved, without what its shuffles leave."""
+    with passing(df.sparkSession):
+        return saved(df, "zstd")
 
 
 def union_of(frames: list[DataFrame]) -> DataFrame:
@@ -411,20 +517,16 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), key_of(id_col, text_col).alias("key"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = saved(shared(dealt(rows.where(F.octet_length("text") >= WINDOW).select("key", "text"), max(LEAST_BUCKETS, total // BUCKET))), "zstd")
-    let_go(docs.sparkSession)
+    with passing(docs.sparkSession):
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, total // BUCKET)
+    parts = step(shared(dealt(rows.where(F.octet_length("text") >= WINDOW).select("key", "text"), buckets), LIMIT))
     known = parts.groupBy("key").agg(F.collect_list(F.struct("spots", "anchors")).alias("found"))
-    found = saved(contents(rows.join(known, "key").select("id", "key", "text", "found")), "zstd")
+    found = step(contents(rows.join(known, "key").select("id", "key", "text", "found")))
     drop_saved(parts)
-    let_go(docs.sparkSession)
-    places, distinct, tables = collected(found)
-    let_go(docs.sparkSession)
-    seen = saved(stretches(distinct.select("anchor", "name", "piece", "lowest", "highest")))
-    hit = places.join(seen, ["anchor", "name"]).where(F.col("id").isNull() | (F.col("lowest") < F.col("id")))
-    spans = saved(hit.select("id", "key", (F.col("spot") + F.col("first")).alias("a"), (F.col("spot") + F.col("last") + WINDOW).alias("z")).groupBy("id", "key").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
-    drop_saved(seen, *tables)
-    let_go(docs.sparkSession)
+    hit, tables = hits(found, buckets)
+    spans = step(hit.select("id", "key", (F.col("spot") + F.col("first")).alias("a"), (F.col("spot") + F.col("last") + WINDOW).alias("z")).groupBy("id", "key").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
+    drop_saved(*tables)
     a, b = rows.alias("a"), spans.alias("b")
     every = a.join(b, (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id")), "left").select("a.id", "a.text", F.col("b.spans.a").alias("first"), F.col("b.spans.z").alias("last"))
 

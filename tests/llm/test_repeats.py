@@ -1,8 +1,11 @@
 """Repeats: transform and prefixes against sorted suffixes, removal against all windows, odd rows."""
 
 import hashlib
+import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanforge.llm import repeats as r
@@ -118,3 +121,59 @@ def test_a_long_text_is_cut_in_segments(monkeypatch):
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(None, "short", None, None)]])
 def test_nothing_to_find(spark, rows):
     assert [x[2:4] for x in removed(spark.createDataFrame(rows, SCHEMA))] == [(0, 0)] * len(rows)
+
+
+def shuffle_files(spark):
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+
+def test_shuffle_files_of_a_step_go_as_it_ends(spark, monkeypatch):
+    """No collector is waited for: else files of two or three steps, each about the size of the texts, stand on disk at a time."""
+    before, left, setting = shuffle_files(spark), [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    saved, was = r.saved, spark.conf.get(setting)
+
+    def watched(*args, **kwargs):
+        out = saved(*args, **kwargs)
+        end = time.time() + 5
+        while shuffle_files(spark) - before and time.time() < end:
+            time.sleep(0.1)
+        left.append(len(shuffle_files(spark) - before))
+        return out
+
+    monkeypatch.setattr(r, "saved", watched)
+    docs = corpus()
+    r.remove(spark.createDataFrame([(i, t, "x", "y") for i, t in docs], SCHEMA).repartition(7))
+    assert len(left) == 6 and not any(left)
+    assert spark.conf.get(setting) == was
+
+
+def test_buckets_are_even():
+    """Anchors are least hashes; taken as they are, the first bucket got over twenty times its share."""
+    data, ends = r.joined([bytes(np.random.default_rng(7).integers(0, 256, 300_000).astype(np.uint8))])
+    anchor = r.pieces(data, ends)[2]
+    assert np.bincount(r.bucket_of(anchor, 64), minlength=64).max() < 1.3 * len(anchor) / 64
+
+
+def test_copies_are_dealt_once(spark):
+    """Pieces of one batch go to a bucket as distinct ones with their least and greatest id, in less than half their bytes where they are alike."""
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 123, 400).astype(np.uint8))
+    rows = [(a, a % 7, text[a : a + 60], i, i) for a in range(300) for i in (9, 3, 4)]
+    df = spark.createDataFrame(rows, "anchor long, name long, piece binary, low long, high long").coalesce(1)
+    blocks = r.dealt_pieces(df, 1).collect()
+    assert [(b["bucket"], b["n"], b["size"]) for b in blocks] == [(0, 300, 300 * (4 * 8 + 1 + 60))]
+    assert len(blocks[0]["block"]) < 300 * 60 / 2
+    raw = pa.decompress(blocks[0]["block"], blocks[0]["size"], "zstd", asbytes=True)
+    anchor, name, low, more = np.frombuffer(raw[: 300 * 32], np.int64).reshape(4, 300)
+    assert anchor.tolist() == list(range(300)) and (name == anchor % 7).all()
+    assert (low == 3).all() and (low + more == 9).all()
+    assert [raw[300 * 33 + 60 * a :][:60] for a in range(300)] == [text[a : a + 60] for a in range(300)]
+
+
+def test_stretches_of_distinct_pieces(spark):
+    """Pieces alone with their anchor, copies or not, and among others."""
+    text = "".join(chr(c) for c in np.random.default_rng(9).integers(97, 123, 200))
+    piece = {k: bytearray(text[a:z].encode()) for k, a, z in ((1, 0, 60), (2, 5, 65), (3, 100, 160))}
+    rows = [(11, 1, 8, 8), (11, 2, 4, 4), (11, 2, 6, 6), (22, 3, 5, 5), (22, 3, 5, 5), (33, 3, 5, 5), (33, 3, r.NOBODY, r.NOBODY), (44, 3, -7, r.NOBODY)]
+    df = spark.createDataFrame([(a, k, piece[k], int(i), int(j)) for a, k, i, j in rows], "anchor long, name long, piece binary, low long, high long").repartition(3)
+    assert {tuple(x) for x in r.stretches(df, 4).collect()} == {(11, 1, 5, 10, 4), (11, 2, 0, 10, 4), (33, 3, 0, 10, 5), (44, 3, 0, 10, -7)}
