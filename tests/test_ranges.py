@@ -1,6 +1,7 @@
 """Operators against plain Python on small random inputs, and the written-out cases."""
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -505,3 +506,41 @@ def test_plans(spark, tmp_path):
         assert plan_text(df).split("== Initial Plan ==")[0].count("Scan parquet") <= 2 * inputs
     text = pushed_filters(intra.restrict(x, 10, 50))
     assert "GreaterThanOrEqual(end,10)" in text and "LessThanOrEqual(start,50)" in text
+
+
+def shuffle_files(spark) -> dict[str, int]:
+    """The shuffle files that lie on this machine's disk now, with their bytes."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def left_behind(spark, fn) -> int:
+    """Bytes of shuffle files that ``fn`` leaves."""
+    before = shuffle_files(spark)
+    fn()
+    return sum(n for name, n in shuffle_files(spark).items() if name not in before)
+
+
+def scattered(seed, n, most):
+    """Ranges of up to ``most`` bases over 15 bases a range."""
+    rng = random.Random(seed)
+    return [(rng.choice("abc"), s, s + rng.randrange(-1, most), rng.choice("+-*")) for s in (rng.randrange(1, 15 * n) for _ in range(n))]
+
+
+def test_counts_of_containing_ranges_on_disk(spark):
+    """A range is not moved once for every bit of a coordinate, and what a step moved goes with it."""
+    q, s = scattered(1, 4000, 50), scattered(2, 4000, 400)
+    x, y = made(spark, q).repartition(4), made(spark, s).repartition(4)
+    got = {}
+    moved = left_behind(spark, lambda: got.update(map(tuple, overlaps.count_overlaps(x, y, kind="within", minoverlap=2).collect())))
+    assert moved < 60 * (len(q) + len(s))
+    places = defaultdict(list)
+    for b in s:
+        places[b[0]].append(b)
+    for i, a in list(enumerate(q, 1))[:300]:
+        assert got[i] == sum(brute.meets(a[3], b[3]) and b[1] <= a[1] and a[2] <= b[2] and a[2] - a[1] + 1 >= 2 for b in places[a[0]])
+    # Piles: wide queries, with many ranges inside and around them.
+    q, s = [("a", 1 + k % 7, 400 + k % 90, "+-*"[k % 3]) for k in range(200)], [("a", k % 50, k % 50 + 7 * (k % 70) - 1, "+-*"[k % 3]) for k in range(900)]
+    for width in (64, 1 << 16):
+        got = dict(map(tuple, overlaps.count_overlaps(made(spark, q), made(spark, s), kind="within", width=width).collect()))
+        assert got == {i: sum(brute.meets(a[3], b[3]) and b[1] <= a[1] and a[2] <= b[2] for b in s) for i, a in enumerate(q, 1)}
