@@ -544,3 +544,28 @@ def test_counts_of_containing_ranges_on_disk(spark):
     for width in (64, 1 << 16):
         got = dict(map(tuple, overlaps.count_overlaps(made(spark, q), made(spark, s), kind="within", width=width).collect()))
         assert got == {i: sum(brute.meets(a[3], b[3]) and b[1] <= a[1] and a[2] <= b[2] for b in s) for i, a in enumerate(q, 1)}
+
+
+def test_all_neighbours_on_disk(spark):
+    """An x is moved once to be looked up, then either for its pairs or for its coordinates; what a step moved goes with it."""
+    q, s = scattered(3, 6000, 50), scattered(4, 3000, 400)
+    x, y = made(spark, q).repartition(4), made(spark, s).repartition(4)
+    got = defaultdict(list)
+    moved = left_behind(spark, lambda: [got[r[0]].append((r[1], r[2])) for r in nearest.distance_to_nearest(x, y, "all").collect()])
+    assert moved < 40 * (len(q) + len(s))
+    for i in range(1, 201):
+        d, js = brute.nearest([q[i - 1]], s)[1]
+        assert sorted(got[i]) == [(j, d) for j in js]
+
+
+@pytest.mark.parametrize("seed", ROUNDS)
+def test_all_neighbours(spark, seed):
+    q, s = both(80 + seed)
+    s[0], q[0], q[1] = ("a", 1, 5000, "*"), ("b", -90, -80, "-"), ("c", 3000, 3999, "+")
+    x, y = made(spark, q), made(spark, s)
+    for ignore in (False, True):
+        for subject, want in ((y, brute.nearest(q, s, ignore)), (None, brute.nearest(q, q, ignore, own=True))):
+            for width in (16, 1 << 16):
+                df = nearest.distance_to_nearest(x, subject, "all", ignore, width=width)
+                assert sorted(map(tuple, df.collect())) == sorted((i, j, d) for i, (d, js) in want.items() for j in js)
+    assert no_pair_enumeration(df) and stays_in_jvm(df)
